@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, lines
+from . import bpe, chat, lines, packing, quality, rans
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_files": rans.op1,
+        "op3_byte_bpe": bpe.op3,
+        "op6_best_fit_packing": packing.op6,
+        "op8_quality_classifier": quality.op8,
         "op9_chat_formatting": chat.op9,
         "op10_line_dedup": lines.op10,
     }

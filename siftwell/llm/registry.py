@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, lines, packing, quality, rans
+from . import bpe, chat, lines, packing, quality, rans, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": rans.op1,
         "op3_byte_bpe": bpe.op3,
+        "op5_secret_scan": secrets.op5,
         "op6_best_fit_packing": packing.op6,
         "op8_quality_classifier": quality.op8,
         "op9_chat_formatting": chat.op9,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, lines, packing, quality, rans, secrets
+from . import bpe, chat, jaccard, lines, packing, quality, rans, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_byte_bpe": bpe.op3,
         "op5_secret_scan": secrets.op5,
         "op6_best_fit_packing": packing.op6,
+        "op7_ngram_jaccard_join": jaccard.op7,
         "op8_quality_classifier": quality.op8,
         "op9_chat_formatting": chat.op9,
         "op10_line_dedup": lines.op10,

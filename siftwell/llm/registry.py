@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, jaccard, lines, packing, quality, rans, secrets
+from . import bpe, chat, jaccard, lines, packing, quality, rans, secrets, spherical
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": rans.op1,
+        "op2_embedding_near_dedup": spherical.op2,
         "op3_byte_bpe": bpe.op3,
         "op5_secret_scan": secrets.op5,
         "op6_best_fit_packing": packing.op6,

@@ -36,8 +36,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/siftwell-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; ``release`` removes it."""
+    path = f"{shared_dir(spark)}/siftwell-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+#: Scratch paths that this driver has handed out and not removed.
+_made: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all scratch of this driver.  Call it when the results of operators have been written."""
+    remove(spark, *_made)
 
 
 def store(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
@@ -55,6 +66,8 @@ def store(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFram
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm
+    paths = {*paths}
     for p in paths:
         at = jvm.org.apache.hadoop.fs.Path(p)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _made[:] = [p for p in _made if p not in paths]

@@ -409,7 +409,21 @@ def similar_documents(docs: DataFrame, j: Join = Join(), *, id_col: str = "doc_i
     remove(spark, shared_path, seen_path, pairs_path, links_path, more_path, extra_path, reps_path)
     out = sets.select("doc_id", "n", "digest").join(classes, "digest", "left")
     named = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), named("rep").alias("class_id"), named("component").alias("component_id"))
+    result, _ = store(out.select("doc_id", F.col("n").alias("n_shingles"), named("rep").alias("class_id"), named("component").alias("component_id")), "similar")
+    remove(spark, sets_path, classes_path)
+    return result
+
+
+#: Up to so many ids (8 bytes each) to be dropped are broadcast; beyond, the join shuffles.
+BROADCAST_IDS = 1_000_000
+
+
+def keep_representatives(docs: DataFrame, j: Join = Join(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
+    """``docs`` without the rows whose id isn't the smallest of its component; rows without an id stay."""
+    found = similar_documents(docs, j, id_col=id_col, text_col=text_col)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_gone"), "left_anti")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

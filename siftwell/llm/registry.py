@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, jaccard, lines, packing, quality, rans, secrets, spherical
+from . import bpe, chat, jaccard, lines, media, packing, quality, rans, secrets, spherical
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_files": rans.op1,
         "op2_embedding_near_dedup": spherical.op2,
         "op3_byte_bpe": bpe.op3,
+        "op4_image_copies": media.op4,
         "op5_secret_scan": secrets.op5,
         "op6_best_fit_packing": packing.op6,
         "op7_ngram_jaccard_join": jaccard.op7,

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .tokens import byte_letters
 
 #: How byte-level vocabularies of this family cut a text into words (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -25,20 +26,6 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 CACHE_WORDS = 300_000
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 bytes
-    stand for themselves, the others for the letters from U+0100 on, in order."""
-    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    out, extra = [], 0x100
-    for b in range(256):
-        if b in printable:
-            out.append(chr(b))
-        else:
-            out.append(chr(extra))
-            extra += 1
-    return out
-
-
 class ByteBPE:
     """``encode`` and ``decode`` of a byte-level BPE file (vocabulary, merges, added tokens)."""
 

@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Words that a worker keeps; when there are more, it starts anew, so memory stays bounded.
-CACHE_WORDS = 400_000
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 bytes
+    stand for themselves, the others for the letters from U+0100 on, in order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    out, extra = [], 0x100
+    for b in range(256):
+        if b in printable:
+            out.append(chr(b))
+        else:
+            out.append(chr(extra))
+            extra += 1
+    return out
+
+
+#: Words and parts of words that a worker keeps, each; when there are more, it starts anew, so
+#: memory stays bounded (some 60 MB).
+CACHE_WORDS = 250_000
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -30,6 +47,9 @@ class WordTokenizer:
         self.n_ids = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.n_ids <= 1 << 16 else "<u4")
         self._special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # then a special token can't hide in letters followed by punctuation
+        self._plain = all(not t[:1].isalnum() and not t[-1:].isalnum() and any(c.isalnum() for c in t) for t in self._special)
+        self._letters = byte_letters()
         probe = "Ab!? c\nd"
         if self.library.encode(probe, add_special_tokens=False).ids != [i for w in ("ab", "!?", "c", "d") for i in self.library.encode(w, add_special_tokens=False).ids]:
             raise ValueError(f"{path}: not a tokenizer of lower-case words")
@@ -39,44 +59,48 @@ class WordTokenizer:
         self._words: dict[str, bytes] = {"": b""}
         self._stems: dict[str, bytes] = {"": b""}
 
-    def _cut(self, word: str) -> tuple[str, str]:
-        if any(s in word for s in self._special):
-            return word, ""
-        stem = word.rstrip(_TAIL)
-        if not stem or not stem[-1].isalnum():
-            return word, ""
-        return (stem.lower() if stem.isascii() else stem), word[len(stem) :]
+    def _stem(self, stem: str) -> bytes:
+        """The ids of a part of a word, by the library.  Lower-case Latin-1 letters are what its
+        normaliser leaves alone and its splitter leaves whole, so they go straight to its model."""
+        got = self._stems.get(stem)
+        if got is None:
+            if self._plain and stem.isascii() and stem.isalpha() and stem.islower():
+                ids = [t.id for t in self.library.model.tokenize(stem)]
+            elif self._plain and stem.isalpha() and stem.islower() and max(stem) <= "\xff":
+                ids = [t.id for t in self.library.model.tokenize("".join([self._letters[b] for b in stem.encode()]))]
+            else:
+                ids = self.library.encode(stem, add_special_tokens=False).ids
+            got = self._stems[stem] = array(self.dtype.char, ids).tobytes()
+        return got
 
     def _learn(self, words: Iterable[str]) -> None:
-        parts = {w: self._cut(w) for w in words}
-        new = list({p for pair in parts.values() for p in pair if p not in self._stems})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            got = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, self.dtype)
-            if any(s in w for w in some for s in self._special):  # the library then gives special tokens no word
-                for w in some:
-                    self._stems[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
-                continue
-            ends = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(some)), side="right") * self.dtype.itemsize
-            raw, before = ids.tobytes(), 0
-            for w, end in zip(some, ends.tolist(), strict=True):
-                self._stems[w] = raw[before:end]
-                before = end
-        for w, (stem, tail) in parts.items():
-            self._words[w] = self._stems[stem] + self._stems[tail]
+        known, stem_of = self._words, self._stem
+        for w in words:
+            stem = w.rstrip(_TAIL)
+            if stem == w or not self._plain and any(s in w for s in self._special):
+                known[w] = stem_of(w.lower() if w.isalpha() and w.isascii() else w)
+            elif stem.isalpha():
+                if stem.isascii() or max(stem) <= "\xff":
+                    stem = stem.lower()
+                known[w] = stem_of(stem) + stem_of(w[len(stem) :])
+            elif not stem or not stem[-1].isalnum() or any(s in w for s in self._special):
+                known[w] = stem_of(w)
+            else:
+                known[w] = stem_of(stem) + stem_of(w[len(stem) :])
 
     def encode_batch(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text (null: empty), as little-endian numbers of ``dtype``."""
         for text in texts:
             words = (text or "").replace("\n", " ").split(" ")
-            known = self._words
-            new = {w for w in words if w not in known}
+            new = set(words).difference(self._words)
             if new:
-                if len(known) + len(new) > CACHE_WORDS or len(self._stems) > CACHE_WORDS:
+                if len(self._stems) > CACHE_WORDS:
                     self._clear()
-                    new, known = set(words), self._words
+                if len(self._words) + len(new) > CACHE_WORDS:
+                    self._words = {"": b""}
+                new = set(words).difference(self._words)
                 self._learn(new)
+            known = self._words
             yield b"".join([known[w] for w in words])
 
 

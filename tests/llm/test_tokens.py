@@ -70,7 +70,7 @@ def test_caches_start_anew(word_lib, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
     tok, own = tokens.WordTokenizer(WORD), bpe.ByteBPE(BYTE)
     lib = Tokenizer.from_file(BYTE)
-    for x in ["a b c d e f", "g h a b c", "a a a", "b"]:
+    for x in ["a b c d e f", "g h a b c", "a a a", "b", "a b c d e f g h", "a b c d e f g h", "h g"]:
         assert np.frombuffer(next(tok.encode_batch([x])), tok.dtype).tolist() == brute_ids(word_lib, x)
         assert np.frombuffer(own.encode(x), "<u4").tolist() == brute_ids(lib, x)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dashboard
+from . import dashboard, relational
 
-QUERIES = {**dashboard.QUERIES}
-SQL = {**dashboard.SQL}
+QUERIES = {**dashboard.QUERIES, **relational.QUERIES}
+SQL = {**dashboard.SQL, **relational.SQL}

@@ -135,13 +135,16 @@ def read_page(source: str | None) -> dict:
     }
 
 
-@F.pandas_udf(SCHEMA)
-def page(sources: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """A struct of everything that is read off a document."""
+def _read_pages(sources: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in sources:
         yield pd.DataFrame([read_page(x) for x in s], columns=list(read_page(None)))
 
 
+def page(source: Column | str) -> Column:
+    """A struct of everything that is read off a document."""
+    return F.pandas_udf(_read_pages, SCHEMA)(source)
+
+
 #: Our own short lists of what tools leave in a page (wildcards) and of microdata forms.
 TOOLS = {
     "analytics": ("*google-analytics.com*", "*googletagmanager.com*", "*gtag(*", "*matomo*", "*piwik*", "*hotjar*", "*track(*"),

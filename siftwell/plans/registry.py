@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dashboard, relational
+from . import dashboard, documents, relational
 
-QUERIES = {**dashboard.QUERIES, **relational.QUERIES}
-SQL = {**dashboard.SQL, **relational.SQL}
+QUERIES = {**dashboard.QUERIES, **relational.QUERIES, **documents.QUERIES}
+SQL = {**dashboard.SQL, **relational.SQL, **documents.SQL}

@@ -39,7 +39,7 @@ def poll(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint
 
 def event_windows(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:
     """Counts and sums for each window and type; works on streams and on tables."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
+    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     g = e.groupBy(F.window("ts", size, slide or size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("n_users") if not events.isStreaming else F.approx_count_distinct("user_id").alias("n_users"))
     return g.select(F.col("w.start").alias("window_start"), "event_type", "n", "n_users")
 

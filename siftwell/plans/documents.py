@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import answers as aw
 from ..functions import classifiers as cl
 from ..functions import html as H
 from ..functions import scores as sc
@@ -194,3 +195,15 @@ add("T08_claims", lambda s, d: ls.claim(ad.answer(s, d).select("id", "study", F.
 add("T11_progress_payload", lambda s, d: ad.answer(s, d).groupBy("study").agg(F.count_if(F.col("status") == 1).alias("done"), F.count(F.lit(1)).alias("total")), ad.with_views("answer", "SELECT study, count(*) FILTER (status = 1) AS done, count(*) AS total FROM answer GROUP BY study"))
 add("T20_event_windows", lambda s, d: ls.event_windows(ad.read(s, d, "events")), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY ALL")
 add("T21_sessions", lambda s, d: ls.sessions(ad.read(s, d, "events")), "WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM g GROUP BY user_id, k")
+
+# answers, sessions and registries
+C = lambda s, d: ad.read(s, d, "conversations").where("role = 'assistant'")
+add("F04_text_to_html", lambda s, d: C(s, d).select("conv_id", "turn", F.length(aw.text_to_html(F.col("text"))).alias("n")), "SELECT conv_id, turn, length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) + 3 * (length(text) - length(replace(text, chr(10), ''))) AS n FROM conversations WHERE role = 'assistant'")
+add("F33_html_to_text", lambda s, d: P(s, d).select("page_id", F.length(aw.plain_text(F.col("html"))).alias("n")))
+add("F34_answer_segments", lambda s, d: C(s, d).select("conv_id", "turn", F.size(aw.answer_segments(F.regexp_replace("text", r"\. ", ". [1] "))).alias("n")))
+add("U08_distinct_links", lambda s, d: _pages(s, d).select("page_id", F.size(F.array_distinct(F.transform("p.links", lambda x: x["href"]))).alias("n")), "SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1))) AS INT) AS n FROM pages")
+add("S31_rule_lists", lambda s, d: P(s, d).crossJoin(F.broadcast(s.createDataFrame([(g, tx.like_pattern(w)) for g, ws in H.TOOLS.items() for w in ws], "tool string, pattern string"))).where(F.expr("lower(html) like pattern")).groupBy("tool").agg(F.countDistinct("page_id").alias("n")), " UNION ALL ".join(f"SELECT '{g}' AS tool, count(*) AS n FROM pages WHERE " + " OR ".join(f"contains(lower(html), '{w.strip('*')}')" for w in ws) + " HAVING count(*) > 0" for g, ws in H.TOOLS.items() if all("?" not in w for w in ws)))
+add("S35_session_export", lambda s, d: ad.answer(s, d).groupBy("participant").agg(F.collect_list(F.struct("id", "kind", "value")).alias("rows")).select("participant", F.explode("rows").alias("r")).select("participant", "r.id", "r.kind", "r.value"), ad.with_views("answer", "SELECT participant, id, kind, value FROM answer"))
+add("S37_orphan_files", lambda s, d: P(s, d).select(F.lower("url").alias("path")).join(P(s, d).where("page_id % 2 = 0").select(F.lower("url").alias("path")), "path", "left_anti"), "SELECT lower(url) AS path FROM pages WHERE lower(url) NOT IN (SELECT lower(url) FROM pages WHERE page_id % 2 = 0)")
+add("S38_engine_registry", lambda s, d: ad.result(s, d).select("engine_text").distinct().join(s.createDataFrame([("a_xx_f",), ("other",)], "engine_text string"), "engine_text", "left_anti"), ad.with_views("result", "SELECT DISTINCT engine_text FROM result WHERE engine_text NOT IN ('a_xx_f', 'other')"))
+QUERIES["X04_configured_task"], SQL["X04_configured_task"] = QUERIES["C07_llm_tasks"], SQL["C07_llm_tasks"]

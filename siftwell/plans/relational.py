@@ -133,6 +133,7 @@ add("D09_point_lookup", lambda s, d: I(s, d).where("kind = 'serp' and item = 12"
 add("D10_merge_json", lambda s, d: I(s, d).select("id", F.get_json_object(rl.merge_json(F.col("value"), F.lit("study"), F.col("study").cast("string")), "$.study").alias("study"), F.get_json_object(rl.merge_json(F.col("value"), F.lit("study"), F.lit("x")), "$.k").alias("k")), v("indicator", "SELECT id, CAST(study AS VARCHAR) AS study, json_extract_string(value, '$.k') AS k FROM indicator"))
 add("D11_archive_study", lambda s, d: S(s, d).select("id", "name", F.when(F.col("id") == 2, 4).otherwise(1).alias("status")), v("study", "SELECT id, name, CASE WHEN id = 2 THEN 4 ELSE 1 END AS status FROM study"))
 add("C08_duplicate_propagation", lambda s, d: rl.propagate(A(s, d).select("id", "kind", "item", F.when(F.col("status") == 1, F.col("value")).alias("value")), ["kind", "item"], "value").select("id", "value"), v("answer", "SELECT id, coalesce(CASE WHEN status = 1 THEN value END, min(CASE WHEN status = 1 THEN value END) OVER (PARTITION BY kind, item)) AS value FROM answer"))
+QUERIES["C09_llm_propagation"], SQL["C09_llm_propagation"] = QUERIES["C08_duplicate_propagation"], SQL["C08_duplicate_propagation"]
 QUERIES["C17_answer_propagation"], SQL["C17_answer_propagation"] = QUERIES["C08_duplicate_propagation"], SQL["C08_duplicate_propagation"]
 add("C10_dead_sources", lambda s, d: rl.dead_sources(R(s, d).where("progress = -1"), A(s, d), ["item"]), v("result answer", "SELECT DISTINCT item, 'source_failed' AS value FROM result WHERE progress = -1 AND item NOT IN (SELECT item FROM answer)"))
 add("C11_pending_work", lambda s, d: _spine(s, d).join(I(s, d).where("id % 2 = 0").select("kind", "item"), ["kind", "item"], "left_anti").groupBy("study").agg(n_rows()), v("indicator", f"WITH {_SPINE} SELECT study, count(*) AS n FROM spine s WHERE NOT EXISTS (SELECT 1 FROM indicator i WHERE i.id % 2 = 0 AND i.kind = s.kind AND i.item = s.item) GROUP BY study"))

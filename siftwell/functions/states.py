@@ -41,8 +41,8 @@ def filled(c: Column) -> Column:
 
 
 #: Labels of item kinds: the dashboard's and the export's differ (fixed values).
-DASHBOARD_LABELS = {"result": "Organic Results", "result_ai": "AI Overviews", "result_chatbot": "Chatbots", "result_ai_source": "AI Sources", "serp": "SERPs", "result_image": "Images"}
-EXPORT_LABELS = {"result": "Organic Result", "result_ai": "AI Overview", "result_chatbot": "Chatbot", "serp": "SERP", "result_ai_source": "AI Source", "result_image": "Image"}
+DASHBOARD_LABELS = {"result": "Organic Results", "result_ai_source": "AI Sources", "result_ai": "AI Answers", "result_chatbot": "Chatbots", "result_image": "Images"}
+EXPORT_LABELS = {"result": "Organic Result", "result_ai": "AI Overview", "result_chatbot": "Chatbot", "result_ai_source": "AI Source", "result_image": "Image Result"}
 
 
 def kind_label(kind: Column, labels: dict[str, str], other: str = "Unknown") -> Column:
@@ -73,9 +73,11 @@ def answer_label(kind: Column, label: Column, value: Column) -> Column:
 
 
 def study_status(status: Column, total: Column, finished: Column, has_data: Column) -> Column:
-    """The next state: archived stays; all tasks done, or data without tasks, is finished; tasks or
-    data with something open is collecting; else as it was."""
-    return F.when(status == 4, 4).when((total > 0) & (finished >= total), 2).when((total == 0) & has_data, 2).when((total > 0) & has_data, 1).when(status.isin(2, 3) & (total > 0), 1).otherwise(status)
+    """The next state.  New (0), collecting (1) and transitional (3) become finished (2) when all
+    tasks are done, or when there is data and no task; new becomes collecting when there is data.
+    Finished and archived (4) stay."""
+    done = ((total > 0) & (finished >= total)) | ((total == 0) & has_data)
+    return F.when(status.isin(0, 1, 3) & done, 2).when((status == 0) & has_data, 1).otherwise(status)
 
 
 def percentage(value: Column, total: Column) -> Column:

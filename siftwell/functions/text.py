@@ -30,8 +30,9 @@ def file_name(c: Column) -> Column:
     return F.regexp_replace(c, r"[^A-Za-z0-9_.-]", "_")
 
 
-def truncated(c: Column, n: int = 30000, mark: str = "... [truncated]") -> Column:
-    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit(mark))).otherwise(c)
+def truncated(c: Column, n: int = 30000, keep: int = 29900, mark: str = "... [Text truncated due to excessive length]") -> Column:
+    """Texts over n characters cut to ``keep``, with a mark."""
+    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, keep), F.lit(mark))).otherwise(c)
 
 
 def terms(c: Column) -> Column:

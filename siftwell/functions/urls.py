@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Query keys that only track a visit (fixed values).
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "gclid", "fbclid", "msclkid", "dclid", "yclid", "igshid", "mc_cid", "mc_eid", "_ga", "_gl", "ref")
+TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "dclid", "fbclid", "_hsenc", "_hsmi", "mkt_tok", "msclkid", "mc_cid", "mc_eid", "trk", "onwewe", "srsltid")
 
 #: scheme, authority, path, query, fragment
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -35,15 +35,20 @@ def is_valid(url: Column) -> Column:
 
 def normalised(url: Column, tracking: tuple[str, ...] = TRACKING) -> Column:
     """https, lower-case host without ``www.``, no tracking keys, no single slash at the end; the
-    fragment stays.  Null is empty."""
-    pairs = F.filter(F.split(_part(url, 4), "&"), lambda p: (p != "") & F.contains(p, F.lit("=")) & ~F.lower(F.split_part(p, F.lit("="), F.lit(1))).isin(*tracking))
-    query = F.array_join(pairs, "&")
+    fragment stays.  Values of one key stand together at its first place, encoded anew; blank ones
+    stay.  Null and blank text is empty."""
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    coded = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    parts = F.transform(F.filter(F.split(_part(url, 4), "&"), lambda p: p != ""), lambda p: F.struct(plain(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), plain(F.regexp_replace(p, "^[^=]*=?", "")).alias("v")))
+    kept = F.filter(parts, lambda p: ~F.lower(p["k"]).isin(*tracking))
+    keys = F.transform(kept, lambda p: p["k"])
+    placed = F.array_sort(F.transform(kept, lambda p, i: F.struct(F.array_position(keys, p["k"]).alias("first"), i.alias("i"), F.concat(coded(p["k"]), F.lit("="), coded(p["v"])).alias("text"))))
+    query = F.array_join(F.transform(placed, lambda p: p["text"]), "&")
     path = _part(url, 3)
-    short = F.when((path != "/") & path.endswith("/"), F.lit(1)).otherwise(0)
-    path = F.when(short == 1, F.regexp_replace(path, "/$", "")).otherwise(path)
+    path = F.when((path != "/") & path.endswith("/"), F.regexp_replace(path, "/$", "")).otherwise(path)
     frag = _part(url, 5)
     out = F.concat(F.lit("https://"), bare_host(url), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), F.when(frag != "", F.concat(F.lit("#"), frag)).otherwise(""))
-    return F.coalesce(out, F.lit(""))
+    return F.when(F.trim(url) != "", out).otherwise("")
 
 
 def main_domain(url: Column) -> Column:

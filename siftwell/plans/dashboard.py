@@ -88,7 +88,7 @@ g AS (SELECT question, kind, trim(value) AS value, count(*) AS n FROM a GROUP BY
 add("A21_likert", lambda s, d: an.likert(ad.answer(s, d)).withColumn("std_dev", F.round("std_dev", 6)), ad.with_views("answer", "SELECT question, avg(CAST(value AS DOUBLE)) AS mean, round(stddev_pop(CAST(value AS DOUBLE)), 6) AS std_dev, count(*) AS n FROM answer WHERE status = 1 GROUP BY question"))
 add("A22_scale", lambda s, d: an.scale(ad.answer(s, d)), ad.with_views("answer", "SELECT question, count(*) AS n, avg(CAST(value AS DOUBLE)) AS mean, min(CAST(value AS DOUBLE)) AS min, max(CAST(value AS DOUBLE)) AS max FROM answer WHERE status = 1 GROUP BY question"))
 add("A23_free_text", lambda s, d: ad.classifier_result(s, d).where(st.filled(F.trim("value"))).select("kind", F.trim("value").alias("value")).distinct(), ad.with_views("classifier_result", "SELECT DISTINCT kind, trim(value) AS value FROM classifier_result WHERE trim(value) <> ''"))
-add("A24_item_type_label", lambda s, d: ad.answer(s, d).groupBy(F.coalesce(st.kind_label(F.col("kind"), st.DASHBOARD_LABELS), F.lit("Organic Results")).alias("label")).agg(F.count(F.lit(1)).alias("n")), ad.with_views("answer", f"SELECT {_DASH} AS label, count(*) AS n FROM answer GROUP BY 1"))
+add("A24_item_type_label", lambda s, d: ad.answer(s, d).groupBy(st.kind_label(F.col("kind"), st.DASHBOARD_LABELS, "SERPs").alias("label")).agg(F.count(F.lit(1)).alias("n")), ad.with_views("answer", f"SELECT {_DASH.replace('Unknown', 'SERPs')} AS label, count(*) AS n FROM answer GROUP BY 1"))
 add("A25_flat_statistics", lambda s, d: an.answer_distribution(ad.answer(s, d)).select("question", F.expr("stack(2, 'Count', cast(n as string), 'Share (%)', cast(cast(round(share, 2) as decimal(9,2)) as string)) as (name, value)"), F.col("kind"), F.col("value").alias("answer_value")), ad.with_views("answer", f"WITH x AS ({_DIST.replace('WITH a AS', 'WITH a AS')}) SELECT question, 'Count' AS name, CAST(n AS VARCHAR) AS value, kind, value AS answer_value FROM x UNION ALL SELECT question, 'Share (%)', CAST(CAST(round(share, 2) AS DECIMAL(9,2)) AS VARCHAR), kind, value FROM x"))
 add("A27_query_progress", lambda s, d: an.query_progress(ad.result(s, d), ad.answer(s, d), 5), ad.with_views("result answer", """
 WITH i AS (SELECT query, count(*) AS n_items FROM result GROUP BY query), a AS (SELECT query, count(DISTINCT participant) AS p, count(*) FILTER (status IN (1, 2)) AS f, count(*) FILTER (status = 0) AS o FROM answer GROUP BY query)
@@ -110,7 +110,7 @@ def _completion(s, d):
 
 add("A34_study_completion", _completion, ad.with_views("result", f"""
 WITH g AS (SELECT study, count(*) AS total, count(*) FILTER ({_FINAL}) AS finished FROM result GROUP BY study)
-SELECT *, CASE WHEN study % 5 = 4 THEN 4 WHEN finished >= total THEN 2 ELSE 1 END AS status FROM g"""))
+SELECT *, CASE WHEN study % 5 = 4 THEN 4 WHEN study % 5 = 2 THEN 2 WHEN finished >= total THEN 2 WHEN study % 5 = 0 THEN 1 ELSE study % 5 END AS status FROM g"""))
 
 
 def _runs(s, d):

@@ -34,7 +34,7 @@ _QUERY = "regexp_extract(url, '\\?([^#]*)', 1)"
 _FRAG = "regexp_extract(url, '#(.*)$', 1)"
 _TRACK = "[" + ", ".join(f"'{t}'" for t in u.TRACKING) + "]"
 add("F01_normalised_url", lambda s, d: P(s, d).select("page_id", u.normalised(F.col("url")).alias("url")), f"""
-WITH p AS (SELECT page_id, {_BARE} AS h, {_PATH} AS p, {_FRAG} AS f, list_filter(string_split({_QUERY}, '&'), lambda x: contains(x, '=') AND NOT list_contains({_TRACK}, lower(string_split(x, '=')[1]))) AS q FROM pages)
+WITH p AS (SELECT page_id, {_BARE} AS h, {_PATH} AS p, {_FRAG} AS f, list_filter(string_split({_QUERY}, '&'), lambda x: x <> '' AND NOT list_contains({_TRACK}, lower(string_split(x, '=')[1]))) AS q FROM pages)
 SELECT page_id, 'https://' || h || CASE WHEN p <> '/' THEN regexp_replace(p, '/$', '') ELSE p END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END || CASE WHEN f <> '' THEN '#' || f ELSE '' END AS url FROM p""")
 _MAIN = f"lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) || '/'"
 for _n, _c in (("F02_main_domain", lambda: u.main_domain(F.col("url"))), ("F03_result_main", lambda: u.result_main(F.col("url")))):
@@ -67,7 +67,7 @@ def _similar(s, d):
 
 add("F21_similarity", _similar, "SELECT count(*) AS n FROM (SELECT DISTINCT label FROM embeddings WHERE label IS NOT NULL)")
 add("F22_percentage_text", lambda s, d: ad.read(s, d, "part").select("p_partkey", st.percentage_text(F.col("p_size"), F.col("p_partkey") % 60).alias("text")), "SELECT p_partkey, CASE WHEN p_partkey % 60 > 0 THEN CAST(CAST(round_even(100.0 * p_size / (p_partkey % 60), 0) AS BIGINT) AS VARCHAR) || ' %' ELSE '-' END AS text FROM part")
-add("F23_truncated", lambda s, d: D(s, d).select("doc_id", F.length(tx.truncated(F.col("text"), 500)).alias("n")), "SELECT doc_id, CASE WHEN length(text) > 500 THEN 515 ELSE length(text) END AS n FROM documents")
+add("F23_truncated", lambda s, d: D(s, d).select("doc_id", F.length(tx.truncated(F.col("text"), 500, 450)).alias("n")), "SELECT doc_id, CASE WHEN length(text) > 500 THEN 494 ELSE length(text) END AS n FROM documents")
 add("F24_salvaged_json", lambda s, d: ad.indicator(s, d).select("id", F.get_json_object(tx.salvaged_json(F.when(F.col("id") % 3 == 0, F.concat(F.lit("```json\n"), F.col("value"), F.lit("\n```"))).when(F.col("id") % 3 == 1, F.concat(F.lit("Answer: "), F.col("value"), F.lit(" end"))).otherwise("none")), "$.k").alias("k")), ad.with_views("indicator", "SELECT id, CASE WHEN id % 3 < 2 THEN json_extract_string(value, '$.k') END AS k FROM indicator"))
 QUERIES["F29_llm_answer"], SQL["F29_llm_answer"] = QUERIES["F24_salvaged_json"], SQL["F24_salvaged_json"]
 add("F27_prompt_keys", lambda s, d: ad.study(s, d).select("id", F.array_join(tx.prompt_keys(F.concat(F.lit("Return {\"score\": 1, 'reason' : \"x\", \"k"), F.col("id").cast("string"), F.lit("\": 0} not {\"z\": 1}"))), ",").alias("keys")), ad.with_views("study", "SELECT id, 'score,reason,k' || id AS keys FROM study"))

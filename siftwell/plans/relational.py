@@ -37,7 +37,7 @@ def _spine(s, d):
 
 _SPINE = "spine AS (SELECT DISTINCT kind, item, study, query FROM answer)"
 add("J03_indicator_items", lambda s, d: I(s, d).drop("query", "study").join(_spine(s, d), ["kind", "item"], "left").groupBy("kind", "study").agg(n_rows()), v("indicator", f"WITH {_SPINE} SELECT i.kind, s.study, count(*) AS n FROM indicator i LEFT JOIN spine s ON s.kind = i.kind AND s.item = i.item GROUP BY ALL"))
-add("J04_export_study_scope", lambda s, d: I(s, d).where(F.col("study").isin(1, 2)).select("id", st.kind_label(F.col("kind"), st.EXPORT_LABELS).alias("item_type"), "indicator", tx.truncated(F.col("value")).alias("value")), v("indicator", "SELECT id, CASE kind WHEN 'result' THEN 'Organic Result' WHEN 'result_ai' THEN 'AI Overview' WHEN 'serp' THEN 'SERP' ELSE 'Image' END AS item_type, indicator, value FROM indicator WHERE study IN (1, 2)"))
+add("J04_export_study_scope", lambda s, d: I(s, d).where(F.col("study").isin(1, 2)).select("id", st.kind_label(F.col("kind"), st.EXPORT_LABELS).alias("item_type"), "indicator", tx.truncated(F.col("value")).alias("value")), v("indicator", "SELECT id, CASE kind WHEN 'result' THEN 'Organic Result' WHEN 'result_ai' THEN 'AI Overview' WHEN 'serp' THEN 'Unknown' ELSE 'Image Result' END AS item_type, indicator, value FROM indicator WHERE study IN (1, 2)"))
 add("J05_criteria", lambda s, d: ad.read(s, d, "supplier").join(ad.read(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(ad.read(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name", "n_name").agg(n_rows()), "SELECT r_name, n_name, count(*) AS n FROM supplier, nation, region WHERE s_nationkey = n_nationkey AND n_regionkey = r_regionkey GROUP BY ALL")
 add("J06_exists_any", lambda s, d: rl.in_any(Q(s, d).withColumnRenamed("id", "key"), "key", [A(s, d).where("item = 5").select(F.col("query").alias("key")), R(s, d).where("position = 7 and counter = 3").select(F.col("query").alias("key"))]), v("query answer result", "SELECT id AS key, study, query FROM query q WHERE EXISTS (SELECT 1 FROM answer a WHERE a.query = q.id AND item = 5) OR EXISTS (SELECT 1 FROM result r WHERE r.query = q.id AND position = 7 AND counter = 3)"))
 add("J07_not_exists", lambda s, d: R(s, d).select("item").distinct().join(A(s, d).select("item"), "item", "left_anti"), v("result answer", "SELECT DISTINCT item FROM result r WHERE NOT EXISTS (SELECT 1 FROM answer a WHERE a.item = r.item)"))

@@ -40,6 +40,9 @@ def test_engine_names(spark):
     [
         ("http://www.Example.com/Path/?utm_source=x&b=2#f", "https://example.com/Path?b=2#f"),
         ("https://example.com/", "https://example.com/"),
+        ("https://e.com/?a=1&b=x%20y&a=3&c", "https://e.com/?a=1&a=3&b=x+y&c="),
+        ("https://e.com/search?q=test&srsltid=1&Trk=2", "https://e.com/search?q=test"),
+        ("   ", ""),
         ("example", "https://example"),
         ("https://e.com/a?GCLID=1", "https://e.com/a"),
         (None, ""),

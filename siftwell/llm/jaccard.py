@@ -111,6 +111,11 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+#: The longest sketch, in 64-bit words.  It goes along with every entry of a list; a shorter sketch
+#: rules out less, and what it lets through is counted exactly.
+SKETCH_WORDS = 32
+
+
 def _sets(j: Join, frequent: np.ndarray, level: np.ndarray):
     """doc -> size, digest, prefix (n-gram hashes) and parity sketch."""
 
@@ -127,7 +132,7 @@ def _sets(j: Join, frequent: np.ndarray, level: np.ndarray):
                 p = j.prefix(len(h)) if len(h) else 0
                 order = np.lexsort((h, least))[:p] if len(h) else []
                 words = 1
-                while 64 * words < 8 * j.most_apart(2 * len(h)):
+                while words < SKETCH_WORDS and 64 * words < 8 * j.most_apart(2 * len(h)):
                     words *= 2
                 bits = np.bincount((h & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
                 rows.append((d, len(h), digest, h[order].tobytes() if len(h) else b"", np.packbits(bits.astype(np.uint8)).tobytes()))
@@ -233,39 +238,102 @@ _TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()
 _NAMES = ["kind", "gram", "uid", "other", "place", "n", "n_other", "sketch"]
 
 
+def _pairs_apart(data: np.ndarray, at: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which sketches a[i] and b[i] differ, for sketches of equal size; else 0."""
+    out = np.zeros(len(a), np.int64)
+    same = size[a] == size[b]
+    for w in np.unique(size[a][same]):
+        i = np.flatnonzero(same & (size[a] == w))
+        for k in range(0, len(i), 20_000):
+            c = i[k : k + 20_000]
+            x, y = (data[at[v[c]][:, None] + np.arange(w)].view(np.uint64) for v in (a, b))
+            out[c] = np.bitwise_count(x ^ y).sum(axis=1)
+    return out
+
+
 def _forest(j: Join):
-    """Pairs (kind 0) of a forest over each block; members (kind 1) whose lists need a second look."""
+    """Pairs (kind 0) of a forest over each block; members (kind 1) whose lists need a second look.
 
-    def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        uid, n, place = (t.column(c).to_numpy() for c in ("uid", "n", "place"))
-        if len(uid) < 2:
-            return
-        long = bool(t.column("long")[0].as_py())
-        blobs = t.column("sketch").to_pylist()
+    Lists of two, which most are, are done together; the others one by one."""
+
+    def group(uid, n, place, block: int, long: bool, blobs: list[bytes]) -> tuple[list, np.ndarray]:
+        m = len(uid)
         sketch = _Sketches(blobs)
-        gram = t.column("gram")[0].as_py()
-        tree = np.full(len(uid), -1)
+        tree = np.full(m, -1)
         pairs = []
-        for i in range(len(uid)):
+        every = _plausible(j, sketch, n, slice(0, m), slice(0, m)) & (uid[:, None] != uid[None, :]) if m <= 128 else None
+        for i in range(m):
             if tree[i] >= 0:
                 continue
-            near = _plausible(j, sketch, n, slice(i, i + 1), slice(0, None))[0] & (uid != uid[i])
+            near = every[i] if every is not None else _plausible(j, sketch, n, slice(i, i + 1), slice(0, None))[0] & (uid != uid[i])
             tree[i] = i
             # all plausible pairs of a root are counted, so only those of two others are unseen
-            pairs += [(i, int(k)) for k in np.flatnonzero(near & ((tree < 0) | (np.arange(len(uid)) != tree) | (np.arange(len(uid)) > i)))]
-            tree[near & (tree < 0)] = i
-        again = tree != np.arange(len(uid))
-        if pairs:
-            p = np.array(pairs)
-            a, b = np.where(uid[p[:, 0]] < uid[p[:, 1]], p.T, p.T[::-1])
-            m = len(a)
-            yield _rows([[0] * m, [gram] * m, uid[a], uid[b], [0] * m, n[a], n[b], [None] * m], _TYPES, _NAMES)
-        if long:
-            again = place // j.block == t.column("block")[0].as_py()  # the block's own, not the guest
+            k = np.flatnonzero(near)
+            k = k[(tree[k] != k) | (k > i)]
+            pairs += [(i, int(x)) for x in k]
+            tree[k[tree[k] < 0]] = i
+        again = place // j.block == block if long else tree != np.arange(m)  # in a long list the block's own, not the guest
         k = np.flatnonzero(again)
-        if len(k) > 1 or long:
-            m = len(k)
-            yield _rows([[1] * m, [gram] * m, uid[k], [None] * m, place[k], n[k], [None] * m, [blobs[i] for i in k]], _TYPES, _NAMES)
+        return pairs, k if len(k) > 1 or long else k[:0]
+
+    def work(t: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        gram, block, uid, n, place = (t.column(c).to_numpy() for c in ("gram", "block", "uid", "n", "place"))
+        long = t.column("long").to_numpy(zero_copy_only=False)
+        blob = t.column("sketch")
+        at = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1].astype(np.int64)
+        data = np.frombuffer(blob.buffers()[2], np.uint8)
+        size = np.diff(at)
+        start = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])])
+        many = np.diff(np.r_[start, len(gram)])
+        a = start[(many == 2) & ~long[start]]
+        b = a + 1
+        fits = (j.den * np.minimum(n[a], n[b]) >= j.num * np.maximum(n[a], n[b])) & (uid[a] != uid[b])
+        a, b = a[fits], b[fits]
+        ok = _pairs_apart(data, at, size, a, b) <= j.most_apart(n[a] + n[b])
+        left, right = [a[ok]], [b[ok]]
+        again = []
+        for s, m in zip(start.tolist(), many.tolist(), strict=True):
+            if m > 2 or m == 2 and long[s]:
+                e = s + m
+                pairs, k = group(uid[s:e], n[s:e], place[s:e], int(block[s]), bool(long[s]), [data[at[i] : at[i + 1]].tobytes() for i in range(s, e)])
+                if pairs:
+                    p = np.array(pairs) + s
+                    left.append(p[:, 0])
+                    right.append(p[:, 1])
+                again.append(k + s)
+            elif m == 1 and long[s] and place[s] // j.block == block[s]:
+                again.append(np.array([s]))
+        p, q = np.concatenate(left), np.concatenate(right)
+        p, q = np.where(uid[p] < uid[q], (p, q), (q, p))
+        m = len(p)
+        if m:
+            yield _rows([np.zeros(m, np.int32), gram[p], uid[p], uid[q], np.zeros(m, np.int32), n[p], n[q], [None] * m], _TYPES, _NAMES)
+        k = np.concatenate(again) if again else np.empty(0, np.int64)
+        for c in range(0, len(k), 20_000):
+            i = k[c : c + 20_000]
+            m = len(i)
+            yield _rows([np.ones(m, np.int32), gram[i], uid[i], [None] * m, place[i], n[i], [None] * m, blob.take(pa.array(i))], _TYPES, _NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gram, block = batch.column("gram").to_numpy(), batch.column("block").to_numpy()
+            change = np.flatnonzero((gram[1:] != gram[:-1]) | (block[1:] != block[:-1])) + 1
+            if held:
+                last = held[-1]
+                if (last.column("gram")[-1].as_py(), last.column("block")[-1].as_py()) != (gram[0], block[0]):
+                    yield from work(pa.concat_batches(held))
+                    held = []
+            if len(change):
+                cut = int(change[-1])
+                yield from work(pa.concat_batches([*held, batch.slice(0, cut)]))
+                held = [batch.slice(cut)]
+            else:
+                held.append(batch)
+        if held:
+            yield from work(pa.concat_batches(held))
 
     return run
 
@@ -311,8 +379,10 @@ def _fragments(j: Join):
                     continue
                 digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
                 cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
-                rows += [(d, digest, k, h[cuts[k] : cuts[k + 1]].tobytes()) for k in range(j.fragments) if cuts[k] < cuts[k + 1]]
-                size += h.nbytes
+                # 40 bits below the ones that tell the fragment: two n-grams of a pair are mixed up once in 10**7 pairs
+                short = (h << np.uint64(3)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                rows += [(d, digest, k, short[cuts[k] : cuts[k + 1]].tobytes()) for k in range(j.fragments) if cuts[k] < cuts[k + 1]]
+                size += short.nbytes
                 if size > 8 << 20:
                     yield _rows(list(zip(*rows, strict=True)), types, names)
                     rows, size = [], 0
@@ -322,11 +392,22 @@ def _fragments(j: Join):
     return run
 
 
+def _wide(x: pa.Scalar) -> np.ndarray:
+    """Ascending numbers from their five big-endian bytes each."""
+    b = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 5)
+    out = np.zeros((len(b), 8), np.uint8)
+    out[:, 3:] = b
+    return out.view(">u8")[:, 0].astype(np.uint64)
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x, y = batch.column("grams_a"), batch.column("grams_b")
-        both = [len(np.intersect1d(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), assume_unique=True)) for p, q in zip(x, y, strict=True)]
-        yield _rows([batch.column(c) for c in ("a", "b", "n_a", "n_b")] + [both], [pa.int64()] * 5, ["a", "b", "n_a", "n_b", "both"])
+        both = []
+        for p, q in zip(batch.column("grams_a"), batch.column("grams_b"), strict=True):
+            z = np.concatenate([_wide(p), _wide(q)])
+            z.sort()
+            both.append(int((z[1:] == z[:-1]).sum()))
+        yield _rows([batch.column(c) for c in ("a", "b", "fragment", "n_a", "n_b")] + [both], [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 3], ["a", "b", "fragment", "n_a", "n_b", "both"])
 
 
 #: Up to so many sets (at most 48 bytes each) to be read again are broadcast to find them; beyond, the join shuffles.
@@ -342,11 +423,14 @@ def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, j: Join) -> tupl
     keys = need.select(F.col("doc_id").alias("_need")).distinct()
     some = docs.join(F.broadcast(keys) if few else keys, F.col("doc_id") == F.col("_need"), "left_semi")
     parts = some.mapInArrow(_fragments(j), "doc_id long, digest binary, fragment int, grams binary")
-    parts = parts.join(F.broadcast(need) if few else need, ["doc_id", "digest"]).select("uid", "fragment", "grams").dropDuplicates(["uid", "fragment"])
+    parts = parts.join(F.broadcast(need) if few else need, ["doc_id", "digest"]).select("uid", "fragment", "grams")
     parts, parts_path = store(parts, "fragments", "lz4")
-    of = lambda c: parts.select(F.col("uid").alias(c), "fragment", F.col("grams").alias(f"grams_{c}"))
-    joined = pairs.join(of("a"), "a").join(of("b"), ["b", "fragment"]).select("a", "b", "n_a", "n_b", "grams_a", "grams_b")
-    both = joined.mapInArrow(_overlaps, "a long, b long, n_a long, n_b long, both long").groupBy("a", "b", "n_a", "n_b").agg(F.sum("both").alias("both"))
+    # the same way at every size, so that costs grow in proportion
+    of = lambda c: parts.select(F.col("uid").alias(c), "fragment", F.col("grams").alias(f"grams_{c}")).hint("merge")
+    joined = pairs.join(of("a"), "a").join(of("b"), ["b", "fragment"]).select("a", "b", "fragment", "n_a", "n_b", "grams_a", "grams_b")
+    # a document that is there twice gives a fragment twice
+    per = joined.mapInArrow(_overlaps, "a long, b long, fragment int, n_a long, n_b long, both long").groupBy("a", "b", "n_a", "n_b", "fragment").agg(F.max("both").alias("both"))
+    both = per.groupBy("a", "b", "n_a", "n_b").agg(F.sum("both").alias("both"))
     out = both.where(F.col("both") * j.den >= (F.col("n_a") + F.col("n_b") - F.col("both")) * j.num).select("a", "b")
     out, path = store(out, "links")
     remove(spark, need_path, parts_path)
@@ -378,12 +462,13 @@ def similar_documents(docs: DataFrame, j: Join = Join(), *, id_col: str = "doc_i
     shared, shared_path = store(listed.mapInArrow(_shared, "gram long, uid long, place int"), "shared", "lz4")
     lengths = shared.where(F.col("place") >= j.block).groupBy("gram").agg((F.max("place").cast("int") / j.block).cast("int").alias("blocks"))
     blocks = F.coalesce("blocks", F.lit(0))
-    members = shared.join(sets.select("uid", "n", "sketch"), "uid").join(lengths, "gram", "left")
+    members = shared.join(sets.select("uid", "n", "sketch").hint("merge"), "uid").join(lengths, "gram", "left")
     own = F.floor(F.col("place") / j.block).cast("int")
     # the first of a long list is a guest in all its blocks, so their trees hang together
     at = members.withColumn("block", F.explode(F.when(F.col("place") == 0, F.sequence(F.lit(0), blocks)).otherwise(F.array(own))))
     at = at.select("gram", "block", "place", "uid", "n", "sketch", (blocks > 0).alias("long"))
-    seen, seen_path = store(in_groups(at, ["gram", "block"], ["place"], _forest(j), _OUT), "forest", "lz4")
+    dealt = at.repartition("gram", "block").sortWithinPartitions("gram", "block", "place")
+    seen, seen_path = store(dealt.mapInArrow(_forest(j), _OUT), "forest", "lz4")
     pairs, pairs_path = store(seen.where("kind = 0").select(F.col("uid").alias("a"), F.col("other").alias("b"), F.col("n").alias("n_a"), F.col("n_other").alias("n_b")).distinct(), "pairs")
     links, links_path = _verify(rows, reps, pairs, j)
     comp = components(links)

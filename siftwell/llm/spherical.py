@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from .common import remove, store, table
 from .graph import components
-from .jaccard import in_groups
 
 
 @dataclass(frozen=True)
@@ -154,57 +153,112 @@ def _filters(caps: Caps):
 _LINK = "kind int, a long, b long, n long"
 
 
-def _job(caps: Caps):
-    """Counts of links (kind 0: a has n) and a forest of links (kind 1: a, b) of one pair of blocks."""
-
-    def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        block = t.column("block").to_numpy()
-        rows, others = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        if not len(rows) or not len(others) or (lo == hi and len(rows) < 2):
-            return
-        uid, weight = t.column("uid").to_numpy(), t.column("weight").to_numpy()
-        here = t.column("filter")[0].as_py()
-        x = _unit(t.column("raw").to_pylist(), t.column("dim")[0].as_py())
-        lists = [np.frombuffer(f, np.uint32) for f in t.column("filters").to_pylist()]
-        n = np.zeros(len(uid), np.int64)
-        tree = np.arange(len(uid))
-
-        def find(i: int) -> int:
-            while tree[i] != i:
-                tree[i] = tree[tree[i]]
-                i = tree[i]
-            return i
-
-        edges = []
-        for at in range(0, len(rows), 256):
-            part = rows[at : at + 256]
-            ok = x[part] @ x[others].T >= caps.threshold
-            if lo == hi:
-                ok &= part[:, None] < others[None, :]
-            p, q = np.nonzero(ok)
-            for i, k in zip(part[p].tolist(), others[q].tolist(), strict=True):
-                f, g = lists[i], lists[k]
-                if f[0] != here and g[0] != here:  # else this is the first of one, so of both
-                    f, g = f[f < here], g[g < here]
-                    if np.isin(f, g, assume_unique=True).any():
-                        continue
-                n[i] += weight[k]
-                n[k] += weight[i]
-                a, b = find(i), find(k)
-                if a != b:
-                    tree[max(a, b)] = min(a, b)
-                    edges.append((i, k))
-        who = np.flatnonzero(n)
-        e = np.array(edges, np.int64).reshape(-1, 2)
-        if len(who):
-            kind = np.r_[np.zeros(len(who), np.int32), np.ones(len(e), np.int32)]
-            b = np.r_[np.zeros(len(who), np.int64), uid[e[:, 1]]]
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.r_[uid[who], uid[e[:, 0]]]), pa.array(b), pa.array(np.r_[n[who], np.zeros(len(e), np.int64)])], ["kind", "a", "b", "n"])
+def _earlier(flat: np.ndarray, ends: np.ndarray, here: int) -> np.ndarray:
+    """For each list of filters, the ones before ``here`` as bits, in a numbering of the group's own."""
+    row = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
+    keep = flat < here
+    names, at = np.unique(flat[keep], return_inverse=True)
+    bits = np.zeros((len(ends), max(1, len(names))), bool)
+    bits[row[keep], at] = True
+    return np.packbits(bits, axis=1)
+
+
+def _links(caps: Caps, t: pa.RecordBatch, s: int, e: int, buffers: tuple) -> tuple | None:
+    """Counts and a forest of links of the rows s to e, which are one job."""
+    (raw_at, raw), (list_at, lists), block, lo, hi, uid, weight, dim, filters = buffers
+    if e - s < 2:
+        return None
+    rows, others = (np.flatnonzero(block[s:e] == x) for x in (lo[s], hi[s]))
+    if not len(rows) or not len(others):
+        return None
+    size = int(raw_at[s + 1] - raw_at[s])
+    x = raw[raw_at[s] : raw_at[e]].view("<f8" if size == 8 * dim[s] else "<f4").reshape(e - s, -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # neither over- nor underflow
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    earlier = None
+    n, tree, edges = np.zeros(e - s, np.int64), list(range(e - s)), []
+    w = weight[s:e]
+
+    def find(i: int) -> int:
+        while tree[i] != i:
+            tree[i] = tree[tree[i]]
+            i = tree[i]
+        return i
+
+    for at in range(0, len(rows), 256):
+        part = rows[at : at + 256]
+        ok = x[part] @ x[others].T >= caps.threshold
+        if lo[s] == hi[s]:
+            ok &= part[:, None] < others[None, :]
+        p, q = np.nonzero(ok)
+        if not len(p):
+            continue
+        p, q = part[p], others[q]
+        if earlier is None:
+            earlier = _earlier(lists[list_at[s] : list_at[e]].view("<u4"), (list_at[s + 1 : e + 1] - list_at[s]) // 4, int(filters[s]))
+        first = np.concatenate([~(earlier[p[c : c + 50_000]] & earlier[q[c : c + 50_000]]).any(axis=1) for c in range(0, len(p), 50_000)])
+        p, q = p[first], q[first]
+        np.add.at(n, p, w[q])
+        np.add.at(n, q, w[p])
+        for i, k in zip(p.tolist(), q.tolist(), strict=True):
+            a, b = find(i), find(k)
+            if a != b:
+                tree[max(a, b)] = min(a, b)
+                edges.append((i, k))
+    who = np.flatnonzero(n)
+    if not len(who):
+        return None
+    f = np.array(edges, np.int64).reshape(-1, 2) + s
+    return who + s, n[who], f[:, 0], f[:, 1]
+
+
+def _jobs(caps: Caps):
+    """Counts of links (kind 0: a has n) and forests of links (kind 1: a, b), job by job."""
+
+    def work(t: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        num = {c: t.column(c).to_numpy() for c in ("group", "filter", "lo", "hi", "block", "uid", "weight", "dim")}
+
+        def blob(c: str) -> tuple[np.ndarray, np.ndarray]:
+            x = t.column(c)
+            return np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1].astype(np.int64), np.frombuffer(x.buffers()[2], np.uint8)
+
+        buffers = (blob("raw"), blob("filters"), num["block"], num["lo"], num["hi"], num["uid"], num["weight"], num["dim"], num["filter"])
+        cuts = [*_starts(num), t.num_rows]
+        found = [r for s, e in zip(cuts[:-1], cuts[1:], strict=True) if (r := _links(caps, t, s, e, buffers)) is not None]
+        if found:
+            who, n, a, b = (np.concatenate(z) for z in zip(*found, strict=True))
+            uid, zeros = num["uid"], np.zeros(len(who), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[zeros, np.ones(len(a), np.int64)].astype(np.int32)), pa.array(np.r_[uid[who], uid[a]]), pa.array(np.r_[zeros, uid[b]]), pa.array(np.r_[n, np.zeros(len(a), np.int64)])], ["kind", "a", "b", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = {c: batch.column(c).to_numpy() for c in ("group", "filter", "lo", "hi")}
+            if held and any(held[-1].column(c)[-1].as_py() != k[0] for c, k in keys.items()):
+                yield from work(pa.concat_batches(held))
+                held = []
+            cut = int(_starts(keys)[-1])
+            if cut:
+                yield from work(pa.concat_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from work(pa.concat_batches(held))
 
     return run
 
 
+def _starts(keys: dict[str, np.ndarray]) -> np.ndarray:
+    """Where a new job begins."""
+    change = np.zeros(len(keys["group"]), bool)
+    change[0] = True
+    for c in ("group", "filter", "lo", "hi"):
+        change[1:] |= keys[c][1:] != keys[c][:-1]
+    return np.flatnonzero(change)
+
+
 def near_vectors(vectors: DataFrame, caps: Caps = Caps(), *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label") -> DataFrame:  # noqa: B008
     """``vec_id, n_links, component_id, kept``, one row for each row of ``vectors``.
 
@@ -228,8 +282,9 @@ def near_vectors(vectors: DataFrame, caps: Caps = Caps(), *, id_col: str = "vec_
     long = listed.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > caps.block).select(*keys, F.ceil(F.col("m") / caps.block).cast("int").alias("blocks"))
     blocks = F.coalesce("blocks", F.lit(1))
     at = listed.join(long, keys, "left").withColumn("block", F.col("deal") % blocks).withColumn("to", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    jobs = at.select(*keys, F.least("block", "to").alias("lo"), F.greatest("block", "to").alias("hi"), "block", "uid", "weight", "raw", "filters")
-    found, found_path = store(in_groups(jobs, [*keys, "lo", "hi"], ["uid"], _job(caps), _LINK), "links")
+    jobs = at.select(F.xxhash64("label", "dim").alias("group"), "dim", "filter", F.least("block", "to").alias("lo"), F.greatest("block", "to").alias("hi"), "block", "uid", "weight", "raw", "filters")
+    order = ["group", "filter", "lo", "hi"]
+    found, found_path = store(jobs.repartition(*order).sortWithinPartitions(*order).mapInArrow(_jobs(caps), _LINK), "links")
     links = found.where("kind = 0").groupBy(F.col("a").alias("uid")).agg(F.sum("n").alias("n"))
     name = reps.select("uid", "first")
     edges = found.where("kind = 1").join(name.select(F.col("uid").alias("a"), F.col("first").alias("ra")), "a").join(name.select(F.col("uid").alias("b"), F.col("first").alias("rb")), "b")

@@ -259,7 +259,7 @@ def _forest(j: Join):
     def group(uid, n, place, block: int, long: bool, blobs: list[bytes]) -> tuple[list, np.ndarray]:
         m = len(uid)
         sketch = _Sketches(blobs)
-        tree = np.full(m, -1)
+        tree, touches = np.full(m, -1), np.zeros(m, bool)
         pairs = []
         every = _plausible(j, sketch, n, slice(0, m), slice(0, m)) & (uid[:, None] != uid[None, :]) if m <= 128 else None
         for i in range(m):
@@ -267,12 +267,13 @@ def _forest(j: Join):
                 continue
             near = every[i] if every is not None else _plausible(j, sketch, n, slice(i, i + 1), slice(0, None))[0] & (uid != uid[i])
             tree[i] = i
-            # all plausible pairs of a root are counted, so only those of two others are unseen
             k = np.flatnonzero(near)
-            k = k[(tree[k] != k) | (k > i)]
-            pairs += [(i, int(x)) for x in k]
-            tree[k[tree[k] < 0]] = i
-        again = place // j.block == block if long else tree != np.arange(m)  # in a long list the block's own, not the guest
+            free = tree[k] < 0
+            pairs += [(i, int(x)) for x in k[free]]
+            tree[k[free]] = i
+            # a root that comes near other trees is looked at again, when components are known
+            touches[i] = not free.all()
+        again = place // j.block == block if long else touches | (tree != np.arange(m))  # in a long list the block's own, not the guest
         k = np.flatnonzero(again)
         return pairs, k if len(k) > 1 or long else k[:0]
 

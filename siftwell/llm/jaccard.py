@@ -150,31 +150,37 @@ def _explode_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         grams = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("prefix")]
         if grams:
-            uid = np.repeat(batch.column("uid").to_numpy(), [len(g) for g in grams])
-            yield _rows([np.concatenate(grams), uid], [pa.int64(), pa.int64()], ["gram", "uid"])
+            each = [len(g) for g in grams]
+            uid, n = (np.repeat(batch.column(c).to_numpy(), each) for c in ("uid", "n"))
+            yield _rows([np.concatenate(grams), n, uid], [pa.int64(), pa.int64(), pa.int64()], ["gram", "n", "uid"])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by gram, those whose gram has a second row, with their place in its list."""
-    last, count, single = None, 0, None  # the open list: gram, rows so far, its row if it has but one
-    for batch in batches:
-        gram, uid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(gram):
-            continue
-        goes_on = last is not None and gram[0] == last
-        base = count if goes_on else 0
-        if goes_on and count == 1:
-            gram, uid, base = np.r_[last, gram], np.r_[single, uid], 0
-        starts = np.r_[0, np.flatnonzero(gram[1:] != gram[:-1]) + 1]
-        sizes = np.diff(np.r_[starts, len(gram)])
-        place = np.arange(len(gram)) - np.repeat(starts, sizes)
-        place[: sizes[0]] += base
-        total = sizes.copy()
-        total[0] += base
-        keep = np.repeat(total > 1, sizes)
-        last, count = gram[-1], int(total[-1])
-        single = uid[-1]
-        yield _rows([gram[keep], uid[keep], place[keep]], [pa.int64(), pa.int64(), pa.int32()], ["gram", "uid", "place"])
+def _shared(j: Join):
+    """From rows by gram and size, those beside which another of the gram is of a size that can link,
+    with their place among these.  Sizes ascend, so it is enough to look at the neighbours."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fits_before, before = None, False, 0  # the last row, whether it is to be kept, and rows kept of its gram
+        for batch in batches:
+            gram, n, uid = (batch.column(c).to_numpy() for c in ("gram", "n", "uid"))
+            if not len(gram):
+                continue
+            if held is not None:
+                gram, n, uid = (np.r_[h, x] for h, x in zip(held, (gram, n, uid), strict=True))
+            fits = (gram[1:] == gram[:-1]) & (j.den * n[:-1] >= j.num * n[1:])
+            keep = (np.r_[fits_before, fits[:-1]] | fits) if len(fits) else np.empty(0, bool)  # of all rows but the last
+            sofar = np.cumsum(keep) - keep
+            first = np.r_[True, gram[1:] != gram[:-1]]
+            start = np.maximum.accumulate(np.where(first, np.arange(len(gram)), 0))
+            base = np.r_[sofar, keep.sum()][start]
+            place = np.r_[sofar, keep.sum()] - base + np.where(start == 0, before, 0)
+            if keep.any():
+                yield _rows([gram[:-1][keep], uid[:-1][keep], place[:-1][keep].astype(np.int32)], [pa.int64(), pa.int64(), pa.int32()], ["gram", "uid", "place"])
+            held, fits_before, before = (gram[-1], n[-1], uid[-1]), bool(fits[-1]) if len(fits) else fits_before, int(place[-1])
+        if held is not None and fits_before:
+            yield _rows([np.array([held[0]]), np.array([held[2]]), np.array([before], np.int32)], [pa.int64(), pa.int64(), pa.int32()], ["gram", "uid", "place"])
+
+    return run
 
 
 def in_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable, schema: str) -> DataFrame:
@@ -458,9 +464,9 @@ def similar_documents(docs: DataFrame, j: Join = Join(), *, id_col: str = "doc_i
     first = sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "uid")).alias("m"))
     reps, reps_path = store(first.select("digest", F.col("m.doc_id").alias("rep"), F.col("m.uid").alias("uid")), "classes")
     # sets so small that only equal ones link are done
-    unlike = sets.where(F.col("n") * (j.den - j.num) >= j.num).select("uid", "n", "prefix", "sketch").join(reps.select("uid"), "uid", "left_semi")
-    listed = unlike.select("uid", "prefix").mapInArrow(_explode_prefix, "gram long, uid long").repartition("gram").sortWithinPartitions("gram", "uid")
-    shared, shared_path = store(listed.mapInArrow(_shared, "gram long, uid long, place int"), "shared", "lz4")
+    unlike = sets.where(F.col("n") * (j.den - j.num) >= j.num).select("uid", "n", "prefix", "sketch").join(reps.select("uid").hint("merge"), "uid", "left_semi")
+    listed = unlike.select("uid", "n", "prefix").mapInArrow(_explode_prefix, "gram long, n long, uid long").repartition("gram").sortWithinPartitions("gram", "n", "uid")
+    shared, shared_path = store(listed.mapInArrow(_shared(j), "gram long, uid long, place int"), "shared", "lz4")
     lengths = shared.where(F.col("place") >= j.block).groupBy("gram").agg((F.max("place").cast("int") / j.block).cast("int").alias("blocks"))
     blocks = F.coalesce("blocks", F.lit(0))
     members = shared.join(sets.select("uid", "n", "sketch").hint("merge"), "uid").join(lengths, "gram", "left")

@@ -4,12 +4,13 @@ Corners are found at several scales (a structure-tensor measure, maxima of their
 gets the direction of its patch's brightness centroid, and 64 brightness comparisons turned by that
 direction make a descriptor.  Descriptors are joined through Hamming tables: one table for each half
 of the bits, so two descriptors that differ in one half only meet in the other; the whole distance
-is then checked.  Matches of two images vote for a shift and a scale, and images with enough votes
+is then checked.  That counts the matches of two images, and where there are enough, all descriptors
+of the two are compared.  Matches vote for a shift and a scale, and images with enough votes
 in one bin are copies, be they cropped or edited.
 
-Equal images count once.  An image list of one table entry gives all its pairs if it is short; in
-a longer list each image is paired with its next neighbours only, which holds a group of copies
-together through the entries they share without listing all its pairs.
+Equal images count once.  In a list of one table entry an image with a repeated descriptor is there
+once, with its number.  A list gives all its pairs of images, however long it is, so a group of m
+copies costs m²/2 pairs for each corner they share.
 
 Images are grey: binary PGM (``P5``).  There is no table of images among the test tables, so the
 query draws each web page's whole text as a picture, a cell of 2 x 3 grey values for a character.
@@ -32,7 +33,7 @@ from .common import remove, store, table
 from .graph import components
 
 RADIUS = 7  # of a patch
-_RECORD = np.dtype([("key", "<u4"), ("image", "<u8"), ("x", "<i2"), ("y", "<i4"), ("scale", "u1"), ("bits", "<u8")])
+_CORNER = np.dtype([("x", "<i4"), ("y", "<i4"), ("scale", "u1"), ("bits", "<u8")])
 
 
 @dataclass(frozen=True)
@@ -40,7 +41,7 @@ class Match:
     """``spacing``: a corner is the strongest within this radius.  ``distance``: the most bits that
     matching descriptors differ in.  ``votes``: matches in one bin of ``bin`` pixels that make two
     images copies, ``share`` how many of the corners of the image with fewer they must be.
-    ``short``: a list up to this long gives all pairs, a longer one ``near`` neighbours each."""
+    ``pairs``: so many pairs are held before they are counted, which bounds memory only."""
 
     scales: int = 2
     spacing: int = 6
@@ -48,8 +49,7 @@ class Match:
     votes: int = 6
     share: float = 0.2
     bin: int = 12
-    short: int = 24
-    near: int = 6
+    pairs: int = 1_000_000
     buckets: int = 256
 
 
@@ -151,82 +151,208 @@ def describe(image: np.ndarray, m: Match) -> list[tuple[int, np.ndarray, np.ndar
     return out
 
 
-def _records(image: np.ndarray, name: int, m: Match) -> np.ndarray:
-    parts = []
+def _corners(image: np.ndarray, m: Match) -> np.ndarray:
+    parts = [np.empty(0, _CORNER)]
     for scale, x, y, bits in describe(image, m):
-        for half in range(2):
-            r = np.empty(len(x), _RECORD)
-            r["key"] = (bits >> np.uint64(32 * half)).astype(np.uint32) ^ np.uint32(0x9E3779B9 * half)
-            r["image"], r["x"], r["y"], r["scale"], r["bits"] = name, x << scale, y << scale, scale | half << 4, bits
-            parts.append(r)
-    return np.concatenate(parts) if parts else np.empty(0, _RECORD)
+        r = np.empty(len(x), _CORNER)
+        r["x"], r["y"], r["scale"], r["bits"] = x << scale, y << scale, scale, bits
+        parts.append(r)
+    return np.concatenate(parts)
 
 
 def _name(image: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(np.ascontiguousarray(image).tobytes(), seed=image.shape[1]) >> 1
 
 
-def _corners(load, m: Match):
-    """Records dealt to buckets by key, many in one value."""
+def _described(load, m: Match):
+    """id, name of the pixels and corners of each image."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                images = [load(v.as_py()) for v in part.column(1)]
+                names = pa.array([None if x is None else _name(x) for x in images], pa.int64())
+                blobs = pa.array([None if x is None else _corners(x, m).tobytes() for x in images], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), names, blobs], ["id", "image", "corners"])
+
+    return run
+
+
+_TABLES = ((0, 32), (32, 32))  # first bit and number of bits of each
+
+
+def _field(bits: np.ndarray, at: tuple[int, int]) -> np.ndarray:
+    return bits >> np.uint64(at[0]) & np.uint64((1 << at[1]) - 1)
+
+
+def _dealt(m: Match):
+    """(image, descriptor, how often) dealt to buckets by each table's key, many in one value."""
+    each = m.buckets // len(_TABLES)
+
+    def pack(held: list[np.ndarray], names: list[int]) -> Iterator[pa.RecordBatch]:
+        bits = np.concatenate(held)
+        image = np.repeat(np.array(names, np.uint64), [len(h) for h in held])
+        order = np.lexsort((bits, image))
+        bits, image = bits[order], image[order]
+        first = np.flatnonzero(np.r_[True, (bits[1:] != bits[:-1]) | (image[1:] != image[:-1])])
+        n = np.diff(np.r_[first, len(bits)]).astype(np.uint32)
+        bits, image = bits[first], image[first]
+        for t, at in enumerate(_TABLES):
+            bucket = (_field(bits, at) * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(each)
+            order = np.argsort(bucket, kind="stable")
+            there, cut = np.unique(bucket[order], return_index=True)
+            parts = [order[a:b] for a, b in zip(cut, [*cut[1:], len(order)], strict=True)]
+            blobs = [pa.compress(b"".join(c[i].tobytes() for c in (image, bits, n)), "zstd", asbytes=True) for i in parts]
+            yield pa.RecordBatch.from_arrays([pa.array((t * each + there).astype(np.int32)), pa.array([len(i) for i in parts], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "n", "records"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, names, size = [], [], 0
+        for batch in batches:
+            for name, blob in zip(batch.column(0), batch.column(1), strict=True):
+                held.append(np.frombuffer(blob.as_py(), _CORNER)["bits"])
+                names.append(name.as_py())
+                size += len(held[-1])
+                if size > 400_000:
+                    yield from pack(held, names)
+                    held, names, size = [], [], 0
+        if size:
+            yield from pack(held, names)
+
+    return run
+
+
+def _pairs(key: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places of sorted ``key`` whose keys are equal, about ``most`` at a time."""
+    i, d, held, n = np.arange(len(key)), 0, [], 0
+    while len(i):
+        d += 1
+        i = i[: np.searchsorted(i, len(key) - d)]
+        i = i[key[i + d] == key[i]]  # sorted: what isn't equal d further isn't equal later
+        held.append((i, i + d))
+        n += len(i)
+        if n > most or not len(i):
+            yield tuple(np.concatenate(z) for z in zip(*held, strict=True))
+            held, n = [], 0
+
+
+def _near(bits: np.ndarray, t: int, m: Match) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of different ``bits`` within the distance that meet in table t and in none before."""
+    key = _field(bits, _TABLES[t])
+    order = np.argsort(key, kind="stable")
+    for i, j in _pairs(key[order], m.pairs):
+        i, j = order[i], order[j]
+        off = bits[i] ^ bits[j]
+        ok = np.bitwise_count(off) <= m.distance
+        for at in _TABLES[:t]:
+            ok &= _field(off, at) != 0
+        yield i[ok], j[ok]
+
+
+def _crossed(start: np.ndarray, size: np.ndarray, u: np.ndarray, v: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a member of list u and a member of list v, about ``most`` at a time."""
+
+    def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+    i, other = spread(start[u], size[u]), np.repeat(v, size[u])
+    ends = np.cumsum(size[other])
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + most, most), side="right")) if len(ends) else []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield np.repeat(i[a:b], size[other[a:b]]), spread(start[other[a:b]], size[other[a:b]])
+
+
+def _candidates(m: Match):
+    """Images a < b of one bucket and in how many matches they meet there."""
+    each = m.buckets // len(_TABLES)
+
+    def meet(t: int, image: np.ndarray, bits: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if t == 0:  # equal descriptors meet in all tables
+            yield from _pairs(bits, m.pairs)
+        start = np.flatnonzero(np.r_[True, bits[1:] != bits[:-1]])
+        size = np.diff(np.r_[start, len(bits)])
+        for u, v in _near(bits[start], t, m):
+            yield from _crossed(start, size, u, v, m.pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for b, k, r in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                blobs.setdefault(b, []).append(pa.decompress(r, decompressed_size=20 * k, codec="zstd", asbytes=True))
+        for bucket, parts in blobs.items():
+            cols = [(np.frombuffer(p, "<u8", len(p) // 20), np.frombuffer(p, "<u8", len(p) // 20, len(p) // 20 * 8), np.frombuffer(p, "<u4", -1, len(p) // 20 * 16)) for p in parts]
+            image, bits, n = (np.concatenate(z) for z in zip(*cols, strict=True))
+            order = np.lexsort((image, bits))
+            image, bits, n = image[order], bits[order], n[order].astype(np.int64)
+            once = np.r_[True, (image[1:] != image[:-1]) | (bits[1:] != bits[:-1])]  # equal images have equal descriptors
+            image, bits, n = image[once], bits[once], n[once]
+            names, image = np.unique(image, return_inverse=True)
             held, size = [], 0
-            column = batch.column(0)
-            for i in range(batch.num_rows):
-                image = load(column[i].as_py())
-                if image is not None:
-                    held.append(_records(image, _name(image), m))
-                    size += len(held[-1])
-                if held and (size > 200_000 or i == batch.num_rows - 1):
-                    r = np.concatenate(held)
-                    if not len(r):
-                        continue
-                    bucket = (r["key"].astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(m.buckets)
-                    order = np.argsort(bucket, kind="stable")
-                    r, bucket = r[order], bucket[order]
-                    there, cut = np.unique(bucket, return_index=True)
-                    blobs = [r[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(r)], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "records"])
+
+            def counted(held: list) -> pa.RecordBatch:
+                code, n = (np.concatenate(z) for z in zip(*held, strict=True))
+                code, at = np.unique(code, return_inverse=True)
+                total = np.bincount(at, n).astype(np.int64)
+                a, b = (names[c].astype(np.int64) for c in np.divmod(code, len(names)))  # noqa: B023
+                return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(total)], ["a", "b", "n"])
+
+            for i, j in meet(bucket // each, image, bits, n):
+                ok = image[i] != image[j]
+                i, j = i[ok], j[ok]
+                if len(i):
+                    held.append((np.minimum(image[i], image[j]) * len(names) + np.maximum(image[i], image[j]), n[i] * n[j]))
+                    size += len(i)
+                if size > m.pairs:
+                    yield counted(held)
                     held, size = [], 0
+            if held:
+                yield counted(held)
 
     return run
 
 
-def _votes(m: Match):
-    """Votes of one bucket: images a < b, bin of shift, how many."""
+def _most(p: np.ndarray, q: np.ndarray, m: Match) -> tuple[int, int]:
+    """Votes in the fullest bin for corners p and q of two images, and all votes."""
+    if not len(p) or not len(q):
+        return 0, 0
+    far = [int(max(p[c].max(), q[c].max())) * 2 ** (m.scales - 1) // m.bin + 2 for c in ("x", "y")]
+    wide = 2 * far[0] + 1
+    cells = (2 * m.scales - 1) * (2 * far[1] + 1) * wide
+    codes, counts = [], []
+    (px, py, ps, pb), (qx, qy, qs, qb) = ([np.ascontiguousarray(r[c]) for c in ("x", "y", "scale", "bits")] for r in (p, q))
+    step = max(1, m.pairs // len(q))
+    for at in range(0, len(p), step):
+        i, j = np.nonzero(np.bitwise_count(pb[at : at + step, None] ^ qb) <= m.distance)
+        i += at
+        scale = ps[i].astype(np.int64) - qs[j]
+        by = 2.0**-scale  # q's image is so much larger
+        dx, dy = np.rint((px[i] * by - qx[j]) / m.bin), np.rint((py[i] * by - qy[j]) / m.bin)
+        code = (scale + m.scales - 1) * ((2 * far[1] + 1) * wide) + ((dy + far[1]) * wide + dx + far[0]).astype(np.int64)
+        if len(q) * len(p) > m.pairs or cells > 16 * len(code) + 4096:
+            code, n = np.unique(code, return_counts=True)
+            codes.append(code)
+            counts.append(n)
+        else:
+            n = np.bincount(code)
+            codes.append(np.flatnonzero(n))
+            counts.append(n[codes[-1]])
+    code, at = np.unique(np.concatenate(codes), return_inverse=True)
+    n = np.bincount(at, np.concatenate(counts), len(code))
+    return int(n.max(initial=0)), int(n.sum())
+
+
+def _verified(m: Match):
+    """The pairs that are copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: dict[int, list[bytes]] = {}
         for batch in batches:
-            for b, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                blobs.setdefault(b, []).append(r)
-        for parts in blobs.values():
-            r = np.unique(np.frombuffer(b"".join(parts), _RECORD))  # equal images give equal records; sorted by key, image
-            if len(r) < 2:
-                continue
-            start = np.flatnonzero(np.r_[True, r["key"][1:] != r["key"][:-1]])
-            size = np.repeat(np.diff(np.r_[start, len(r)]), np.diff(np.r_[start, len(r)]))
-            found = []
-            for d in range(1, m.short):
-                i = np.flatnonzero(r["key"][d:] == r["key"][:-d])
-                i = i[(size[i] <= m.short) | (d <= m.near)]
-                p, q = r[i], r[i + d]
-                ok = (p["image"] != q["image"]) & (p["scale"] >> 4 == q["scale"] >> 4) & (np.bitwise_count(p["bits"] ^ q["bits"]) <= m.distance)
-                # a match in both halves votes in the first table only
-                low = (p["bits"] ^ q["bits"]) & np.uint64(0xFFFFFFFF)
-                ok &= (p["scale"] >> 4 == 0) | (low != 0)
-                p, q = p[ok], q[ok]
-                scale = (p["scale"] & 15).astype(np.int32) - (q["scale"] & 15)
-                by = 2.0**scale  # b is so much larger than a
-                dx = np.rint((p["x"] / by - q["x"] / 1.0) / m.bin).astype(np.int32)
-                dy = np.rint((p["y"] / by - q["y"] / 1.0) / m.bin).astype(np.int32)
-                one = np.empty(len(p), [("a", "<i8"), ("b", "<i8"), ("scale", "<i4"), ("dx", "<i4"), ("dy", "<i4")])
-                one["a"], one["b"], one["scale"], one["dx"], one["dy"] = p["image"], q["image"], scale, dx, dy
-                found.append(one)
-            all_votes, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0), np.empty(0))
-            if len(n):
-                yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(all_votes[c])) for c in ("a", "b", "scale", "dx", "dy")], pa.array(n.astype(np.int64))], ["a", "b", "scale", "dx", "dy", "n"])
+            keep = []
+            for i in range(batch.num_rows):
+                p, q = (np.frombuffer(batch.column(c)[i].as_py(), _CORNER) for c in ("p", "q"))
+                most, every = _most(p, q, m)
+                if most >= m.votes and most >= m.share * every:
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return run
 
@@ -243,21 +369,16 @@ def image_copies(images: DataFrame, m: Match = Match(), *, id_col: str = "image_
     spark = images.sparkSession
     rows = images.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).alias("v"))
 
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got, n = [], []
-            for x in batch.column(1):
-                image = load(x.as_py())
-                got.append(None if image is None else _name(image))
-                n.append(0 if image is None else 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int64())], ["id", "image"])
-
-    named, named_path = store(rows.mapInArrow(names, "id long, image long"), "images")
-    dealt = rows.select("v").mapInArrow(_corners(load, m), "bucket int, records binary").repartition("bucket")
-    votes = dealt.mapInArrow(_votes(m), "a long, b long, scale int, dx int, dy int, n long")
-    # a bin and its right and lower neighbours: a shift near an edge of bins isn't cut in two
-    best = votes.groupBy("a", "b", "scale", "dx", "dy").agg(F.sum("n").alias("n")).groupBy("a", "b").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
-    links, links_path = store(best.where((F.col("most") >= m.votes) & (F.col("most") >= m.share * F.col("all"))).select("a", "b"), "copies")
+    named, named_path = store(rows.mapInArrow(_described(load, m), "id long, image long, corners binary"), "images")
+    full = named.where("length(corners) > 0").select("image", "corners")
+    dealt = full.mapInArrow(_dealt(m), "bucket int, n int, records binary").repartition("bucket")
+    met = dealt.mapInArrow(_candidates(m), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    met, met_path = store(met.where(F.col("n") >= m.votes).select("a", "b").repartition(4 * spark.sparkContext.defaultParallelism), "met")  # fewer can't fill a bin
+    some = met.select(F.col("a").alias("image")).union(met.select("b")).distinct()
+    held, held_path = store(full.join(some, "image", "left_semi").groupBy("image").agg(F.first("corners").alias("corners")), "met-images")
+    pairs = met.join(held.select(F.col("image").alias("a"), F.col("corners").alias("p")), "a").join(held.select(F.col("image").alias("b"), F.col("corners").alias("q")), "b")
+    links, links_path = store(pairs.mapInArrow(_verified(m), "a long, b long"), "copies")
+    named = named.select("id", "image")
     per = links.select(F.col("a").alias("image")).union(links.select("b")).groupBy("image").agg(F.count(F.lit(1)).alias("n_copies"))
     comp = components(links)
     first = named.where("image is not null and id is not null").groupBy("image").agg(F.min("id").alias("first"))
@@ -266,7 +387,7 @@ def image_copies(images: DataFrame, m: Match = Match(), *, id_col: str = "image_
     known, _ = store(known.join(low, "part").join(per, "image", "left").select("image", "component_id", F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies")), "image-classes")
     out = named.join(known, "image", "left").select("id", "image", F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
     result, _ = store(out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))), "media")
-    remove(spark, named_path, links_path)
+    remove(spark, named_path, met_path, held_path, links_path)
     return result
 
 

@@ -48,6 +48,31 @@ def test_large_groups(spark):
     assert {r.component_id for r in got if r.id >= 1000} == {1000 + i for i in range(10)}
 
 
+def test_whole_lists(spark):
+    base = texture(50, 90, 120)
+    rows = []
+    for i in range(60):
+        x = base.copy()
+        x[(i * 7) % 60 : (i * 7) % 60 + 12, (i * 5) % 90 : (i * 5) % 90 + 12] = i
+        rows.append((i, bytearray(media.write_pgm(x))))
+    got = media.image_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()
+    assert {r.n_copies for r in got} == {59}  # each with each other
+
+
+def test_pairs_are_whole():
+    key = np.sort(np.random.default_rng(0).integers(0, 9, 300))
+    for most in (1, 1000, 10**6):
+        got = [x for i, j in media._pairs(key, most) for x in zip(i.tolist(), j.tolist(), strict=True)]
+        assert sorted(got) == [(i, j) for i in range(300) for j in range(i + 1, 300) if key[i] == key[j]]
+
+
+def test_crossed():
+    start, size = np.array([0, 3, 4]), np.array([3, 1, 2])
+    for most in (1, 2, 100):
+        got = [x for i, j in media._crossed(start, size, np.array([0, 1]), np.array([2, 2]), most) for x in zip(i.tolist(), j.tolist(), strict=True)]
+        assert sorted(got) == [(i, j) for i in range(4) for j in (4, 5)]
+
+
 def test_pages(spark, sf_dir):
     from siftwell.llm.registry import queries
 

@@ -39,8 +39,8 @@ _CORNER = np.dtype([("x", "<i4"), ("y", "<i4"), ("scale", "u1"), ("bits", "<u8")
 @dataclass(frozen=True)
 class Match:
     """``spacing``: a corner is the strongest within this radius.  ``distance``: the most bits that
-    matching descriptors differ in.  ``votes``: matches in one bin of ``bin`` pixels that make two
-    images copies, ``share`` how many of the corners of the image with fewer they must be.
+    matching descriptors differ in.  ``votes``: matches in one bin of ``bin`` pixels and its right and
+    lower neighbours that make two images copies, ``share`` how many of the corners of the image with fewer they must be.
     ``pairs``: so many pairs are held before they are counted, which bounds memory only."""
 
     scales: int = 2
@@ -311,10 +311,11 @@ def _candidates(m: Match):
     return run
 
 
-def _most(p: np.ndarray, q: np.ndarray, m: Match) -> tuple[int, int]:
-    """Votes in the fullest bin for corners p and q of two images, and all votes."""
+def _most(p: np.ndarray, q: np.ndarray, m: Match) -> int:
+    """Votes for corners p and q of two images in the fullest bin with its right and lower neighbours,
+    so that a shift near an edge of bins isn't cut in two."""
     if not len(p) or not len(q):
-        return 0, 0
+        return 0
     far = [int(max(p[c].max(), q[c].max())) * 2 ** (m.scales - 1) // m.bin + 2 for c in ("x", "y")]
     wide = 2 * far[0] + 1
     cells = (2 * m.scales - 1) * (2 * far[1] + 1) * wide
@@ -336,9 +337,9 @@ def _most(p: np.ndarray, q: np.ndarray, m: Match) -> tuple[int, int]:
             n = np.bincount(code)
             codes.append(np.flatnonzero(n))
             counts.append(n[codes[-1]])
-    code, at = np.unique(np.concatenate(codes), return_inverse=True)
-    n = np.bincount(at, np.concatenate(counts), len(code))
-    return int(n.max(initial=0)), int(n.sum())
+    code, n = np.concatenate(codes), np.concatenate(counts)
+    code, at = np.unique(np.concatenate([code - d for d in (0, 1, wide, wide + 1)]), return_inverse=True)  # no bin is at an edge of the grid
+    return int(np.bincount(at, np.tile(n, 4)).max(initial=0))
 
 
 def _verified(m: Match):
@@ -349,8 +350,7 @@ def _verified(m: Match):
             keep = []
             for i in range(batch.num_rows):
                 p, q = (np.frombuffer(batch.column(c)[i].as_py(), _CORNER) for c in ("p", "q"))
-                most, every = _most(p, q, m)
-                if most >= m.votes and most >= m.share * every:
+                if _most(p, q, m) >= max(m.votes, m.share * min(len(p), len(q))):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 

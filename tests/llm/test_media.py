@@ -66,6 +66,44 @@ def test_pairs_are_whole():
         assert sorted(got) == [(i, j) for i in range(300) for j in range(i + 1, 300) if key[i] == key[j]]
 
 
+def test_repeated_descriptors(spark):
+    tile = texture(80, 24, 24)
+    rows = []
+    for i in range(8):
+        x = np.concatenate([np.tile(tile, (4, 5)), texture(81, 60, 120)])
+        x[100:110, 12 * i : 12 * i + 10] = i
+        rows.append((i, bytearray(media.write_pgm(x))))
+    got = media.image_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()
+    assert {(r.n_copies, r.component_id) for r in got} == {(7, 0)}
+
+
+def test_share_of_corners(spark):
+    passage = texture(90, 60, 120)
+    long = [np.concatenate([texture(91 + i, 150 * (2 + i), 120), passage, texture(95 + i, 300, 120)]) for i in range(2)]
+    base = texture(98, 240, 240)
+    half = base.reshape(120, 2, 120, 2).mean(axis=(1, 3)).astype(np.uint8)
+    images = [*long, base, half, np.rot90(base)]
+    m = media.Match()
+    c = [media._corners(x, m) for x in images]
+    shared = media._most(c[0], c[1], m)
+    assert m.votes <= shared < m.share * min(len(c[0]), len(c[1]))  # a shared passage has votes, but too few
+    rows = [(i, bytearray(media.write_pgm(x))) for i, x in enumerate(images)]
+    got = {r.id: (r.n_copies, r.component_id) for r in media.image_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    # matches of a turned image agree on no shift
+    assert got == {0: (0, 0), 1: (0, 1), 2: (1, 2), 3: (1, 2), 4: (0, 4)}
+
+
+def test_neighbour_bins():
+    m = media.Match()
+    p = np.zeros(8, media._CORNER)
+    p["bits"] = np.random.default_rng(3).integers(0, 2**63, 8)
+    q = p.copy()
+    p["x"], p["y"] = 500, 500
+    q["x"] = 500 + np.arange(8) % 2 * 12
+    q["y"] = 500 + np.arange(8) // 4 * 12
+    assert media._most(p, q, m) == 8
+
+
 def test_crossed():
     start, size = np.array([0, 3, 4]), np.array([3, 1, 2])
     for most in (1, 2, 100):

@@ -2,9 +2,11 @@
 
 Corners are found at several scales (a structure-tensor measure, maxima of their neighbourhood), each
 gets the direction of its patch's brightness centroid, and 64 brightness comparisons turned by that
-direction make a descriptor.  Descriptors are joined through Hamming tables: one table for each half
-of the bits, so two descriptors that differ in one half only meet in the other; the whole distance
-is then checked.  That counts the matches of two images, and where there are enough, all descriptors
+direction make a descriptor.  Descriptors are joined through Hamming tables, one for each of
+distance + 1 bands of the bits: two descriptors within the distance have a band in common.  In a
+table's list, the other bits are cut into distance + 1 parts of which they have one in common too,
+so lists are compared part by part; then the whole distance is checked.  Each pair counts once, in
+its first common band and part.  That counts the matches of two images, and where there are enough, all descriptors
 of the two are compared.  Matches vote for a shift and a scale, and images with enough votes
 in one bin are copies, be they cropped or edited.
 
@@ -179,7 +181,10 @@ def _described(load, m: Match):
     return run
 
 
-_TABLES = ((0, 32), (32, 32))  # first bit and number of bits of each
+def _cut(n: int, parts: int) -> list[tuple[int, int]]:
+    """(first, number) of each of ``parts`` runs of n bits."""
+    ends = [n * k // parts for k in range(parts + 1)]
+    return [(x, y - x) for x, y in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _field(bits: np.ndarray, at: tuple[int, int]) -> np.ndarray:
@@ -188,7 +193,7 @@ def _field(bits: np.ndarray, at: tuple[int, int]) -> np.ndarray:
 
 def _dealt(m: Match):
     """(image, descriptor, how often) dealt to buckets by each table's key, many in one value."""
-    each = m.buckets // len(_TABLES)
+    each = max(1, m.buckets // (m.distance + 1))
 
     def pack(held: list[np.ndarray], names: list[int]) -> Iterator[pa.RecordBatch]:
         bits = np.concatenate(held)
@@ -198,7 +203,7 @@ def _dealt(m: Match):
         first = np.flatnonzero(np.r_[True, (bits[1:] != bits[:-1]) | (image[1:] != image[:-1])])
         n = np.diff(np.r_[first, len(bits)]).astype(np.uint32)
         bits, image = bits[first], image[first]
-        for t, at in enumerate(_TABLES):
+        for t, at in enumerate(_cut(64, m.distance + 1)):
             bucket = (_field(bits, at) * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(each)
             order = np.argsort(bucket, kind="stable")
             there, cut = np.unique(bucket[order], return_index=True)
@@ -238,15 +243,26 @@ def _pairs(key: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]
 
 def _near(bits: np.ndarray, t: int, m: Match) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of pairs of different ``bits`` within the distance that meet in table t and in none before."""
-    key = _field(bits, _TABLES[t])
-    order = np.argsort(key, kind="stable")
-    for i, j in _pairs(key[order], m.pairs):
-        i, j = order[i], order[j]
-        off = bits[i] ^ bits[j]
-        ok = np.bitwise_count(off) <= m.distance
-        for at in _TABLES[:t]:
-            ok &= _field(off, at) != 0
-        yield i[ok], j[ok]
+    bands = _cut(64, m.distance + 1)
+    low, wide = bands[t]
+    band = _field(bits, bands[t])
+    rest = bits & np.uint64((1 << low) - 1) | (bits >> np.uint64(low) >> np.uint64(wide) << np.uint64(low) if low + wide < 64 else np.uint64(0))
+    parts = _cut(64 - wide, m.distance + 1)
+    for k, part in enumerate(parts):
+        key = band << np.uint64(part[1]) | _field(rest, part)
+        order = np.argsort(key, kind="stable")
+        for i, j in _pairs(key[order], m.pairs):
+            i, j = order[i], order[j]
+            off = bits[i] ^ bits[j]
+            ok = np.flatnonzero(np.bitwise_count(off) <= m.distance)
+            i, j, off = i[ok], j[ok], off[ok]
+            other = rest[i] ^ rest[j]
+            ok = np.ones(len(i), bool)
+            for at in bands[:t]:
+                ok &= _field(off, at) != 0
+            for at in parts[:k]:
+                ok &= _field(other, at) != 0
+            yield i[ok], j[ok]
 
 
 def _crossed(start: np.ndarray, size: np.ndarray, u: np.ndarray, v: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -264,7 +280,7 @@ def _crossed(start: np.ndarray, size: np.ndarray, u: np.ndarray, v: np.ndarray,
 
 def _candidates(m: Match):
     """Images a < b of one bucket and in how many matches they meet there."""
-    each = m.buckets // len(_TABLES)
+    each = max(1, m.buckets // (m.distance + 1))
 
     def meet(t: int, image: np.ndarray, bits: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if t == 0:  # equal descriptors meet in all tables

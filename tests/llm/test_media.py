@@ -1,6 +1,7 @@
 """Copies of images: crops, edits, halved sizes; and the query's rows."""
 
 import numpy as np
+import pyarrow as pa
 
 from siftwell.llm import media
 
@@ -104,6 +105,25 @@ def test_neighbour_bins():
     assert media._most(p, q, m) == 8
 
 
+def test_tables_meet_all():
+    m = media.Match()
+    rng = np.random.default_rng(4)
+    bits = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    flips = [np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, k % 7, replace=False).astype(np.uint64)) if k % 7 else np.uint64(0) for k in range(1200)]
+    bits = np.unique(np.r_[bits, np.resize(bits, 1200) ^ np.array(flips, np.uint64)])
+    apart = np.bitwise_count(bits[:, None] ^ bits)
+    want = [(i, j) for i, j in zip(*np.nonzero(apart <= m.distance), strict=True) if i < j]
+    # as they are dealt: each table's lists hold equal bands
+    got = [(min(x), max(x)) for t in range(m.distance + 1) for i, j in media._near(bits, t, m) for x in zip(i.tolist(), j.tolist(), strict=True)]
+    assert len(want) > 500 and sorted(got) == want  # each once
+    image = lambda b, name: (name, np.array([(0, 0, 0, x) for x in b], media._CORNER).tobytes())
+    flipped = bits[:40] ^ np.uint64(0x8000_0100_0001_0001)  # two bits in each half
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(image(bits[:40], 1), image(flipped, 2), strict=True)], ["image", "corners"])
+    met = [r for b in media._candidates(m)(media._dealt(m)(iter([batch]))) for r in b.to_pylist()]
+    want = int((np.bitwise_count(bits[:40, None] ^ flipped) <= m.distance).sum())
+    assert want >= 40 and {(r["a"], r["b"]) for r in met} == {(1, 2)} and sum(r["n"] for r in met) == want
+
+
 def test_crossed():
     start, size = np.array([0, 3, 4]), np.array([3, 1, 2])
     for most in (1, 2, 100):

@@ -21,6 +21,14 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _UPPER.lower())
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, longer where ``df`` has a column of that name, upper or lower case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 

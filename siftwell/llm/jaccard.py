@@ -1,32 +1,38 @@
 """N-gram Jaccard join by vertical partitioning.
 
-All n-grams stand in one global order: those with a rare word first, then by hash.  Sets that are
-equal are joined through a digest.  Two different sets can only be similar enough if they share one
-of the first n-grams of each (the prefix that the threshold leaves room for), so only sets that
-share one there are compared, first by parity sketches: the bits in which two sketches differ are a
-lower bound of the size of the symmetric difference, so pairs it rules out are ruled out for sure.
-The pairs left are counted exactly: the order is cut into fragments, each set's part in a fragment
-is a row, partial overlaps are counted fragment by fragment and summed for each pair.
-
-Within a list of sets that share an n-gram, first only a forest of plausible pairs is counted; then,
-when components are known, the plausible pairs between different components.  So copies of one text
-with small edits don't give all pairs, and no link between different components is lost.  Long
-lists are cut into blocks, and each pair of blocks is a job of its own.
+All n-grams stand in one global order: first by the leading bits of their hash, which cut the order
+into fragments, and within a fragment those with a rare word first, then by hash.  Sets that are equal
+are joined through a digest; what follows works on one set of each class.
+
+1. Lists.  If two sets link, there is a fragment in which they differ by no more than their share of
+   the whole difference, so there they share one of the first n-grams of each.  The longer a set, the
+   more fragments it is cut into, so that each allows a few dozen differences.  Sets that share such an
+   n-gram are compared by parity sketches of the fragment, of 256 bits at most: bits that differ are a
+   lower bound of the difference, so what they rule out is ruled out for sure.
+2. Families are the components of what is left.  Each set belongs to one, and its n-grams go there
+   once, a row for each fragment.
+3. In a family, partial overlaps are counted fragment by fragment and summed for each pair, up to the
+   fragment where the threshold is out of reach.  Only edges of a spanning forest leave the task.
+
+So no step gives all pairs of a group.  A list or family that is larger than a block is dealt to
+blocks that overlap in a few members; when their components are known, the members outside the main
+one are compared with all blocks, in chunks, so no link between different components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, store, table
+from .common import fresh, remove, store, table
 from .graph import components
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -37,15 +43,17 @@ class Join:
     """Sets of ``words``-grams link when ``den * |intersection| >= num * |union|``.
 
     ``frequent_words`` is how many of the most frequent words have their counts in the order; it
-    bounds what is broadcast (2 MB) and changes the order only, never the result.  ``fragments`` cut
-    the order; ``block`` is how many sets one task compares with each other at once."""
+    bounds what is broadcast (2 MB) and changes the order only, never the result.  ``fragments`` is
+    in how many the order is cut for counting; ``block`` is how many members of a list, and
+    ``block_grams`` how many n-grams of a family, one task compares with each other at once."""
 
     words: int = 5
     num: int = 80
     den: int = 100
     frequent_words: int = 150_000
     fragments: int = 8
-    block: int = 2048
+    block: int = 4096
+    block_grams: int = 4_000_000
 
     def most_apart(self, total: np.ndarray | int) -> np.ndarray | int:
         """The largest symmetric difference of a linked pair whose sizes add up to ``total``."""
@@ -54,6 +62,25 @@ class Join:
     def prefix(self, n: int) -> int:
         return n - -(-self.num * n // self.den) + 1
 
+    def largest(self, n: int) -> int:
+        """The size of the largest set that can link with one of size ``n``."""
+        return n * self.den // self.num
+
+    def cut(self, n: int) -> int:
+        """Into how many fragments, as a power of two, the larger of two sets of size ``n`` cuts both."""
+        apart, k = self.most_apart(n + self.largest(n)), 0
+        while apart >> k > SKETCHED[-1][0]:
+            k += 1
+        return k
+
+    def fits(self, less: np.ndarray, more: np.ndarray) -> np.ndarray:
+        return self.den * less >= self.num * more
+
+
+#: (differences, words): up to so many differences are told from unlike sets by a sketch of so many 64-bit words.
+SKETCHED = ((12, 1), (35, 2), (88, 4))
+_PART = struct.Struct("<BBxxI")  # power of two of fragments, words of the sketch, n-grams
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _A
@@ -104,23 +131,55 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batch.column(0):
             held.append(np.unique(word_hashes(x.as_py())))
             size += len(held[-1])
-            if size > 4_000_000:
+            if size > 1_000_000:
                 yield flush()
                 held, size = [], 0
     if held:
         yield flush()
 
 
-#: The longest sketch, in 64-bit words.  It goes along with every entry of a list; a shorter sketch
-#: rules out less, and what it lets through is counted exactly.
-SKETCH_WORDS = 32
+def _edges(k: int) -> np.ndarray:
+    """Where hashes are cut into 2**k fragments."""
+    return np.arange(1, 1 << k, dtype=np.uint64) << np.uint64(64 - k) if k else np.empty(0, np.uint64)
+
+
+def _parts(j: Join, h: np.ndarray, least: np.ndarray) -> bytes:
+    """For each way to cut the set and each fragment: the sketch and the keys of the lists it is in."""
+    n, out = len(h), []
+    for k in sorted({j.cut(n), j.cut(j.largest(n))}):
+        apart = j.most_apart(n + j.largest(n)) >> k
+        words = next((w for most, w in SKETCHED if apart <= most), SKETCHED[-1][1])
+        cuts = [0, *np.searchsorted(h, _edges(k)).tolist(), n]
+        for f, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            part = h[a:b]
+            p = j.prefix(n) if k == 0 else apart + 1
+            order = (least[a:b].astype(np.uint64) << np.uint64(56)) | (part >> np.uint64(8))
+            keys = (part[np.argpartition(order, p)[:p]] if p < len(part) else part) ^ _mix(np.array([k], np.uint64))
+            if k and len(part) <= apart:  # two parts as small as this may be near and share nothing
+                keys = np.r_[keys, _mix(np.array([(k << 32) + f], np.uint64))]
+            bits = np.bincount((part & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+            out += [_PART.pack(k, words, len(keys)), np.packbits(bits.astype(np.uint8)).tobytes(), keys.tobytes()]
+    return b"".join(out)
+
+
+def _read_parts(data: memoryview) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    at = 0
+    while at < len(data):
+        k, words, n = _PART.unpack_from(data, at)
+        at += _PART.size
+        yield k, bytes(data[at : at + 8 * words]), np.frombuffer(data, np.int64, n, at + 8 * words)
+        at += 8 * (words + n)
+
+
+def _digest(h: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None
 
 
 def _sets(j: Join, frequent: np.ndarray, level: np.ndarray):
-    """doc -> size, digest, prefix (n-gram hashes) and parity sketch."""
+    """doc -> size, digest, sketches and keys of lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types, names = [pa.int64(), pa.int64(), *[pa.binary()] * 3], ["doc_id", "n", "digest", "prefix", "sketch"]
+        types, names = [pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["doc_id", "n", "digest", "lists"]
         for batch in batches:
             rows, size = [], 0
             for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -128,15 +187,9 @@ def _sets(j: Join, frequent: np.ndarray, level: np.ndarray):
                 at = np.minimum(np.searchsorted(frequent, w), len(frequent) - 1)
                 kind = np.where(frequent[at] == w, level[at], 0).astype(np.uint8) if len(frequent) else np.zeros(len(w), np.uint8)
                 h, least = ngrams(w, j.words, kind)
-                digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None
-                p = j.prefix(len(h)) if len(h) else 0
-                order = np.lexsort((h, least))[:p] if len(h) else []
-                words = 1
-                while words < SKETCH_WORDS and 64 * words < 8 * j.most_apart(2 * len(h)):
-                    words *= 2
-                bits = np.bincount((h & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
-                rows.append((d, len(h), digest, h[order].tobytes() if len(h) else b"", np.packbits(bits.astype(np.uint8)).tobytes()))
-                size += 8 * p
+                # sets so small that only equal ones link are in no list
+                rows.append((d, len(h), _digest(h), _parts(j, h, least) if len(h) * (j.den - j.num) >= j.num else b""))
+                size += len(rows[-1][-1])
                 if size > 4 << 20:
                     yield _rows(list(zip(*rows, strict=True)), types, names)
                     rows, size = [], 0
@@ -146,251 +199,258 @@ def _sets(j: Join, frequent: np.ndarray, level: np.ndarray):
     return run
 
 
-def _explode_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        grams = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("prefix")]
-        if grams:
-            each = [len(g) for g in grams]
-            uid, n = (np.repeat(batch.column(c).to_numpy(), each) for c in ("uid", "n"))
-            yield _rows([np.concatenate(grams), n, uid], [pa.int64(), pa.int64(), pa.int64()], ["gram", "n", "uid"])
+def _heavy(least: int = 16, flush: int = 1_000_000):
+    """Keys found ``least`` times or more in ``flush`` of a task's, and how often; a list that is in no
+    such stretch holds at most ``least`` in ``flush`` of all entries, and stays in one block."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
-def _shared(j: Join):
-    """From rows by gram and size, those beside which another of the gram is of a size that can link,
-    with their place among these.  Sizes ascend, so it is enough to look at the neighbours."""
+        def counted():
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            return _rows([key[n >= least], n[n >= least]], [pa.int64(), pa.int64()], ["key", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, fits_before, before = None, False, 0  # the last row, whether it is to be kept, and rows kept of its gram
         for batch in batches:
-            gram, n, uid = (batch.column(c).to_numpy() for c in ("gram", "n", "uid"))
-            if not len(gram):
-                continue
-            if held is not None:
-                gram, n, uid = (np.r_[h, x] for h, x in zip(held, (gram, n, uid), strict=True))
-            fits = (gram[1:] == gram[:-1]) & (j.den * n[:-1] >= j.num * n[1:])
-            keep = (np.r_[fits_before, fits[:-1]] | fits) if len(fits) else np.empty(0, bool)  # of all rows but the last
-            sofar = np.cumsum(keep) - keep
-            first = np.r_[True, gram[1:] != gram[:-1]]
-            start = np.maximum.accumulate(np.where(first, np.arange(len(gram)), 0))
-            base = np.r_[sofar, keep.sum()][start]
-            place = np.r_[sofar, keep.sum()] - base + np.where(start == 0, before, 0)
-            if keep.any():
-                yield _rows([gram[:-1][keep], uid[:-1][keep], place[:-1][keep].astype(np.int32)], [pa.int64(), pa.int64(), pa.int32()], ["gram", "uid", "place"])
-            held, fits_before, before = (gram[-1], n[-1], uid[-1]), bool(fits[-1]) if len(fits) else fits_before, int(place[-1])
-        if held is not None and fits_before:
-            yield _rows([np.array([held[0]]), np.array([held[2]]), np.array([before], np.int32)], [pa.int64(), pa.int64(), pa.int32()], ["gram", "uid", "place"])
+            for x in batch.column(0):
+                for _, _, keys in _read_parts(memoryview(x.as_buffer())):
+                    held.append(keys)
+                    size += len(keys)
+                if size > flush:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
 
     return run
 
 
-def in_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable, schema: str) -> DataFrame:
-    """Call ``fn(rows)`` for the rows of each key, a pyarrow table, one group in memory at a time."""
-    names = list(df.columns)
+_LIST = "key long, size long, uid long, sketch binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(names.index(k)).to_numpy(zero_copy_only=False) for k in keys]
-            change = np.zeros(batch.num_rows, bool)
-            for c in cols:
-                change[1:] |= c[1:] != c[:-1]
-            cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                here = tuple(c[a] for c in cols)
-                if held and here != key:
-                    yield from fn(pa.Table.from_batches(held).combine_chunks())
-                    held = []
-                key = here
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from fn(pa.Table.from_batches(held).combine_chunks())
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each entry of a list; ``size`` is 64 times the size of the set and the power of two of fragments."""
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    def flush(held: list) -> pa.RecordBatch:
+        keys, sizes, uids, sketches = zip(*held, strict=True)
+        each = np.array([len(k) for k in keys])
+        ends = np.r_[0, np.cumsum(np.repeat([len(s) for s in sketches], each))].astype(np.int32)
+        data = b"".join([s * int(m) for s, m in zip(sketches, each, strict=True)])
+        blob = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+        return _rows([np.concatenate(keys), np.repeat(np.array(sizes, np.int64), each), np.repeat(np.array(uids, np.int64), each), blob], [*[pa.int64()] * 3, pa.binary()], ["key", "size", "uid", "sketch"])
+
+    for batch in batches:
+        held, n_held = [], 0
+        for uid, n, x in zip(batch.column("uid").to_pylist(), batch.column("n").to_pylist(), batch.column("lists"), strict=True):
+            for k, sketch, keys in _read_parts(memoryview(x.as_buffer())):
+                held.append((keys, 64 * n + k, uid, sketch))
+                n_held += len(keys)
+            if n_held > 50_000:
+                yield flush(held)
+                held, n_held = [], 0
+        if held:
+            yield flush(held)
 
 
 class _Sketches:
-    """Parity sketches of a group, folded to the shortest among them."""
-
-    def __init__(self, blobs: list[bytes]):
-        shortest = min(map(len, blobs))
-        out = np.empty((len(blobs), shortest // 8), np.uint64)
-        for i, b in enumerate(blobs):
-            x = np.frombuffer(b, np.uint64)
-            while x.nbytes > shortest:
-                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-            out[i] = x
-        self.bits = out
-
-    def apart(self, rows: slice | np.ndarray, others: slice | np.ndarray) -> np.ndarray:
-        a, b = self.bits[rows], self.bits[others]
-        total = np.zeros((len(a), len(b)), np.int32)
-        for k in range(a.shape[1]):
-            total += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
-        return total
-
-
-def _plausible(j: Join, sketch: _Sketches, n: np.ndarray, rows: slice, others: slice) -> np.ndarray:
-    a, b = n[rows][:, None], n[others][None, :]
-    fits = j.den * np.minimum(a, b) >= j.num * np.maximum(a, b)
-    return fits & (sketch.apart(rows, others) <= j.most_apart(a + b))
-
-
-_OUT = "kind int, gram long, uid long, other long, place int, n long, n_other long, sketch binary"
-_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-_NAMES = ["kind", "gram", "uid", "other", "place", "n", "n_other", "sketch"]
-
-
-def _pairs_apart(data: np.ndarray, at: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bits in which sketches a[i] and b[i] differ, for sketches of equal size; else 0."""
-    out = np.zeros(len(a), np.int64)
-    same = size[a] == size[b]
-    for w in np.unique(size[a][same]):
-        i = np.flatnonzero(same & (size[a] == w))
-        for k in range(0, len(i), 20_000):
-            c = i[k : k + 20_000]
-            x, y = (data[at[v[c]][:, None] + np.arange(w)].view(np.uint64) for v in (a, b))
-            out[c] = np.bitwise_count(x ^ y).sum(axis=1)
-    return out
-
+    """Members of lists: sizes and sketches, also folded to shorter ones."""
 
-def _forest(j: Join):
-    """Pairs (kind 0) of a forest over each block; members (kind 1) whose lists need a second look.
-
-    Lists of two, which most are, are done together; the others one by one."""
-
-    def group(uid, n, place, block: int, long: bool, blobs: list[bytes]) -> tuple[list, np.ndarray]:
-        m = len(uid)
-        sketch = _Sketches(blobs)
-        tree, touches = np.full(m, -1), np.zeros(m, bool)
-        pairs = []
-        every = _plausible(j, sketch, n, slice(0, m), slice(0, m)) & (uid[:, None] != uid[None, :]) if m <= 128 else None
-        for i in range(m):
-            if tree[i] >= 0:
-                continue
-            near = every[i] if every is not None else _plausible(j, sketch, n, slice(i, i + 1), slice(0, None))[0] & (uid != uid[i])
-            tree[i] = i
-            k = np.flatnonzero(near)
-            free = tree[k] < 0
-            pairs += [(i, int(x)) for x in k[free]]
-            tree[k[free]] = i
-            # a root that comes near other trees is looked at again, when components are known
-            touches[i] = not free.all()
-        again = place // j.block == block if long else touches | (tree != np.arange(m))  # in a long list the block's own, not the guest
-        k = np.flatnonzero(again)
-        return pairs, k if len(k) > 1 or long else k[:0]
-
-    def work(t: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        gram, block, uid, n, place = (t.column(c).to_numpy() for c in ("gram", "block", "uid", "n", "place"))
-        long = t.column("long").to_numpy(zero_copy_only=False)
+    def __init__(self, j: Join, t: pa.Table | pa.RecordBatch):
+        self.j, self.uid = j, t.column("uid").to_numpy()
+        size = t.column("size").to_numpy()
+        self.n, self.cut = size >> 6, size & 63
         blob = t.column("sketch")
+        blob = blob.combine_chunks() if isinstance(blob, pa.ChunkedArray) else blob
         at = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1].astype(np.int64)
-        data = np.frombuffer(blob.buffers()[2], np.uint8)
-        size = np.diff(at)
-        start = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])])
-        many = np.diff(np.r_[start, len(gram)])
-        a = start[(many == 2) & ~long[start]]
-        b = a + 1
-        fits = (j.den * np.minimum(n[a], n[b]) >= j.num * np.maximum(n[a], n[b])) & (uid[a] != uid[b])
-        a, b = a[fits], b[fits]
-        ok = _pairs_apart(data, at, size, a, b) <= j.most_apart(n[a] + n[b])
-        left, right = [a[ok]], [b[ok]]
-        again = []
-        for s, m in zip(start.tolist(), many.tolist(), strict=True):
-            if m > 2 or m == 2 and long[s]:
-                e = s + m
-                pairs, k = group(uid[s:e], n[s:e], place[s:e], int(block[s]), bool(long[s]), [data[at[i] : at[i + 1]].tobytes() for i in range(s, e)])
-                if pairs:
-                    p = np.array(pairs) + s
-                    left.append(p[:, 0])
-                    right.append(p[:, 1])
-                again.append(k + s)
-            elif m == 1 and long[s] and place[s] // j.block == block[s]:
-                again.append(np.array([s]))
-        p, q = np.concatenate(left), np.concatenate(right)
-        p, q = np.where(uid[p] < uid[q], (p, q), (q, p))
-        m = len(p)
-        if m:
-            yield _rows([np.zeros(m, np.int32), gram[p], uid[p], uid[q], np.zeros(m, np.int32), n[p], n[q], [None] * m], _TYPES, _NAMES)
-        k = np.concatenate(again) if again else np.empty(0, np.int64)
-        for c in range(0, len(k), 20_000):
-            i = k[c : c + 20_000]
-            m = len(i)
-            yield _rows([np.ones(m, np.int32), gram[i], uid[i], [None] * m, place[i], n[i], [None] * m, blob.take(pa.array(i))], _TYPES, _NAMES)
+        data = np.frombuffer(blob.buffers()[2], np.uint8) if len(blob) else np.empty(0, np.uint8)
+        self.words = np.diff(at) // 8
+        self.bits = {w: np.zeros((len(blob), w), np.uint64) for w in (4, 2, 1)}
+        for w in (4, 2, 1):
+            i = np.flatnonzero(self.words == w)
+            if len(i):
+                got = data[at[i][:, None] + np.arange(8 * w)].view(np.uint64)
+                self.bits[w][i] = got
+                while w > 1:
+                    w //= 2
+                    got = got[:, :w] ^ got[:, w:]
+                    self.bits[w][i] = got
+
+    def near(self, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
+        """Whether members a[i] and b[i], or a and b[i], may link."""
+        a = np.broadcast_to(a, b.shape)
+        less, more = np.minimum(self.n[a], self.n[b]), np.maximum(self.n[a], self.n[b])
+        ok = self.j.fits(less, more) & (self.uid[a] != self.uid[b])
+        most = self.j.most_apart(less + more) >> self.cut[a]
+        words = np.minimum(self.words[a], self.words[b])
+        for w, bits in self.bits.items():
+            i = np.flatnonzero(ok & (words == w))
+            for at in range(0, len(i), 100_000):
+                c = i[at : at + 100_000]
+                ok[c] = np.bitwise_count(bits[a[c]] ^ bits[b[c]]).sum(axis=1) <= most[c]
+        return ok
+
+
+def _trees(near: Callable[[int, np.ndarray], np.ndarray], m: int) -> np.ndarray:
+    """A label for each of m members, the same for those that ``near`` holds together."""
+    label = np.full(m, -1)
+    for i in range(m):
+        if label[i] < 0:
+            label[i] = i
+            rest = np.flatnonzero(label < 0)
+            label[rest[near(i, rest)]] = i
+    names, n = np.unique(label, return_counts=True)
+    if len(names) > 1:  # all pairs of different trees: one of each pair isn't in the largest
+        for i in np.flatnonzero(label != names[n.argmax()]):
+            others = np.flatnonzero(label != label[i])
+            for other in np.unique(label[others[near(i, others)]]):
+                label[label == other] = label[i]
+    return label
+
+
+def _star(uid: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For labelled members: the least uid of each label with each other uid of it."""
+    order = np.lexsort((uid, label))
+    uid, label = uid[order], label[order]
+    first = np.maximum.accumulate(np.where(np.r_[True, label[1:] != label[:-1]], np.arange(len(uid)), 0))
+    other = uid[first] != uid
+    return uid[first][other], uid[other]
+
+
+_PAIR = "a long, b long"
+
+
+def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return _rows([a, b], [pa.int64()] * 2, ["a", "b"])
+
+
+#: Lists up to this long are done together, the others one by one.
+SHORT = 24
+
+
+def _forest(j: Join):
+    """A spanning forest of what may link, over each block of a list.  Rows come by list, block and size."""
+
+    def work(t: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        key, block, size = (t.column(c).to_numpy() for c in ("key", "block", "size"))
+        n = size >> 6
+        # sizes ascend, so where neighbours are too unlike, so are all before and after
+        run = (key[1:] == key[:-1]) & (block[1:] == block[:-1]) & j.fits(n[:-1], n[1:])
+        some = np.flatnonzero(np.r_[False, run] | np.r_[run, False])
+        if not len(some):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        first = ~np.r_[False, run][some]
+        group = np.cumsum(first) - 1
+        s = _Sketches(j, t.take(pa.array(some)))
+        start = np.flatnonzero(first)
+        many = np.diff(np.r_[start, len(some)])
+        label = np.arange(len(some))
+        i, d, pairs = np.flatnonzero(many[group] <= SHORT), 0, []
+        while len(i):
+            d += 1
+            i = i[i + d < len(some)]
+            i = i[group[i + d] == group[i]]
+            ok = s.near(i, i + d)
+            pairs.append((i[ok], i[ok] + d))
+        if pairs:
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            while True:
+                low = np.minimum(label[a], label[b])
+                if (label[a] == label[b]).all():
+                    break
+                np.minimum.at(label, a, low)
+                np.minimum.at(label, b, low)
+        for g in np.flatnonzero(many > SHORT):
+            at = start[g]
+            label[at : at + many[g]] = at + _trees(lambda i, others, at=at: s.near(at + i, at + others), int(many[g]))
+        return _star(s.uid, label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        found, size = [], 0
+
+        def edges(rows: list[pa.RecordBatch]) -> None:
+            nonlocal size
+            a, b = work(pa.concat_batches(rows))
+            if len(a):
+                found.append((a, b))
+                size += len(a)
+
+        def once() -> pa.RecordBatch:
+            pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)], axis=1), axis=0)
+            return _pair_rows(pairs[:, 0], pairs[:, 1])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            gram, block = batch.column("gram").to_numpy(), batch.column("block").to_numpy()
-            change = np.flatnonzero((gram[1:] != gram[:-1]) | (block[1:] != block[:-1])) + 1
+            key, block = batch.column("key").to_numpy(), batch.column("block").to_numpy()
+            change = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
             if held:
                 last = held[-1]
-                if (last.column("gram")[-1].as_py(), last.column("block")[-1].as_py()) != (gram[0], block[0]):
-                    yield from work(pa.concat_batches(held))
+                if (last.column("key")[-1].as_py(), last.column("block")[-1].as_py()) != (key[0], block[0]):
+                    edges(held)
                     held = []
             if len(change):
                 cut = int(change[-1])
-                yield from work(pa.concat_batches([*held, batch.slice(0, cut)]))
+                edges([*held, batch.slice(0, cut)])
                 held = [batch.slice(cut)]
             else:
                 held.append(batch)
+            if size > 500_000:
+                yield once()
+                found, size = [], 0
         if held:
-            yield from work(pa.concat_batches(held))
+            edges(held)
+        if size:
+            yield once()
 
     return run
 
 
-def _across(j: Join):
-    """Plausible pairs between members of different components, for one pair of blocks."""
+def in_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable, schema: str) -> DataFrame:
+    """Call ``fn(rows)`` for the rows of each key, a pyarrow table, one group in memory at a time."""
+    names = list(df.columns)
 
-    def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        uid, n, label, block = (t.column(c).to_numpy() for c in ("uid", "n", "label", "block"))
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        if len(uid) < 2 or (label == label[0]).all():
-            return
-        sketch = _Sketches(t.column("sketch").to_pylist())
-        rows = np.flatnonzero(block == lo)
-        others = np.flatnonzero(block == hi)
-        found = []
-        for at in range(0, len(rows), 256):
-            part = rows[at : at + 256]
-            ok = _plausible(j, sketch, n, part, others) & (label[part][:, None] != label[others][None, :])
-            if lo == hi:
-                ok &= part[:, None] < others[None, :]
-            x, y = np.nonzero(ok)
-            found.append(np.stack([part[x], others[y]]))
-        p = np.concatenate(found, axis=1)
-        if p.shape[1]:
-            a, b = np.where(uid[p[0]] < uid[p[1]], p, p[::-1])
-            yield _rows([uid[a], uid[b], n[a], n[b]], [pa.int64()] * 4, ["a", "b", "n_a", "n_b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
 
-    return run
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(names.index(k)).to_numpy(zero_copy_only=False) for k in keys]
+            change = np.zeros(batch.num_rows, bool)
+            for c in cols:
+                change[1:] |= c[1:] != c[:-1]
+            cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                here = tuple(c[a] for c in cols)
+                if held and here != key:
+                    yield from fn(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                key = here
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from fn(pa.Table.from_batches(held).combine_chunks())
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def _fragments(j: Join):
-    """doc -> digest and one row for each fragment of the order, here by the leading bits of the hash."""
+    """doc -> digest, size and a row for each fragment of the order that has n-grams of it."""
+    k = (j.fragments - 1).bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types, names = [pa.int64(), pa.binary(), pa.int32(), pa.binary()], ["doc_id", "digest", "fragment", "grams"]
-        edges = (np.arange(1, j.fragments, dtype=np.float64) * (2.0**64 / j.fragments)).astype(np.uint64)
+        types, names = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()], ["doc_id", "digest", "n", "fragment", "grams"]
         for batch in batches:
             rows, size = [], 0
             for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h, _ = ngrams(word_hashes(x.as_py()), j.words)
                 if not len(h):
                     continue
-                digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
-                cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
-                # 40 bits below the ones that tell the fragment: two n-grams of a pair are mixed up once in 10**7 pairs
-                short = (h << np.uint64(3)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                rows += [(d, digest, k, short[cuts[k] : cuts[k + 1]].tobytes()) for k in range(j.fragments) if cuts[k] < cuts[k + 1]]
-                size += short.nbytes
-                if size > 8 << 20:
+                digest = _digest(h)
+                cuts = [0, *np.searchsorted(h, _edges(k)).tolist(), len(h)]
+                rows += [(d, digest, len(h), f, h[a:b].tobytes()) for f, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+                size += h.nbytes
+                if size > 4 << 20:
                     yield _rows(list(zip(*rows, strict=True)), types, names)
                     rows, size = [], 0
             if rows:
@@ -399,49 +459,169 @@ def _fragments(j: Join):
     return run
 
 
-def _wide(x: pa.Scalar) -> np.ndarray:
-    """Ascending numbers from their five big-endian bytes each."""
-    b = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 5)
-    out = np.zeros((len(b), 8), np.uint8)
-    out[:, 3:] = b
-    return out.view(">u8")[:, 0].astype(np.uint64)
+class _Overlaps:
+    """Members of a family with their n-grams by fragment."""
+
+    def __init__(self, j: Join, t: pa.Table):
+        self.j = j
+        uid, fragment = t.column("uid").to_numpy(), t.column("fragment").to_numpy()
+        self.uid, at, who = np.unique(uid, return_index=True, return_inverse=True)
+        self.n = t.column("n").to_numpy()[at]
+        grams = t.column("grams")
+        self.parts = []
+        for f in np.unique(fragment):
+            rows = np.flatnonzero(fragment == f)
+            _, once = np.unique(who[rows], return_index=True)  # a document that is there twice gives a fragment twice
+            rows = rows[once]
+            blobs = [np.frombuffer(grams[int(r)].as_buffer(), np.uint64) for r in rows]
+            many = np.zeros(len(self.uid), np.int64)
+            many[who[rows]] = [len(b) for b in blobs]
+            _, code = np.unique(np.concatenate(blobs), return_inverse=True)
+            self.parts.append((code.astype(np.int32), np.r_[0, np.cumsum(many)], np.zeros(int(code.max()) + 1, np.int8)))
+
+    def near(self, a: int, others: np.ndarray) -> np.ndarray:
+        """Whether member a links with each of the others: partial overlaps by fragment, summed."""
+        less, more = np.minimum(self.n[a], self.n[others]), np.maximum(self.n[a], self.n[others])
+        left = np.flatnonzero(self.j.fits(less, more))
+        # the most n-grams of a that may be missing in the other
+        spare = self.n[a] - -(-self.j.num * (less + more)[left] // (self.j.den + self.j.num))
+        who = others[left]
+        for code, start, mark in self.parts:
+            if not len(left):
+                break
+            mine = code[start[a] : start[a + 1]]
+            if len(mine):
+                mark[mine] = 1
+                if 4 * len(who) > len(start):
+                    total = np.r_[0, np.cumsum(mark[code], dtype=np.int64)]
+                    both = total[start[who + 1]] - total[start[who]]
+                else:
+                    each = start[who + 1] - start[who]
+                    place = np.repeat(start[who] - np.cumsum(each) + each, each) + np.arange(each.sum())
+                    total = np.r_[0, np.cumsum(mark[code[place]], dtype=np.int64)]
+                    ends = np.cumsum(each)
+                    both = total[ends] - total[ends - each]
+                mark[mine] = 0
+                spare = spare - (len(mine) - both)
+                ok = spare >= 0
+                left, who, spare = left[ok], who[ok], spare[ok]
+        out = np.zeros(len(others), bool)
+        out[left] = True
+        return out
+
+
+def _within(j: Join):
+    def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        s = _Overlaps(j, t)
+        if len(s.uid) > 1:
+            yield _pair_rows(*_star(s.uid, _trees(s.near, len(s.uid))))
+
+    return run
+
+
+def _across(j: Join, of: type):
+    """Edges between members (kind 0) and others of the group (kind 1) whose labels differ."""
 
+    def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        s = of(j, t)
+        who = np.searchsorted(s.uid, t.column("uid").to_numpy()) if of is _Overlaps else np.arange(t.num_rows)
+        label, kind = np.empty(len(s.uid), np.int64), t.column("kind").to_numpy()
+        label[who] = t.column("label").to_numpy()
+        asks, told = np.zeros(len(label), bool), np.zeros(len(label), bool)
+        asks[who[kind == 1]], told[who[kind == 0]] = True, True
+        a, b = [], []
+        for i in np.flatnonzero(asks):
+            others = np.flatnonzero(told & (label != label[i]))
+            hit = others[s.near(i, others)] if len(others) else others
+            if len(hit):
+                for other, k in zip(*np.unique(label[hit], return_index=True), strict=True):
+                    a.append(s.uid[i])
+                    b.append(s.uid[hit[k]])
+                    label[label == other] = label[i]
+        if a:
+            yield _pair_rows(np.array(a), np.array(b))
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        both = []
-        for p, q in zip(batch.column("grams_a"), batch.column("grams_b"), strict=True):
-            z = np.concatenate([_wide(p), _wide(q)])
-            z.sort()
-            both.append(int((z[1:] == z[:-1]).sum()))
-        yield _rows([batch.column(c) for c in ("a", "b", "fragment", "n_a", "n_b")] + [both], [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 3], ["a", "b", "fragment", "n_a", "n_b", "both"])
+    return run
+
+
+def _blocked(blocks: Column, uid: str = "uid") -> Column:
+    """The blocks of a member: its own and, for one in 32, the next, so that blocks hang together."""
+    own = F.pmod(F.xxhash64(uid), blocks).cast("int")
+    twice = (blocks > 1) & (F.pmod(F.xxhash64(uid, F.lit(7)), F.lit(32)) == 0)
+    return F.when(twice, F.array(own, F.pmod(own + 1, blocks).cast("int"))).otherwise(F.array(own))
+
+
+def _between_blocks(rows: DataFrame, edges: DataFrame, j: Join, of: type, weight: str, most: int) -> tuple[DataFrame, str]:
+    """Edges between different components of ``edges`` in groups of several blocks.
+
+    ``rows``: group, blocks, uid, what ``of`` reads.  Members outside a group's largest component are
+    cut into chunks of ``most`` by ``weight``; each chunk meets each block."""
+    comp = components(edges).select(F.col("node").alias("uid"), F.col("component").alias("label"))
+    label, path = store(rows.join(comp, "uid", "left").withColumn("label", F.coalesce("label", "uid")), "members", "lz4")
+    per = label.groupBy("group", "label").agg(F.sum(weight).alias("w"))
+    per = per.groupBy("group").agg(F.max(F.struct("w", "label")).alias("m"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    mixed = per.select("group", F.col("m.label").alias("main"), F.ceil((F.col("w") - F.col("m.w")) / most).cast("int").alias("chunks"))
+    both = label.join(mixed, "group")
+    own = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
+    told = both.withColumn("block", own).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("kind", F.lit(0))
+    asks = both.where("label <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("chunk", F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int")).withColumn("kind", F.lit(1))
+    jobs = told.unionByName(asks.select(*told.columns)).drop("main", "chunks", "blocks")
+    more, more_path = store(in_groups(jobs, ["group", "block", "chunk"], ["kind", "uid"], _across(j, of), _PAIR), "edges")
+    remove(edges.sparkSession, path)
+    return more, more_path
 
 
-#: Up to so many sets (at most 48 bytes each) to be read again are broadcast to find them; beyond, the join shuffles.
-BROADCAST_SETS = 250_000
+#: Up to so many rows (at most 56 bytes each) are broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 250_000
 
 
-def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, j: Join) -> tuple[DataFrame, str]:
-    """The pairs that link, by partial overlaps of fragments, summed."""
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, a stored table, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _may_link(sets: DataFrame, reps: DataFrame, j: Join) -> tuple[DataFrame, list[str]]:
+    """Edges of a forest whose components hold together all that may link."""
+    listed = sets.where("length(lists) > 0").select("uid", "n", "lists")
+    heavy, heavy_path = store(listed.select("lists").mapInArrow(_heavy(), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > j.block).select("key", F.ceil(F.col("n") / j.block).cast("int").alias("blocks")), "heavy")
+    entries = listed.join(reps.select("uid").hint("merge"), "uid", "left_semi").mapInArrow(_entries, _LIST)
+    long = not heavy.isEmpty()
+    if long:
+        entries = entries.join(_small(heavy), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = entries.withColumn("block", F.explode(_blocked(F.col("blocks"))))
+    else:
+        dealt = entries.withColumn("block", F.lit(0))
+    dealt = dealt.select("key", "block", "size", "uid", "sketch").repartition("key", "block").sortWithinPartitions("key", "block", "size")
+    edges, path = store(dealt.mapInArrow(_forest(j), _PAIR).distinct(), "edges")
+    paths = [heavy_path, path]
+    if long:
+        rows = entries.where("blocks > 1").select(F.col("key").alias("group"), "blocks", "uid", "size", "sketch").withColumn("one", F.lit(1))
+        more, path = _between_blocks(rows, edges, j, _Sketches, "one", j.block)
+        edges = edges.union(more)
+        paths.append(path)
+    return edges, paths
+
+
+def _links(docs: DataFrame, reps: DataFrame, edges: DataFrame, j: Join) -> tuple[DataFrame, list[str]]:
+    """Edges of a forest whose components hold together all that links, from those that may."""
     spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-    need, need_path = store(reps.join(ids, "uid").select("uid", F.col("rep").alias("doc_id"), "digest"), "need")
-    few = need.count() <= BROADCAST_SETS
-    keys = need.select(F.col("doc_id").alias("_need")).distinct()
-    some = docs.join(F.broadcast(keys) if few else keys, F.col("doc_id") == F.col("_need"), "left_semi")
-    parts = some.mapInArrow(_fragments(j), "doc_id long, digest binary, fragment int, grams binary")
-    parts = parts.join(F.broadcast(need) if few else need, ["doc_id", "digest"]).select("uid", "fragment", "grams")
-    parts, parts_path = store(parts, "fragments", "lz4")
-    # the same way at every size, so that costs grow in proportion
-    of = lambda c: parts.select(F.col("uid").alias(c), "fragment", F.col("grams").alias(f"grams_{c}")).hint("merge")
-    joined = pairs.join(of("a"), "a").join(of("b"), ["b", "fragment"]).select("a", "b", "fragment", "n_a", "n_b", "grams_a", "grams_b")
-    # a document that is there twice gives a fragment twice
-    per = joined.mapInArrow(_overlaps, "a long, b long, fragment int, n_a long, n_b long, both long").groupBy("a", "b", "n_a", "n_b", "fragment").agg(F.max("both").alias("both"))
-    both = per.groupBy("a", "b", "n_a", "n_b").agg(F.sum("both").alias("both"))
-    out = both.where(F.col("both") * j.den >= (F.col("n_a") + F.col("n_b") - F.col("both")) * j.num).select("a", "b")
-    out, path = store(out, "links")
-    remove(spark, need_path, parts_path)
-    return out, path
+    family = components(edges).select(F.col("node").alias("uid"), F.col("component").alias("family"))
+    of = reps.join(family, "uid").select("uid", F.col("rep").alias("doc_id"), "digest", "n", "family")
+    size = of.groupBy("family").agg(F.ceil(F.sum("n") / j.block_grams).cast("int").alias("blocks"))
+    need, need_path = store(of.drop("n").join(size, "family"), "families")
+    few = _small(need)
+    keys = few.select(F.col("doc_id").alias("_need")).distinct()
+    some = docs.join(F.broadcast(keys) if few is not need else keys, F.col("doc_id") == F.col("_need"), "left_semi")
+    parts = some.mapInArrow(_fragments(j), "doc_id long, digest binary, n long, fragment int, grams binary").join(few, ["doc_id", "digest"]).drop("doc_id", "digest")
+    dealt = parts.withColumn("block", F.explode(_blocked(F.col("blocks")))).select("family", "block", "uid", "n", "fragment", "grams")
+    links, path = store(in_groups(dealt, ["family", "block"], ["uid", "fragment"], _within(j), _PAIR), "links")
+    paths = [need_path, path]
+    if not need.where("blocks > 1").isEmpty():
+        rows = parts.where("blocks > 1").select(F.col("family").alias("group"), "blocks", "uid", "n", "fragment", "grams").withColumn("weight", F.length("grams") / 8)
+        more, path = _between_blocks(rows, links, j, _Overlaps, "weight", j.block_grams)
+        links = links.union(more)
+        paths.append(path)
+    return links, paths
 
 
 def similar_documents(docs: DataFrame, j: Join = Join(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
@@ -459,36 +639,13 @@ def similar_documents(docs: DataFrame, j: Join = Join(), *, id_col: str = "doc_i
     order = np.argsort(frequent)
     level = np.minimum(255, np.floor(8 * np.log2(np.maximum(top["n"].to_numpy(np.float64), 1)))).astype(np.uint8)
     frequent, level = frequent[order], level[order]
-    made = rows.mapInArrow(_sets(j, frequent, level), "doc_id long, n long, digest binary, prefix binary, sketch binary")
+    made = rows.mapInArrow(_sets(j, frequent, level), "doc_id long, n long, digest binary, lists binary")
     sets, sets_path = store(made.select(F.monotonically_increasing_id().alias("uid"), "*"), "sets", "lz4")
-    first = sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "uid")).alias("m"))
-    reps, reps_path = store(first.select("digest", F.col("m.doc_id").alias("rep"), F.col("m.uid").alias("uid")), "classes")
-    # sets so small that only equal ones link are done
-    unlike = sets.where(F.col("n") * (j.den - j.num) >= j.num).select("uid", "n", "prefix", "sketch").join(reps.select("uid").hint("merge"), "uid", "left_semi")
-    listed = unlike.select("uid", "n", "prefix").mapInArrow(_explode_prefix, "gram long, n long, uid long").repartition("gram").sortWithinPartitions("gram", "n", "uid")
-    shared, shared_path = store(listed.mapInArrow(_shared(j), "gram long, uid long, place int"), "shared", "lz4")
-    lengths = shared.where(F.col("place") >= j.block).groupBy("gram").agg((F.max("place").cast("int") / j.block).cast("int").alias("blocks"))
-    blocks = F.coalesce("blocks", F.lit(0))
-    members = shared.join(sets.select("uid", "n", "sketch").hint("merge"), "uid").join(lengths, "gram", "left")
-    own = F.floor(F.col("place") / j.block).cast("int")
-    # the first of a long list is a guest in all its blocks, so their trees hang together
-    at = members.withColumn("block", F.explode(F.when(F.col("place") == 0, F.sequence(F.lit(0), blocks)).otherwise(F.array(own))))
-    at = at.select("gram", "block", "place", "uid", "n", "sketch", (blocks > 0).alias("long"))
-    dealt = at.repartition("gram", "block").sortWithinPartitions("gram", "block", "place")
-    seen, seen_path = store(dealt.mapInArrow(_forest(j), _OUT), "forest", "lz4")
-    pairs, pairs_path = store(seen.where("kind = 0").select(F.col("uid").alias("a"), F.col("other").alias("b"), F.col("n").alias("n_a"), F.col("n_other").alias("n_b")).distinct(), "pairs")
-    links, links_path = _verify(rows, reps, pairs, j)
-    comp = components(links)
-    again = seen.where("kind = 1").select("gram", "uid", "place", "n", "sketch").join(comp.select(F.col("node").alias("uid"), F.col("component").alias("label")), "uid", "left")
-    again = again.withColumn("label", F.coalesce("label", "uid")).join(lengths, "gram", "left").withColumn("block", own)
-    jobs = again.withColumn("to", F.explode(F.sequence(F.lit(0), blocks))).select("gram", F.least("block", "to").alias("lo"), F.greatest("block", "to").alias("hi"), "block", "uid", "n", "label", "sketch")
-    more = in_groups(jobs, ["gram", "lo", "hi"], ["uid"], _across(j), "a long, b long, n_a long, n_b long").distinct()
-    more, more_path = store(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        extra, extra_path = _verify(rows, reps, more, j)
-        links = links.union(extra)
-    else:
-        extra_path = more_path
+    first = sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "uid", "n")).alias("m"))
+    reps, reps_path = store(first.select("digest", F.col("m.doc_id").alias("rep"), F.col("m.uid").alias("uid"), F.col("m.n").alias("n")), "classes")
+    edges, edges_paths = _may_link(sets, reps, j)
+    links, links_paths = _links(rows, reps, edges, j)
+    remove(spark, *edges_paths)
     name = reps.select("uid", "rep")
     by_rep = links.join(name.withColumnRenamed("uid", "a").withColumnRenamed("rep", "ra"), "a").join(name.withColumnRenamed("uid", "b").withColumnRenamed("rep", "rb"), "b")
     # rows that share an id are one node: their classes hang together
@@ -498,7 +655,7 @@ def similar_documents(docs: DataFrame, j: Join = Join(), *, id_col: str = "doc_i
     ids = by_rep.select(F.col("ra").alias("a"), F.col("rb").alias("b")).union(same_id)
     final = components(ids)
     classes, classes_path = store(reps.join(final, F.col("rep") == F.col("node"), "left").select("digest", "rep", F.coalesce("component", "rep").alias("component")), "components")
-    remove(spark, shared_path, seen_path, pairs_path, links_path, more_path, extra_path, reps_path)
+    remove(spark, *links_paths, reps_path)
     out = sets.select("doc_id", "n", "digest").join(classes, "digest", "left")
     named = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id"))
     result, _ = store(out.select("doc_id", F.col("n").alias("n_shingles"), named("rep").alias("class_id"), named("component").alias("component_id")), "similar")
@@ -506,16 +663,12 @@ def similar_documents(docs: DataFrame, j: Join = Join(), *, id_col: str = "doc_i
     return result
 
 
-#: Up to so many ids (8 bytes each) to be dropped are broadcast; beyond, the join shuffles.
-BROADCAST_IDS = 1_000_000
-
-
 def keep_representatives(docs: DataFrame, j: Join = Join(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
     """``docs`` without the rows whose id isn't the smallest of its component; rows without an id stay."""
     found = similar_documents(docs, j, id_col=id_col, text_col=text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct().toDF(fresh(docs, "gone"))
+    few = gone.count() <= 4 * BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == gone[0], "left_anti")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,7 +62,7 @@ def made_up(seed, n=220):
     return [*rows, (n, None), (n + 1, ""), (n + 2, " \n\t"), (n + 3, "A b"), (n + 4, "a\x0bB"), (None, rows[0][1]), (3, "other text of row three " * 5), (3, rows[5][1])]
 
 
-@pytest.mark.parametrize("j", [jaccard.Join(words=3, num=90), jaccard.Join(), jaccard.Join(words=2, num=70, frequent_words=20, block=8, fragments=3)])
+@pytest.mark.parametrize("j", [jaccard.Join(words=3, num=90), jaccard.Join(), jaccard.Join(words=2, num=70, frequent_words=20, block=8, fragments=3, block_grams=400)])
 def test_join_brute(spark, j):
     rows = made_up(j.num)
     df = spark.createDataFrame([(d, x, "k") for d, x in rows], "doc_id long, text string, n string").repartition(3)
@@ -74,6 +74,52 @@ def test_join_brute(spark, j):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles) for r in got) == sorted((-1 if d is None else d, len(s)) for d, s in sets)
 
 
+@pytest.mark.parametrize("j", [jaccard.Join(words=3, num=90), jaccard.Join(block=10, block_grams=5000)])
+def test_long_texts_brute(spark, j):
+    """Sets so long that they are cut into several fragments, near the threshold and near the sizes where the cut changes."""
+    rng = random.Random(4)
+    rows, vocab = [], [f"w{i}" for i in range(3000)]
+    for n in (380, 420, 800, 900, 1700, 2500):
+        for _ in range(2):
+            base = rng.choices(vocab, k=n)
+            for k in range(12):
+                words = list(base)
+                for _ in range(k * n // (8 * j.words * 10)):
+                    words[rng.randrange(len(words))] = rng.choice(vocab)
+                rows.append((len(rows), " ".join(words[: n - rng.randrange(1 + n * k // 90)])))
+    got = {r.doc_id: r.component_id for r in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), j).collect()}
+    assert got == brute(rows, j)[0]
+
+
+def test_large_group(spark):
+    """900 texts around one, some of which link with few: no step gives rows by the square."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(900):
+        words = list(base)
+        for _ in range(rng.choice([1, 1, 2, 2, 3])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(50)}"
+        rows.append((i, " ".join(words)))
+    j = jaccard.Join(words=3, num=90, block=300, block_grams=50_000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in jaccard.similar_documents(df, j).collect()} == brute(rows, j)[0]
+    made = []
+    real = jaccard.store
+
+    def counted(d, name, *more):
+        out, path = real(d, name, *more)
+        made.append((name, out.count()))
+        return out, path
+
+    jaccard.store = counted
+    try:
+        jaccard.similar_documents(df, j).count()
+    finally:
+        jaccard.store = real
+    assert max(n for _, n in made) < 40 * len(rows), made
+
+
 def test_join_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.similar_documents(df).count() == 0

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cache import tidied
 from .common import remove, store, table
 from .graph import components
 
@@ -385,15 +386,15 @@ def image_copies(images: DataFrame, m: Match = Match(), *, id_col: str = "image_
     spark = images.sparkSession
     rows = images.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).alias("v"))
 
-    named, named_path = store(rows.mapInArrow(_described(load, m), "id long, image long, corners binary"), "images")
+    named, named_path = store(rows.mapInArrow(tidied(_described(load, m)), "id long, image long, corners binary"), "images")
     full = named.where("length(corners) > 0").select("image", "corners")
-    dealt = full.mapInArrow(_dealt(m), "bucket int, n int, records binary").repartition("bucket")
-    met = dealt.mapInArrow(_candidates(m), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    dealt = full.mapInArrow(tidied(_dealt(m)), "bucket int, n int, records binary").repartition("bucket")
+    met = dealt.mapInArrow(tidied(_candidates(m)), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     met, met_path = store(met.where(F.col("n") >= m.votes).select("a", "b").repartition(4 * spark.sparkContext.defaultParallelism), "met")  # fewer can't fill a bin
     some = met.select(F.col("a").alias("image")).union(met.select("b")).distinct()
     held, held_path = store(full.join(some, "image", "left_semi").groupBy("image").agg(F.first("corners").alias("corners")), "met-images")
     pairs = met.join(held.select(F.col("image").alias("a"), F.col("corners").alias("p")), "a").join(held.select(F.col("image").alias("b"), F.col("corners").alias("q")), "b")
-    links, links_path = store(pairs.mapInArrow(_verified(m), "a long, b long"), "copies")
+    links, links_path = store(pairs.mapInArrow(tidied(_verified(m)), "a long, b long"), "copies")
     named = named.select("id", "image")
     per = links.select(F.col("a").alias("image")).union(links.select("b")).groupBy("image").agg(F.count(F.lit(1)).alias("n_copies"))
     comp = components(links)

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cache import tidied
 from .common import store, table
 from .tokens import word_tokenizer
 
@@ -186,7 +187,7 @@ def pack_documents(docs: DataFrame, *, tokenizer: str, capacity: int = 2048, end
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids binary" * keep_ids
     # written, so that a piece's place among those of its length stays what it is
-    pieces, _ = store(rows.mapInArrow(_pieces(tokenizer, end_id, capacity, keep_ids), schema), "pieces")
+    pieces, _ = store(rows.mapInArrow(tidied(_pieces(tokenizer, end_id, capacity, keep_ids)), schema), "pieces")
     here = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     hist = {r.length: r.n for r in here.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = layout(pack_lengths(hist, capacity))
@@ -196,7 +197,7 @@ def pack_documents(docs: DataFrame, *, tokenizer: str, capacity: int = 2048, end
     ranked = pieces.join(here.select("length", "part", before.alias("_before")), ["length", "part"]).withColumn("_rank", F.col("_before") + F.col("nth"))
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     out = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + ", sequence_id long, offset long"
-    return ranked.select(*cols, "_rank").mapInArrow(_place(runs), out)
+    return ranked.select(*cols, "_rank").mapInArrow(tidied(_place(runs)), out)
 
 
 def assemble(packed: DataFrame) -> DataFrame:

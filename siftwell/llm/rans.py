@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cache import tidied
 from .common import remove, scratch, store, table
 from .tokens import word_tokenizer
 
@@ -76,94 +77,109 @@ class FrequencyTable:
         return self._slots
 
 
-def _encode_equal(ids: np.ndarray, t: FrequencyTable) -> list[bytes]:
-    """Blocks of equally many ids; ids has a row for each block."""
-    n_blocks, n = ids.shape
+_LANE = np.arange(LANES)
+
+
+def _encode_beside(parts: list[np.ndarray], t: FrequencyTable) -> list[bytes]:
+    """A block for each array of ids, coded side by side; the longest come first."""
+    n = np.array([len(p) for p in parts])
     steps = -(-n // LANES)
-    padded = np.zeros((n_blocks, steps * LANES), ids.dtype)
-    padded[:, :n] = ids
-    by_step = np.ascontiguousarray(padded.reshape(n_blocks, steps, LANES).transpose(1, 0, 2))
+    padded = np.zeros((len(parts), int(steps.max()) * LANES), parts[0].dtype)
+    for row, ids in zip(padded, parts, strict=True):
+        row[: len(ids)] = ids
+    by_step = np.ascontiguousarray(padded.reshape(len(parts), -1, LANES).transpose(1, 0, 2))
     freq, cum = t.freq.astype(np.uint64), t.cum.astype(np.uint64)
     bits, room = np.uint64(t.bits), np.uint64(63 - t.bits)
-    state = np.full((n_blocks, LANES), _LOW, np.uint64)
-    words = np.empty((steps, n_blocks, LANES), np.uint32)
-    out = np.empty((steps, n_blocks, LANES), bool)
+    states = np.full((len(parts), LANES), _LOW, np.uint64)
+    words = np.empty(by_step.shape, np.uint32)
+    out = np.zeros(by_step.shape, bool)
     marks = {}
-    for s in range(steps - 1, -1, -1):
-        live = n - s * LANES
-        sym = by_step[s]
+    for s in range(len(by_step) - 1, -1, -1):
+        k = int(np.searchsorted(-steps, -s, side="left"))  # blocks with more than s steps
+        state, sym = states[:k], by_step[s, :k]
         f, c = freq[sym], cum[sym]
-        if live < LANES:
-            f[:, live:] = 1
         full = state >= f << room
-        if live < LANES:
-            full[:, live:] = False
-        out[s] = full
-        words[s] = state.astype(np.uint32)  # the low half
+        ends = n[:k] < (s + 1) * LANES
+        idle = (n[:k] - s * LANES)[:, None] <= _LANE if ends.any() else None
+        if idle is not None:
+            f[idle] = 1
+            full &= ~idle
+        out[s, :k] = full
+        words[s, :k] = state.astype(np.uint32)  # the low half
         x = np.where(full, state >> _32, state)
         q = x // f
         x = (q << bits) + (x - q * f) + c
-        if live < LANES:
-            x[:, live:] = state[:, live:]
-        state = x
+        states[:k] = x if idle is None else np.where(idle, state, x)
         if s % MARK == 0:
-            marks[s] = state
+            marks[s] = states[:k].copy()
     at_marks = sorted(marks)
     counts = out.sum(axis=2, dtype=np.int64)  # (steps, blocks)
-    before = np.zeros((steps + 1, n_blocks), np.int64)
+    before = np.zeros((len(by_step) + 1, len(parts)), np.int64)
     np.cumsum(counts, axis=0, out=before[1:])
     blocks = []
-    for b in range(n_blocks):
+    for b in range(len(parts)):
         stream = words[:, b][out[:, b]].astype("<u4").tobytes()
-        points = b"".join(struct.pack("<I", int(before[s, b])) + marks[s][b].astype("<u8").tobytes() for s in at_marks)
+        own = [s for s in at_marks if s < steps[b]]
+        points = b"".join(struct.pack("<I", int(before[s, b])) + marks[s][b].astype("<u8").tobytes() for s in own)
         body = points + stream
-        blocks.append(_BLOCK.pack(n, len(stream) // 4, len(at_marks), zlib.crc32(body)) + body)
+        blocks.append(_BLOCK.pack(int(n[b]), len(stream) // 4, len(own), zlib.crc32(body)) + body)
     return blocks
 
 
+#: Blocks that are coded, and parts of blocks that are decoded, side by side.
+BESIDE = 16
+
+
+def encode_many(arrays: list[np.ndarray], t: FrequencyTable) -> list[list[bytes]]:
+    """For each array of ids its blocks in order."""
+    cuts = [[a[at : at + BLOCK] for at in range(0, len(a), BLOCK)] for a in arrays]
+    places = sorted(((i, k) for i, c in enumerate(cuts) for k in range(len(c))), key=lambda p: -len(cuts[p[0]][p[1]]))
+    out = [[b""] * len(c) for c in cuts]
+    for at in range(0, len(places), BESIDE):
+        some = places[at : at + BESIDE]
+        for (i, k), block in zip(some, _encode_beside([cuts[i][k] for i, k in some], t), strict=True):
+            out[i][k] = block
+    return out
+
+
 def encode_ids(ids: np.ndarray, t: FrequencyTable) -> list[bytes]:
     """Blocks for ids in order."""
-    whole = len(ids) // BLOCK
-    blocks = []
-    for at in range(0, whole, 16):
-        part = ids[at * BLOCK : min(whole, at + 16) * BLOCK]
-        blocks += _encode_equal(part.reshape(-1, BLOCK), t)
-    if len(ids) > whole * BLOCK:
-        blocks += _encode_equal(ids[None, whole * BLOCK :], t)
-    return blocks
+    return encode_many([ids], t)[0]
 
 
-def _decode_parts(parts: list[tuple[np.ndarray, np.ndarray, int]], t: FrequencyTable) -> list[np.ndarray]:
-    """Decode parts (states, words, ids) of equally many ids side by side."""
-    n = parts[0][2]
+def _decode_beside(parts: list[tuple[np.ndarray, np.ndarray, int]], t: FrequencyTable) -> list[np.ndarray]:
+    """Decode parts (states, words, ids) side by side; the longest come first."""
+    n = np.array([p[2] for p in parts])
     steps = -(-n // LANES)
-    state = np.stack([p[0] for p in parts])
+    states = np.stack([p[0] for p in parts])
     stream = np.concatenate([p[1] for p in parts] + [np.zeros(1, np.uint32)]).astype(np.uint64)
     at = np.cumsum([0] + [len(p[1]) for p in parts[:-1]])[:, None]
     freq, cum, slots = t.freq.astype(np.uint64), t.cum.astype(np.uint64), t.slots
     bits, low = np.uint64(t.bits), np.uint64((1 << t.bits) - 1)
-    out = np.empty((steps, len(parts), LANES), np.uint32)
-    for s in range(steps):
-        live = n - s * LANES
+    out = np.empty((int(steps.max()), len(parts), LANES), np.uint32)
+    for s in range(len(out)):
+        k = int(np.searchsorted(-steps, -s, side="left"))
+        state = states[:k]
         slot = state & low
         sym = slots[slot]
-        out[s] = sym
+        out[s, :k] = sym
         x = freq[sym] * (state >> bits) + slot - cum[sym]
         need = x < _LOW
-        if live < LANES:
-            need[:, live:] = False
-        place = at + np.cumsum(need, axis=1)
+        ends = n[:k] < (s + 1) * LANES
+        idle = (n[:k] - s * LANES)[:, None] <= _LANE if ends.any() else None
+        if idle is not None:
+            need &= ~idle
+        place = at[:k] + np.cumsum(need, axis=1)
         x = np.where(need, (x << _32) | stream[np.where(need, place - 1, 0)], x)
-        if live < LANES:
-            x[:, live:] = state[:, live:]
-        state, at = x, place[:, -1:]
-    return [out[:, i].reshape(-1)[:n] for i in range(len(parts))]
+        states[:k] = x if idle is None else np.where(idle, state, x)
+        at[:k] = place[:, -1:]
+    return [out[:, i].reshape(-1)[: n[i]] for i in range(len(parts))]
 
 
-def decode_blocks(data: memoryview, n_blocks: int, t: FrequencyTable) -> np.ndarray:
-    """All ids of a run of blocks; raises ValueError where a checksum doesn't hold."""
-    jobs: dict[int, list] = {}
-    place, order = 0, 0
+def _block_parts(data: memoryview, n_blocks: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """What stands between two checkpoints of a run of blocks: states, words and number of ids.
+    Raises ValueError where a checksum doesn't hold."""
+    parts, place = [], 0
     for b in range(n_blocks):
         n, n_words, n_marks, crc = _BLOCK.unpack_from(data, place)
         place += _BLOCK.size
@@ -176,38 +192,64 @@ def decode_blocks(data: memoryview, n_blocks: int, t: FrequencyTable) -> np.ndar
         starts = [struct.unpack_from("<I", body, k * (4 + 8 * LANES))[0] for k in range(n_marks)] + [n_words]
         for k in range(n_marks):
             states = np.frombuffer(body, "<u8", LANES, k * (4 + 8 * LANES) + 4).astype(np.uint64)
-            count = min(MARK * LANES, n - k * MARK * LANES)
-            jobs.setdefault(count, []).append((order, states, words[starts[k] : starts[k + 1]]))
-            order += 1
-    found: dict[int, np.ndarray] = {}
-    for count, some in jobs.items():
-        for at in range(0, len(some), 32):
-            group = some[at : at + 32]
-            for (i, *_), ids in zip(group, _decode_parts([(s, w, count) for _, s, w in group], t), strict=True):
-                found[i] = ids
-    return np.concatenate([found[i] for i in range(order)]) if order else np.empty(0, np.uint32)
+            parts.append((states, words[starts[k] : starts[k + 1]], min(MARK * LANES, n - k * MARK * LANES)))
+    return parts
+
+
+def decode_many(runs: list[tuple[memoryview, int]], t: FrequencyTable) -> list[np.ndarray]:
+    """All ids of each run of blocks."""
+    parts = [_block_parts(*r) for r in runs]
+    places = sorted(((i, k) for i, c in enumerate(parts) for k in range(len(c))), key=lambda p: -parts[p[0]][p[1]][2])
+    found = [[np.empty(0, np.uint32)] * len(c) for c in parts]
+    for at in range(0, len(places), 2 * BESIDE):
+        some = places[at : at + 2 * BESIDE]
+        for (i, k), ids in zip(some, _decode_beside([parts[i][k] for i, k in some], t), strict=True):
+            found[i][k] = ids
+    return [np.concatenate(f) if f else np.empty(0, np.uint32) for f in found]
+
+
+def decode_blocks(data: memoryview, n_blocks: int, t: FrequencyTable) -> np.ndarray:
+    """All ids of a run of blocks; raises ValueError where a checksum doesn't hold."""
+    return decode_many([(data, n_blocks)], t)[0]
+
+
+def pack_shards(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]], t: FrequencyTable) -> list[bytes]:
+    """A binary value for each (doc_ids, null flags, lengths, ids, start)."""
+    out = []
+    for (doc_ids, nulls, lengths, ids, start), blocks in zip(shards, encode_many([s[3] for s in shards], t), strict=True):
+        body = doc_ids.astype("<i8").tobytes() + nulls.astype("u1").tobytes() + lengths.astype("<u4").tobytes() + b"".join(blocks)
+        out.append(_HEAD.pack(MAGIC, t.crc, len(doc_ids), len(ids), len(blocks), zlib.crc32(body), start) + body)
+    return out
 
 
 def pack_shard(doc_ids: np.ndarray, nulls: np.ndarray, lengths: np.ndarray, ids: np.ndarray, start: int, t: FrequencyTable) -> bytes:
-    blocks = encode_ids(ids, t)
-    body = doc_ids.astype("<i8").tobytes() + nulls.astype("u1").tobytes() + lengths.astype("<u4").tobytes() + b"".join(blocks)
-    return _HEAD.pack(MAGIC, t.crc, len(doc_ids), len(ids), len(blocks), zlib.crc32(body), start) + body
+    return pack_shards([(doc_ids, nulls, lengths, ids, start)], t)[0]
+
+
+def unpack_shards(data: list, t: FrequencyTable) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """doc_ids, null flags, lengths, ids and start of each shard."""
+    heads, bodies = [_HEAD.unpack_from(d) for d in data], [memoryview(d)[_HEAD.size :] for d in data]
+    for (magic, crc, _, _, _, body_crc, _), body in zip(heads, bodies, strict=True):
+        if magic != MAGIC or crc != t.crc or zlib.crc32(body) != body_crc:
+            raise ValueError("not a shard of this table, or damaged")
+    out = []
+    for (_, _, n_docs, n_ids, _, _, start), body, ids in zip(heads, bodies, decode_many([(b[13 * h[2] :], h[4]) for h, b in zip(heads, bodies, strict=True)], t), strict=True):
+        if len(ids) != n_ids:
+            raise ValueError("a shard lacks ids")
+        out.append((np.frombuffer(body, "<i8", n_docs), np.frombuffer(body, "u1", n_docs, 8 * n_docs), np.frombuffer(body, "<u4", n_docs, 9 * n_docs), ids, start))
+    return out
 
 
 def unpack_shard(data: bytes, t: FrequencyTable) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """doc_ids, null flags, lengths, ids and start of a shard."""
-    magic, crc, n_docs, n_ids, n_blocks, body_crc, start = _HEAD.unpack_from(data)
-    body = memoryview(data)[_HEAD.size :]
-    if magic != MAGIC or crc != t.crc or zlib.crc32(body) != body_crc:
-        raise ValueError("not a shard of this table, or damaged")
-    ids = decode_blocks(body[13 * n_docs :], n_blocks, t)
-    if len(ids) != n_ids:
-        raise ValueError("a shard lacks ids")
-    return np.frombuffer(body, "<i8", n_docs), np.frombuffer(body, "u1", n_docs, 8 * n_docs), np.frombuffer(body, "<u4", n_docs, 9 * n_docs), ids, start
+    return unpack_shards([data], t)[0]
 
 
-#: Ids in a shard, as long as its documents are shorter.
-SHARD_IDS = 1 << 20
+#: Ids in a shard, as long as its documents are shorter.  Small, so that no value is a large object for the JVM.
+SHARD_IDS = 1 << 17
+#: Bytes of the input in a range of ids that is sorted in one task, and how many ranges there are at most.
+RANGE_BYTES, MOST_RANGES = 128 << 20, 20_000
+#: Shards that a task codes together.
+TOGETHER = 8
 
 
 def _tokenise(path: str, end_id: int, bounds: list[int]):
@@ -278,10 +320,11 @@ def _write(freq: np.ndarray, starts: dict[int, int], dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = FrequencyTable(freq)
         for batch in batches:
-            for bucket, before, _, docs, nulls, lengths, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                start = starts[bucket] + before
-                data = pack_shard(np.frombuffer(docs, "<i8"), np.frombuffer(nulls, "u1"), np.frombuffer(lengths, "<u4"), np.frombuffer(raw, dtype), start, t)
-                yield pa.RecordBatch.from_arrays([pa.array([start], pa.int64()), pa.array([data], pa.binary())], ["start", "shard"])
+            for at in range(0, batch.num_rows, TOGETHER):
+                bucket, before, _, docs, nulls, lengths, raw = (c.to_pylist() for c in batch.slice(at, TOGETHER).columns)
+                first = [starts[b] + k for b, k in zip(bucket, before, strict=True)]
+                shards = [(np.frombuffer(d, "<i8"), np.frombuffer(z, "u1"), np.frombuffer(n, "<u4"), np.frombuffer(r, dtype), s) for d, z, n, r, s in zip(docs, nulls, lengths, raw, first, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(pack_shards(shards, t), pa.binary())], ["start", "shard"])
 
     return run
 
@@ -297,15 +340,16 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int
     spark = docs.sparkSession
     tok = word_tokenizer(tokenizer)
     dtype, n_ids = tok.dtype.str, max(tok.n_ids, end_id + 1)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, size // RANGE_BYTES))
     cuts = docs.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 20 * n).alias("q")).first().q if n > 1 else []
     bounds = sorted(set(cuts or []))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    raw = rows.mapInArrow(_tokenise(tokenizer, end_id, bounds), "bucket int, doc_id long, raw binary")
+    raw = rows.mapInArrow(tidied(_tokenise(tokenizer, end_id, bounds)), "bucket int, doc_id long, raw binary")
     dealt = raw.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "doc_id")
-    shards, tmp = store(dealt.mapInArrow(_shards(dtype), "bucket int, before long, n_tokens long, docs binary, nulls binary, lengths binary, raw binary"), "ids", "lz4")
+    shards, tmp = store(dealt.mapInArrow(tidied(_shards(dtype)), "bucket int, before long, n_tokens long, docs binary, nulls binary, lengths binary, raw binary"), "ids", "lz4")
     counts = np.zeros(n_ids, np.int64)
-    for r in shards.select("raw").mapInArrow(_count(dtype, n_ids), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in shards.select("raw").mapInArrow(tidied(_count(dtype, n_ids)), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
     freq = FrequencyTable.from_counts(counts).freq
     starts, total = {}, 0
@@ -313,7 +357,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int
         starts[r.bucket] = total
         total += r.n
     spark.range(1).select(F.lit(bytearray(freq.astype("<u4").tobytes())).alias("freq")).write.parquet(f"{path}/table")
-    shards.mapInArrow(_write(freq, starts, dtype), "start long, shard binary").write.option("compression", "uncompressed").parquet(f"{path}/shards")
+    shards.mapInArrow(tidied(_write(freq, starts, dtype)), "start long, shard binary").write.option("compression", "uncompressed").parquet(f"{path}/shards")
     remove(spark, tmp)
 
 
@@ -324,23 +368,19 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = FrequencyTable(freq)
         for batch in batches:
-            for x in batch.column(0):
-                docs, nulls, lengths, ids, start = unpack_shard(x.as_buffer(), t)
-                raw = memoryview(ids.astype("<u4")).cast("B")
-                ends = np.cumsum(lengths, dtype=np.int64)
-                begins = ends - lengths
-                for at in range(0, len(docs), 1000):
-                    part = slice(at, at + 1000)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(docs[part], mask=nulls[part].astype(bool)),
-                            pa.array(begins[part] + start),
-                            pa.array([raw[4 * a : 4 * b] for a, b in zip(begins[part].tolist(), ends[part].tolist(), strict=True)], pa.binary()),
-                        ],
-                        ["doc_id", "start", "ids"],
-                    )
-
-    return spark.read.schema("start long, shard binary").parquet(f"{path}/shards").select("shard").mapInArrow(run, "doc_id long, start long, ids binary")
+            for first in range(0, batch.num_rows, TOGETHER):
+                for docs, nulls, lengths, ids, start in unpack_shards([x.as_buffer() for x in batch.column(0)[first : first + TOGETHER]], t):
+                    raw = ids.astype("<u4").tobytes()
+                    ends = np.cumsum(lengths, dtype=np.int64)
+                    begins = ends - lengths
+                    for at in range(0, len(docs), 1000):
+                        part = slice(at, at + 1000)
+                        cuts = 4 * np.r_[begins[part], ends[part][-1]]
+                        # views of a buffer in pa.array are never freed, so the array is made from its buffers
+                        held = pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts - cuts[0]).astype(np.int32).tobytes()), pa.py_buffer(raw[cuts[0] : cuts[-1]])])
+                        yield pa.RecordBatch.from_arrays([pa.array(docs[part], mask=nulls[part].astype(bool)), pa.array(begins[part] + start), held], ["doc_id", "start", "ids"])
+
+    return spark.read.schema("start long, shard binary").parquet(f"{path}/shards").select("shard").mapInArrow(tidied(run), "doc_id long, start long, ids binary")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cache import tidied
 from .common import remove, store, table
 from .graph import components
 
@@ -271,12 +272,12 @@ def near_vectors(vectors: DataFrame, caps: Caps = Caps(), *, id_col: str = "vec_
     spark = vectors.sparkSession
     label = F.col(label_col).cast("string") if label_col else F.lit("")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vec_col).alias("vec")).where("label is not null")
-    good = rows.mapInArrow(_clean, "id long, label string, dim int, raw binary")
+    good = rows.mapInArrow(tidied(_clean), "id long, label string, dim int, raw binary")
     one = good.groupBy("label", "dim", "raw").agg(F.count(F.lit(1)).alias("weight"), F.min("id").alias("first"))
     reps, reps_path = store(one.select(F.monotonically_increasing_id().alias("uid"), "*"), "vectors")
     # how many vectors each label has, in powers of two, so equal labels get equal codes
     size = reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("label", "dim", F.ceil(F.log2("n")).cast("int").alias("size"))
-    listed = reps.join(size, ["label", "dim"]).mapInArrow(_filters(caps), "uid long, label string, dim int, weight long, raw binary, filter long, filters binary")
+    listed = reps.join(size, ["label", "dim"]).mapInArrow(tidied(_filters(caps)), "uid long, label string, dim int, weight long, raw binary, filter long, filters binary")
     listed, listed_path = store(listed.select("*", F.expr(f"int(pmod(xxhash64(uid), {1 << 30}))").alias("deal")), "filters", "lz4")
     keys = ["label", "dim", "filter"]
     long = listed.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > caps.block).select(*keys, F.ceil(F.col("m") / caps.block).cast("int").alias("blocks"))
@@ -284,7 +285,7 @@ def near_vectors(vectors: DataFrame, caps: Caps = Caps(), *, id_col: str = "vec_
     at = listed.join(long, keys, "left").withColumn("block", F.col("deal") % blocks).withColumn("to", F.explode(F.sequence(F.lit(0), blocks - 1)))
     jobs = at.select(F.xxhash64("label", "dim").alias("group"), "dim", "filter", F.least("block", "to").alias("lo"), F.greatest("block", "to").alias("hi"), "block", "uid", "weight", "raw", "filters")
     order = ["group", "filter", "lo", "hi"]
-    found, found_path = store(jobs.repartition(*order).sortWithinPartitions(*order).mapInArrow(_jobs(caps), _LINK), "links")
+    found, found_path = store(jobs.repartition(*order).sortWithinPartitions(*order).mapInArrow(tidied(_jobs(caps)), _LINK), "links")
     links = found.where("kind = 0").groupBy(F.col("a").alias("uid")).agg(F.sum("n").alias("n"))
     name = reps.select("uid", "first")
     edges = found.where("kind = 1").join(name.select(F.col("uid").alias("a"), F.col("first").alias("ra")), "a").join(name.select(F.col("uid").alias("b"), F.col("first").alias("rb")), "b")
@@ -298,7 +299,7 @@ def near_vectors(vectors: DataFrame, caps: Caps = Caps(), *, id_col: str = "vec_
     known, _ = store(known, "vector-classes")
     remove(spark, listed_path, found_path, reps_path)
     every = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vec_col).alias("vec"))
-    tagged = every.mapInArrow(_tag, "id long, label string, dim int, raw binary")
+    tagged = every.mapInArrow(tidied(_tag), "id long, label string, dim int, raw binary")
     out = tagged.join(known, ["label", "dim", "raw"], "left")
     comp_id = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("id") == comp_id, F.lit(False)).alias("kept"))

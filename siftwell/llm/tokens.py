@@ -7,6 +7,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from .cache import Recent
+
 
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 bytes
@@ -22,9 +24,8 @@ def byte_letters() -> list[str]:
     return out
 
 
-#: Words and parts of words that a worker keeps, each; when there are more, it starts anew, so
-#: memory stays bounded (some 60 MB).
-CACHE_WORDS = 250_000
+#: Words and parts of words in each generation of a worker's caches (some 60 MB together).
+CACHE_WORDS = 150_000
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -53,55 +54,37 @@ class WordTokenizer:
         probe = "Ab!? c\nd"
         if self.library.encode(probe, add_special_tokens=False).ids != [i for w in ("ab", "!?", "c", "d") for i in self.library.encode(w, add_special_tokens=False).ids]:
             raise ValueError(f"{path}: not a tokenizer of lower-case words")
-        self._clear()
-
-    def _clear(self) -> None:
-        self._words: dict[str, bytes] = {"": b""}
-        self._stems: dict[str, bytes] = {"": b""}
+        self._words, self._stems = Recent(self._word, CACHE_WORDS), Recent(self._stem, CACHE_WORDS)
 
     def _stem(self, stem: str) -> bytes:
         """The ids of a part of a word, by the library.  Lower-case Latin-1 letters are what its
         normaliser leaves alone and its splitter leaves whole, so they go straight to its model."""
-        got = self._stems.get(stem)
-        if got is None:
-            if self._plain and stem.isascii() and stem.isalpha() and stem.islower():
-                ids = [t.id for t in self.library.model.tokenize(stem)]
-            elif self._plain and stem.isalpha() and stem.islower() and max(stem) <= "\xff":
-                ids = [t.id for t in self.library.model.tokenize("".join([self._letters[b] for b in stem.encode()]))]
-            else:
-                ids = self.library.encode(stem, add_special_tokens=False).ids
-            got = self._stems[stem] = array(self.dtype.char, ids).tobytes()
-        return got
-
-    def _learn(self, words: Iterable[str]) -> None:
-        known, stem_of = self._words, self._stem
-        for w in words:
-            stem = w.rstrip(_TAIL)
-            if stem == w or not self._plain and any(s in w for s in self._special):
-                known[w] = stem_of(w.lower() if w.isalpha() and w.isascii() else w)
-            elif stem.isalpha():
-                if stem.isascii() or max(stem) <= "\xff":
-                    stem = stem.lower()
-                known[w] = stem_of(stem) + stem_of(w[len(stem) :])
-            elif not stem or not stem[-1].isalnum() or any(s in w for s in self._special):
-                known[w] = stem_of(w)
-            else:
-                known[w] = stem_of(stem) + stem_of(w[len(stem) :])
+        if not stem:
+            return b""
+        if self._plain and stem.isascii() and stem.isalpha() and stem.islower():
+            ids = [t.id for t in self.library.model.tokenize(stem)]
+        elif self._plain and stem.isalpha() and stem.islower() and max(stem) <= "\xff":
+            ids = [t.id for t in self.library.model.tokenize("".join([self._letters[b] for b in stem.encode()]))]
+        else:
+            ids = self.library.encode(stem, add_special_tokens=False).ids
+        return array(self.dtype.char, ids).tobytes()
+
+    def _word(self, w: str) -> bytes:
+        of, stem = self._stems, w.rstrip(_TAIL)
+        if stem == w or not self._plain and any(s in w for s in self._special):
+            return of[w.lower() if w.isalpha() and w.isascii() else w]
+        if stem.isalpha():
+            if stem.isascii() or max(stem) <= "\xff":
+                return of[stem.lower()] + of[w[len(stem) :]]
+        elif not stem or not stem[-1].isalnum() or any(s in w for s in self._special):
+            return of[w]
+        return of[stem] + of[w[len(stem) :]]
 
     def encode_batch(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text (null: empty), as little-endian numbers of ``dtype``."""
+        of = self._words.__getitem__
         for text in texts:
-            words = (text or "").replace("\n", " ").split(" ")
-            new = set(words).difference(self._words)
-            if new:
-                if len(self._stems) > CACHE_WORDS:
-                    self._clear()
-                if len(self._words) + len(new) > CACHE_WORDS:
-                    self._words = {"": b""}
-                new = set(words).difference(self._words)
-                self._learn(new)
-            known = self._words
-            yield b"".join([known[w] for w in words])
+            yield b"".join(map(of, (text or "").replace("\n", " ").split(" ")))
 
 
 _loaded: dict[str, WordTokenizer] = {}

@@ -17,13 +17,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cache import Recent, tidied
 from .common import table
 from .tokens import byte_letters
 
 #: How byte-level vocabularies of this family cut a text into words (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words and chunks that a worker keeps, each; beyond that it starts anew.
-CACHE_WORDS = 300_000
+#: Words and chunks in each generation of a worker's caches.
+CACHE_WORDS = 150_000
 
 
 class ByteBPE:
@@ -50,8 +51,8 @@ class ByteBPE:
         self._word = regex.compile(PATTERN)
         self._odd = regex.compile(r"\s (?=\s)")
         self._cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self._words: dict[str, bytes] = {}
-        self._chunks: dict[str, bytes] = {}
+        self._words = Recent(lambda w: np.array(self.merge(w.encode()), "<u4").tobytes(), CACHE_WORDS)
+        self._chunks = Recent(lambda w: self._of_words(" " + w), CACHE_WORDS)
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word."""
@@ -87,17 +88,7 @@ class ByteBPE:
         return [s for s in sym if s >= 0]
 
     def _of_words(self, text: str) -> bytes:
-        out, known = [], self._words
-        for w in self._word.findall(text):
-            got = known.get(w)
-            if got is None:
-                if len(known) >= CACHE_WORDS:
-                    known.clear()
-                got = np.array(self.merge(w.encode()), "<u4").tobytes()
-                if len(w) < 64:
-                    known[w] = got
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(self._words.__getitem__, self._word.findall(text)))
 
     def _plain(self, text: str) -> bytes:
         """A text without special tokens.  A space before a non-space always begins a word, so a text
@@ -105,17 +96,7 @@ class ByteBPE:
         if self._odd.search(text) or "  " in text:
             return self._of_words(text)
         first, *rest = text.split(" ")
-        chunks = self._chunks
-        for w in rest:
-            if w not in chunks:
-                if len(chunks) >= CACHE_WORDS:
-                    return self._of_words(first) + self._full(rest)
-                chunks[w] = self._of_words(" " + w)
-        return (self._of_words(first) if first else b"") + b"".join([chunks[w] for w in rest])
-
-    def _full(self, rest: list[str]) -> bytes:
-        self._chunks.clear()
-        return b"".join([self._of_words(" " + w) for w in rest])
+        return self._of_words(first) + b"".join(map(self._chunks.__getitem__, rest))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers; special tokens in the text are taken as such."""
@@ -152,7 +133,7 @@ def encode_documents(docs: DataFrame, *, tokenizer: str, id_col: str = "doc_id",
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(since, i + 1 - since), pa.array(held, pa.binary())], ["doc_id", "ids"])
                     held, size, since = [], 0, i + 1
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(run), "doc_id long, ids binary")
 
 
 def decode_documents(ids: DataFrame, *, tokenizer: str) -> DataFrame:
@@ -170,7 +151,7 @@ def decode_documents(ids: DataFrame, *, tokenizer: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(held, pa.string())], ["doc_id", "ids", "text"])
                     held, size, since = [], 0, i + 1
 
-    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
+    return ids.select("doc_id", "ids").mapInArrow(tidied(run), "doc_id long, ids binary, text string")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,22 +17,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cache import Recent, tidied
 from .common import table
 
 BITS = 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") for i in range(8)], np.uint64)
 _CLASSES = ((re.compile(r"[A-Z]+"), "A"), (re.compile(r"[a-z]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"[^\W\d_A-Za-z]+"), "ä"))
 
 
 def shape(word: str) -> str:
-    """Runs of upper-case, lower-case, digits and other letters as one sign each; the rest as it is,
-    at most 12 signs and the last 4."""
+    """Runs of upper-case, lower-case, digits and other letters as one sign each; the rest as it is."""
     for pattern, sign in _CLASSES:
         word = pattern.sub(sign, word)
-    word = word.replace("ä", "a").replace("aa", "a").replace("aa", "a")
-    return word if len(word) <= 16 else f"{word[:12]}~{word[-4:]}"
+    return word.replace("ä", "a").replace("aa", "a").replace("aa", "a")
 
 
 class Features:
@@ -40,22 +39,19 @@ class Features:
 
     def __init__(self, bits: int = BITS):
         self.shift = np.uint64(64 - bits)
-        self._known: dict[str, tuple[int, int]] = {}
+        self._known = Recent(self._hash, CACHE_WORDS)
 
-    def _hash(self, word: str) -> tuple[int, int]:
-        if len(self._known) >= CACHE_WORDS:
-            self._known.clear()
+    def _hash(self, word: str) -> bytes:
+        """Hashes of the word, in lower case, and of its shape."""
         d = hashlib.blake2b(word.lower().encode("utf-8", "replace"), digest_size=8).digest()
         s = hashlib.blake2b(shape(word).encode("utf-8", "replace"), digest_size=8).digest()
-        got = self._known[word] = (int.from_bytes(d, "little"), int.from_bytes(s, "little"))
-        return got
+        return d + s
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words = (text or "").split()
         parts = [_SALTS[:1]]  # the bias
         if words:
-            known = self._known
-            both = np.array([known.get(w) or self._hash(w) for w in words], np.uint64)
+            both = np.frombuffer(b"".join(map(self._known.__getitem__, words)), "<u8").reshape(-1, 2)
             w, s = both[:, 0], both[:, 1].copy()
             again = np.flatnonzero(w[1:] == w[:-1]) + 1
             s[again] ^= _SALTS[7]
@@ -114,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, epochs:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.tobytes() for a, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], ["id", "y", "at", "value"])
 
     model = FTRL()
-    sample = rows.mapInArrow(run, f"id {dict(rows.dtypes)['_id']}, y int, at binary, value binary").orderBy(F.xxhash64("id"), "id", F.md5("at")).limit(max_rows)
+    sample = rows.mapInArrow(tidied(run), f"id {dict(rows.dtypes)['_id']}, y int, at binary, value binary").orderBy(F.xxhash64("id"), "id", F.md5("at")).limit(max_rows)
     data = [(np.frombuffer(r.at, np.int32), np.frombuffer(r.value, np.float32), r.y) for r in sample.toLocalIterator()]
     rng = np.random.default_rng(0)
     for _ in range(epochs):

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cache import tidied
 from .common import fresh, remove, store, table
 from .graph import components
 
@@ -431,7 +432,7 @@ def in_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable, sc
         if held:
             yield from fn(pa.Table.from_batches(held).combine_chunks())
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(tidied(run), schema)
 
 
 def _fragments(j: Join):
@@ -583,8 +584,8 @@ def _small(df: DataFrame) -> DataFrame:
 def _may_link(sets: DataFrame, reps: DataFrame, j: Join) -> tuple[DataFrame, list[str]]:
     """Edges of a forest whose components hold together all that may link."""
     listed = sets.where("length(lists) > 0").select("uid", "n", "lists")
-    heavy, heavy_path = store(listed.select("lists").mapInArrow(_heavy(), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > j.block).select("key", F.ceil(F.col("n") / j.block).cast("int").alias("blocks")), "heavy")
-    entries = listed.join(reps.select("uid").hint("merge"), "uid", "left_semi").mapInArrow(_entries, _LIST)
+    heavy, heavy_path = store(listed.select("lists").mapInArrow(tidied(_heavy()), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > j.block).select("key", F.ceil(F.col("n") / j.block).cast("int").alias("blocks")), "heavy")
+    entries = listed.join(reps.select("uid").hint("merge"), "uid", "left_semi").mapInArrow(tidied(_entries), _LIST)
     long = not heavy.isEmpty()
     if long:
         entries = entries.join(_small(heavy), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -592,7 +593,7 @@ def _may_link(sets: DataFrame, reps: DataFrame, j: Join) -> tuple[DataFrame, lis
     else:
         dealt = entries.withColumn("block", F.lit(0))
     dealt = dealt.select("key", "block", "size", "uid", "sketch").repartition("key", "block").sortWithinPartitions("key", "block", "size")
-    edges, path = store(dealt.mapInArrow(_forest(j), _PAIR).distinct(), "edges")
+    edges, path = store(dealt.mapInArrow(tidied(_forest(j)), _PAIR).distinct(), "edges")
     paths = [heavy_path, path]
     if long:
         rows = entries.where("blocks > 1").select(F.col("key").alias("group"), "blocks", "uid", "size", "sketch").withColumn("one", F.lit(1))
@@ -612,7 +613,7 @@ def _links(docs: DataFrame, reps: DataFrame, edges: DataFrame, j: Join) -> tuple
     few = _small(need)
     keys = few.select(F.col("doc_id").alias("_need")).distinct()
     some = docs.join(F.broadcast(keys) if few is not need else keys, F.col("doc_id") == F.col("_need"), "left_semi")
-    parts = some.mapInArrow(_fragments(j), "doc_id long, digest binary, n long, fragment int, grams binary").join(few, ["doc_id", "digest"]).drop("doc_id", "digest")
+    parts = some.mapInArrow(tidied(_fragments(j)), "doc_id long, digest binary, n long, fragment int, grams binary").join(few, ["doc_id", "digest"]).drop("doc_id", "digest")
     dealt = parts.withColumn("block", F.explode(_blocked(F.col("blocks")))).select("family", "block", "uid", "n", "fragment", "grams")
     links, path = store(in_groups(dealt, ["family", "block"], ["uid", "fragment"], _within(j), _PAIR), "links")
     paths = [need_path, path]
@@ -624,6 +625,22 @@ def _links(docs: DataFrame, reps: DataFrame, edges: DataFrame, j: Join) -> tuple
     return links, paths
 
 
+def _frequent(texts: DataFrame, j: Join) -> tuple[np.ndarray, np.ndarray, str]:
+    """The most frequent words, ascending, and their levels (eighths of a power of two of documents).
+    Whole levels are taken as long as there are no more than ``frequent_words``; only those reach the driver."""
+    counts = texts.mapInArrow(tidied(_count_words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words, path = store(counts.select("word", F.least(F.lit(255), F.floor(8 * F.log2("n"))).cast("int").alias("level")), "words", "lz4")
+    least, total = 256, 0
+    for r in sorted(words.groupBy("level").count().collect(), key=lambda r: -r.level):
+        total += r["count"]
+        if total > j.frequent_words:
+            break
+        least = r.level
+    top = words.where(F.col("level") >= least).toPandas()
+    top = top.assign(word=top["word"].to_numpy(np.int64).view(np.uint64)).sort_values("word")
+    return top["word"].to_numpy(np.uint64), top["level"].to_numpy(np.uint8), path
+
+
 def similar_documents(docs: DataFrame, j: Join = Join(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
     """``doc_id, n_shingles, class_id, component_id``, one row for each row of ``docs``.
 
@@ -634,12 +651,8 @@ def similar_documents(docs: DataFrame, j: Join = Join(), *, id_col: str = "doc_i
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    top = rows.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(j.frequent_words).toPandas()
-    frequent = top["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(frequent)
-    level = np.minimum(255, np.floor(8 * np.log2(np.maximum(top["n"].to_numpy(np.float64), 1)))).astype(np.uint8)
-    frequent, level = frequent[order], level[order]
-    made = rows.mapInArrow(_sets(j, frequent, level), "doc_id long, n long, digest binary, lists binary")
+    frequent, level, words_path = _frequent(rows.select("text"), j)
+    made = rows.mapInArrow(tidied(_sets(j, frequent, level)), "doc_id long, n long, digest binary, lists binary")
     sets, sets_path = store(made.select(F.monotonically_increasing_id().alias("uid"), "*"), "sets", "lz4")
     first = sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "uid", "n")).alias("m"))
     reps, reps_path = store(first.select("digest", F.col("m.doc_id").alias("rep"), F.col("m.uid").alias("uid"), F.col("m.n").alias("n")), "classes")
@@ -659,7 +672,7 @@ def similar_documents(docs: DataFrame, j: Join = Join(), *, id_col: str = "doc_i
     out = sets.select("doc_id", "n", "digest").join(classes, "digest", "left")
     named = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id"))
     result, _ = store(out.select("doc_id", F.col("n").alias("n_shingles"), named("rep").alias("class_id"), named("component").alias("component_id")), "similar")
-    remove(spark, sets_path, classes_path)
+    remove(spark, sets_path, classes_path, words_path)
     return result
 
 

@@ -102,12 +102,23 @@ def json_distribution(facts: DataFrame) -> DataFrame:
     return long.groupBy("kind", "indicator", F.col("e.key").alias("key"), F.col("e.value").alias("value")).agg(F.sum("n").alias("n"))
 
 
-#: States that a distribution shows as one (fixed values).
-ERROR_STATES = ("error", "classifier_error", "source_failed", "skipped_timeout", "error_api", "error_timeout", "error_empty", "error_invalid_json")
+#: States that a distribution shows as one, beside all that begin with ``error_`` (fixed values).
+ERROR_STATES = ("error", "source_failed", "classifier_error", "excluded", "error_api", "error_timeout", "error_empty", "error_no_config", "error_no_study")
+#: Values that mark a study as one with classifier errors (fixed values).
+ERROR_VALUES = ("error_api", "error_timeout", "error_empty", "error_invalid_json", "error_no_config", "error_no_study")
 
 
 def folded(value: Column) -> Column:
-    return F.when(value.isin(*ERROR_STATES), "error").when(value.startswith("Progress") | (value == "in process"), "in process").otherwise(value)
+    """Errors and work in process under one label each, whatever their case and white space; other
+    values without the white space around them."""
+    bare = F.trim(value)
+    low = F.lower(bare)
+    return F.when(low.isin(*ERROR_STATES) | low.startswith("error_"), "Error").when(low == "in process", "In Process").otherwise(bare)
+
+
+def has_errors(value: Column) -> Column:
+    """Whether an indicator's value is one of ``ERROR_VALUES``."""
+    return value.isin(*ERROR_VALUES)
 
 
 def bucketed_distribution(results: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Odd values that every eleventh classifier result takes in turn: states in any case, with white space, and others that look like states.
+ODD_VALUES = ("error", "in process", "source_failed", " Error ", "excluded", "error_no_config", "ERROR_NO_STUDY", "error_invalid_json", "classifier_error", "error_quota", "In Process", "Progress: 1/2", "skipped_timeout", "error_api", "error_timeout", "error_empty")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -72,7 +76,7 @@ def indicator(spark: SparkSession, d: str) -> DataFrame:
 def classifier_result(spark: SparkSession, d: str) -> DataFrame:
     """Values of two classifiers on documents: quality and a score from 0 to 100, with error states."""
     x = read(spark, d, "documents").select("doc_id", "n_chars", "lang", "source")
-    state = F.when(F.col("doc_id") % 17 == 0, "error").when(F.col("doc_id") % 19 == 0, "in process").when(F.col("doc_id") % 23 == 0, "source_failed")
+    state = F.when(F.col("doc_id") % 11 == 0, F.element_at(F.array(*[F.lit(v) for v in ODD_VALUES]), (F.floor(F.col("doc_id") / 11) % len(ODD_VALUES) + 1).cast("int")))
     value = F.coalesce(state, F.concat(F.lit("score: "), (F.col("n_chars") % 101).cast("string")))
     return x.select(F.col("doc_id").alias("item"), F.col("source").alias("study_name"), F.col("lang").alias("kind"), F.lit("seo_score").alias("classifier"), value.alias("value"))
 
@@ -96,7 +100,7 @@ SQL = {
     "indicator": """SELECT a.id, kind, item, study, query, 'LLM_' || question AS indicator, e.props AS value, created_at
       FROM answer a JOIN events e ON e.event_id = a.id""",
     "classifier_result": """SELECT doc_id AS item, source AS study_name, lang AS kind, 'seo_score' AS classifier,
-        CASE WHEN doc_id % 17 = 0 THEN 'error' WHEN doc_id % 19 = 0 THEN 'in process' WHEN doc_id % 23 = 0 THEN 'source_failed'
+        CASE WHEN doc_id % 11 = 0 THEN [""" + ", ".join(f"'{v}'" for v in ODD_VALUES) + f"""][CAST(doc_id // 11 % {len(ODD_VALUES)} + 1 AS INTEGER)]
              ELSE 'score: ' || CAST(n_chars % 101 AS VARCHAR) END AS value
       FROM documents""",
 }

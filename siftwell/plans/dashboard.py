@@ -57,7 +57,8 @@ add("A09_classifier_distribution", lambda s, d: an.distinct_items(ad.classifier_
 _JSON = "SELECT kind, replace(indicator, 'LLM_', '') AS indicator, 'k' AS key, json_extract_string(value, '$.k') AS value FROM indicator"
 add("A10_json_distribution", lambda s, d: an.json_distribution(ad.indicator(s, d)), ad.with_views("indicator", f"WITH e AS ({_JSON}) SELECT kind, indicator, key, value, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY ALL"))
 _NUM = "TRY_CAST(trim(string_split(value, ':')[-1]) AS DOUBLE)"
-_FOLD = "CASE WHEN value IN (" + ", ".join(f"'{e}'" for e in an.ERROR_STATES) + ") THEN 'error' WHEN value LIKE 'Progress%' OR value = 'in process' THEN 'in process' ELSE value END"
+_FOLD = """CASE WHEN lower(trim(value)) IN ('error', 'source_failed', 'classifier_error', 'excluded', 'error_api', 'error_timeout', 'error_empty', 'error_no_config', 'error_no_study')
+    OR starts_with(lower(trim(value)), 'error_') THEN 'Error' WHEN lower(trim(value)) = 'in process' THEN 'In Process' ELSE trim(value) END"""
 _RANGE = "CASE WHEN x BETWEEN 0 AND 20 THEN '0-20' WHEN x > 20 AND x <= 40 THEN '21-40' WHEN x > 40 AND x <= 60 THEN '41-60' WHEN x > 60 AND x <= 80 THEN '61-80' WHEN x > 80 AND x <= 100 THEN '81-100' ELSE value END"
 _BUCKETED = f"""f AS (SELECT kind, {_FOLD} AS value, count(*) AS n FROM classifier_result GROUP BY ALL),
 g AS (SELECT kind, value, n, {_NUM} AS x FROM f),
@@ -152,7 +153,10 @@ for _n, _p, _q in (
     ("P10_filled", lambda: st.filled(F.nullif(F.col("normalized_url"), F.lit("17"))), "normalized_url <> '17'"),
 ):
     add(_n, lambda s, d, p=_p: ad.result(s, d).groupBy("study").agg(F.count_if(p()).alias("n")), ad.with_views("result", _CASES.format(_q)))
-add("P11_has_errors", lambda s, d: ad.classifier_result(s, d).groupBy("kind").agg(F.bool_or(F.col("value").isin(*an.ERROR_STATES)).alias("has_errors")), ad.with_views("classifier_result", "SELECT kind, bool_or(value IN (" + ", ".join(f"'{e}'" for e in an.ERROR_STATES) + ")) AS has_errors FROM classifier_result GROUP BY kind"))
+add("P11_has_errors", lambda s, d: ad.classifier_result(s, d).groupBy("kind").agg(F.bool_or(an.has_errors(F.col("value"))).alias("has_errors"), F.count_if(an.has_errors(F.col("value"))).alias("n_errors")), ad.with_views("classifier_result", """
+SELECT kind, bool_or(value IN ('error_api', 'error_timeout', 'error_empty', 'error_invalid_json', 'error_no_config', 'error_no_study')) AS has_errors,
+  count(*) FILTER (value IN ('error_api', 'error_timeout', 'error_empty', 'error_invalid_json', 'error_no_config', 'error_no_study')) AS n_errors
+FROM classifier_result GROUP BY kind"""))
 add("P12_dashboard_label", lambda s, d: ad.answer(s, d).groupBy(st.kind_label(F.col("kind"), st.DASHBOARD_LABELS).alias("label")).agg(F.count(F.lit(1)).alias("n")), ad.with_views("answer", f"SELECT {_DASH} AS label, count(*) AS n FROM answer GROUP BY 1"))
 add("P13_export_label", lambda s, d: ad.answer(s, d).groupBy(st.kind_label(F.col("kind"), st.EXPORT_LABELS).alias("label")).agg(F.count(F.lit(1)).alias("n")), ad.with_views("answer", f"SELECT {_EXP} AS label, count(*) AS n FROM answer GROUP BY 1"))
 _FKS = lambda: [F.when(F.col("kind") == k, F.col("item")) for k in ad.KINDS]

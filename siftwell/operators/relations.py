@@ -51,9 +51,13 @@ def reusable_sources(wanted: DataFrame, sources: DataFrame, keys: list[str], now
 def siblings(edges: DataFrame, left: str = "segment", right: str = "source") -> DataFrame:
     """How many other members of its groups each member meets, repeats not counted.
 
-    A member's groups times their sizes would be pairs; groups here are the segments of one answer."""
-    a, b = edges.select(left, F.col(right).alias("x")).distinct(), edges.select(left, F.col(right).alias("y")).distinct()
-    return a.join(b, left).where("x <> y").groupBy("x").agg(F.countDistinct("y").alias("n_siblings"))
+    Equal sets of members are counted once, whatever the number of groups that have them.  A group is
+    the segment of one answer, so its set is small and is held as an array; pairs are made where the set
+    is, without a join, and repeats are dropped before the shuffle."""
+    sets = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull()).groupBy(left).agg(F.sort_array(F.collect_set(right)).alias("s"))
+    sets = sets.where(F.size("s") > 1).select("s").distinct()
+    met = sets.select(F.explode("s").alias("x"), "s").select("x", F.explode("s").alias("y")).where("x <> y").distinct()
+    return met.groupBy("x").agg(F.count(F.lit(1)).alias("n_siblings"))
 
 
 def duplicate_groups(results: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,7 +74,8 @@ def propagate(results: DataFrame, keys: list[str], value: str) -> DataFrame:
 def fair_queue(df: DataFrame, owner: str, order: list[str], k: int) -> DataFrame:
     """The first k rows when owners take turns."""
     rn = F.row_number().over(W.partitionBy(owner).orderBy(*order))
-    return df.withColumn("turn", rn).orderBy("turn", F.desc(owner), *order).limit(k)
+    # none of a later turn is among the first k, and with the filter each task keeps k rows of an owner
+    return df.withColumn("turn", rn).where(F.col("turn") <= k).orderBy("turn", F.desc(owner), *order).limit(k)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

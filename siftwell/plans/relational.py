@@ -41,8 +41,8 @@ add("J04_export_study_scope", lambda s, d: I(s, d).where(F.col("study").isin(1,
 add("J05_criteria", lambda s, d: ad.read(s, d, "supplier").join(ad.read(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(ad.read(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name", "n_name").agg(n_rows()), "SELECT r_name, n_name, count(*) AS n FROM supplier, nation, region WHERE s_nationkey = n_nationkey AND n_regionkey = r_regionkey GROUP BY ALL")
 add("J06_exists_any", lambda s, d: rl.in_any(Q(s, d).withColumnRenamed("id", "key"), "key", [A(s, d).where("item = 5").select(F.col("query").alias("key")), R(s, d).where("position = 7 and counter = 3").select(F.col("query").alias("key"))]), v("query answer result", "SELECT id AS key, study, query FROM query q WHERE EXISTS (SELECT 1 FROM answer a WHERE a.query = q.id AND item = 5) OR EXISTS (SELECT 1 FROM result r WHERE r.query = q.id AND position = 7 AND counter = 3)"))
 add("J07_not_exists", lambda s, d: R(s, d).select("item").distinct().join(A(s, d).select("item"), "item", "left_anti"), v("result answer", "SELECT DISTINCT item FROM result r WHERE NOT EXISTS (SELECT 1 FROM answer a WHERE a.item = r.item)"))
-_TOL = lambda s, d: A(s, d).where("id % 37 = 5").select(F.when(F.col("id") % 2 == 0, F.col("query")).alias("query"), F.when(F.col("id") % 3 != 0, F.col("kind")).alias("kind")).where("query is not null or kind is not null")
-add("J08_null_tolerant_anti", lambda s, d: rl.null_tolerant_anti(A(s, d).select("id", "query", "kind"), _TOL(s, d), ["query", "kind"]), v("answer", "SELECT id, query, kind FROM answer a WHERE NOT EXISTS (SELECT 1 FROM (SELECT CASE WHEN id % 2 = 0 THEN query END AS query, CASE WHEN id % 3 <> 0 THEN kind END AS kind FROM answer WHERE id % 37 = 5) t WHERE (t.query IS NOT NULL OR t.kind IS NOT NULL) AND (t.query = a.query OR t.query IS NULL) AND (t.kind = a.kind OR t.kind IS NULL))"))
+_TOL = lambda s, d: A(s, d).select(F.when(F.col("id") % 2 == 0, F.col("query") + F.when(F.col("participant") % 3 == 0, 0).otherwise(1000)).alias("query"), F.when(F.col("id") % 2 > 0, F.concat("kind", F.when(F.col("value") == "9", "").otherwise(" (old)"))).alias("kind"))
+add("J08_null_tolerant_anti", lambda s, d: rl.null_tolerant_anti(A(s, d).select("id", "query", "kind"), _TOL(s, d), ["query", "kind"]), v("answer", "SELECT id, query, kind FROM answer a WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT CASE WHEN id % 2 = 0 THEN query + CASE WHEN participant % 3 = 0 THEN 0 ELSE 1000 END END AS query, CASE WHEN id % 2 > 0 THEN kind || CASE WHEN value = '9' THEN '' ELSE ' (old)' END END AS kind FROM answer) t WHERE (t.query = a.query OR t.query IS NULL) AND (t.kind = a.kind OR t.kind IS NULL))"))
 add("J09_in_subquery", lambda s, d: R(s, d).join(S(s, d).where("name like 'A%'").select(F.col("id").alias("study")), "study", "left_semi").groupBy("study").agg(n_rows()), v("result study", "SELECT study, count(*) AS n FROM result WHERE study IN (SELECT id FROM study WHERE name LIKE 'A%') GROUP BY study"))
 add("J10_not_seen", lambda s, d: Q(s, d).join(A(s, d).where("participant = 7").select(F.col("query").alias("id")), "id", "left_anti"), v("query answer", "SELECT * FROM query WHERE id NOT IN (SELECT query FROM answer WHERE participant = 7)"))
 add("J11_scalar_count", lambda s, d: R(s, d).select("item").distinct().join(A(s, d).groupBy("item").agg(F.count(F.lit(1)).alias("c")), "item", "left").where(F.coalesce("c", F.lit(0)) < 3).select("item"), v("result answer", "SELECT DISTINCT item FROM result r WHERE (SELECT count(*) FROM answer a WHERE a.item = r.item) < 3"))
@@ -66,7 +66,18 @@ add("J22_reusable_source", lambda s, d: rl.reusable_sources(R(s, d).select("norm
 add("J23_copied_content", lambda s, d: R(s, d).where("progress = 2").select("item", "normalized_url", "study").distinct().join(rl.latest(R(s, d).where("progress = 1"), ["normalized_url", "study"], "created_at", "item", "position").select("normalized_url", "study", "main"), ["normalized_url", "study"]), v("result", f"WITH {_LATEST} SELECT DISTINCT r.item, r.normalized_url, r.study, l.main FROM result r JOIN l ON l.rn = 1 AND l.normalized_url = r.normalized_url AND l.study = r.study WHERE r.progress = 2"))
 add("J24_expected_keys", lambda s, d: I(s, d).select("id", tx.expected_entries(F.col("value"), tx.prompt_keys(F.lit('Answer {"K": 1, "other" : 2}'))).alias("m")).select("id", F.col("m")["k"].alias("k")), v("indicator", "SELECT id, json_extract_string(value, '$.k') AS k FROM indicator"))
 add("J25_citation_match", lambda s, d: ad.read(s, d, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]+)", 1).alias("host")).groupBy(F.regexp_replace("host", r"^(www|m)\.", "").alias("key")).agg(n_rows(), F.min("page_id").alias("first")), "SELECT regexp_replace(regexp_extract(url, '://([^/?#]+)', 1), '^(www|m)\\.', '') AS key, count(*) AS n, min(page_id) AS first FROM pages GROUP BY 1")
-add("J27_export_joins", lambda s, d: A(s, d).where("kind = 'result_ai'").join(Q(s, d).where("id < 20").select(F.col("id").alias("query"), F.col("query").alias("text")), "query").select("id", "text").union(A(s, d).where("kind = 'result'").join(Q(s, d).where("id < 20").select(F.col("id").alias("query"), F.col("query").alias("text")), "query", "left").select("id", "text")), v("answer query", "SELECT a.id, q.query AS text FROM answer a JOIN query q ON q.id = a.query AND q.id < 20 WHERE kind = 'result_ai' UNION ALL SELECT a.id, q.query FROM answer a LEFT JOIN query q ON q.id = a.query AND q.id < 20 WHERE kind = 'result'"))
+_WIDE = lambda s, d: A(s, d).withColumn("query", F.when(F.col("id") % 6 == 1, F.lit(None)).otherwise(F.col("query")))
+_TEXTS = lambda s, d: Q(s, d).select(F.col("id").alias("query"), F.col("query").alias("text"))
+
+
+def _export_joins(s, d):
+    """Overviews only with their query; organic and image results also without."""
+    a = _WIDE(s, d)
+    parts = [a.where(F.col("kind") == k).join(_TEXTS(s, d), "query", how).select("id", "kind", "text") for k, how in (("result_ai", "inner"), ("result", "left"), ("result_image", "left"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+add("J27_export_joins", _export_joins, v("answer query", "SELECT a.id, kind, q.query AS text FROM answer a JOIN query q ON q.id = a.query AND a.id % 6 <> 1 WHERE kind = 'result_ai' UNION ALL SELECT a.id, kind, q.query FROM answer a LEFT JOIN query q ON q.id = a.query AND a.id % 6 <> 1 WHERE kind IN ('result', 'result_image')"))
 add("J28_engine_lookup", lambda s, d: I(s, d).join(R(s, d).groupBy("item").agg(F.min("engine_text").alias("engine_text")).withColumn("kind", F.lit("result")), ["kind", "item"], "left").select("id", F.coalesce("engine_text", F.lit("N/A")).alias("engine")), v("indicator result", "SELECT i.id, coalesce(r.e, 'N/A') AS engine FROM indicator i LEFT JOIN (SELECT item, min(engine_text) AS e FROM result GROUP BY item) r ON i.kind = 'result' AND r.item = i.item"))
 
 # windows
@@ -84,18 +95,21 @@ add("A42_allocation_spread", lambda s, d: rl.allocation_spread(rl.assign(A(s, d)
 
 # sorts and pages
 for _n, _o, _q in (
-    ("O01_two_keys", lambda: [F.asc_nulls_last("question"), F.asc_nulls_last("id")], "question, id"),
+    ("O01_two_keys", lambda: [F.asc_nulls_last("question"), F.asc_nulls_last("id")], "question NULLS LAST, id NULLS LAST"),
     ("O03_three_keys", lambda: [F.asc("kind"), F.asc("question"), F.asc("id")], "kind, question, id"),
+):
+    add(_n, lambda s, d, o=_o: A(s, d).orderBy(*o()).select("id", "question"), v("answer", f"SELECT id, question FROM answer ORDER BY {_q}"))
+for _n, _o, _q in (
     ("O07_paging", lambda: [F.asc("id")], "id"),
     ("O08_newest_first", lambda: [F.desc("created_at"), F.asc("id")], "created_at DESC, id"),
 ):
     add(_n, lambda s, d, o=_o: rl.page_of(A(s, d), o(), 3).select("id", "question"), v("answer", f"SELECT id, question FROM answer ORDER BY {_q} LIMIT 10 OFFSET 20"))
-add("O02_registry_order", lambda s, d: R(s, d).select("query", "position", "engine_text").distinct().orderBy("query", "position", "engine_text").limit(50), v("result", "SELECT DISTINCT query, position, engine_text FROM result ORDER BY ALL LIMIT 50"))
+add("O02_registry_order", lambda s, d: R(s, d).select("query", "position", "engine_text").distinct().orderBy("query", "position", "engine_text"), v("result", "SELECT DISTINCT query, position, engine_text FROM result ORDER BY ALL"))
 add("O04_top_k", lambda s, d: R(s, d).groupBy("main").agg(n_rows()).orderBy(F.desc("n"), "main").limit(25), v("result", "SELECT main, count(*) AS n FROM result GROUP BY main ORDER BY n DESC, main LIMIT 25"))
 add("O05_ordered_batch", lambda s, d: reduce(DataFrame.union, [A(s, d).where((F.col("kind") == k) & (F.col("status") == 0)).orderBy("id").limit(10).select("id", "kind") for k in ad.KINDS]).orderBy("id").limit(10), v("answer", "SELECT id, kind FROM answer WHERE status = 0 ORDER BY id LIMIT 10"))
 add("O06_seeded_order", lambda s, d: Q(s, d).orderBy(F.xxhash64(F.lit(5), "id")).select("id"), v("query", "SELECT id FROM query"))
 add("O09_first_five", lambda s, d: Q(s, d).orderBy("id").limit(5), v("query", "SELECT * FROM query ORDER BY id LIMIT 5"))
-add("O10_by_percent", lambda s, d: A(s, d).groupBy("query").agg((100.0 * F.count_if(F.col("status") == 1) / F.count(F.lit(1))).alias("pct")).orderBy("pct", "query").limit(10), v("answer", "SELECT query, 100.0 * count(*) FILTER (status = 1) / count(*) AS pct FROM answer GROUP BY query ORDER BY pct, query LIMIT 10"))
+add("O10_by_percent", lambda s, d: A(s, d).groupBy("query").agg((100.0 * F.count_if(F.col("status") == 1) / F.count(F.lit(1))).alias("pct")).orderBy("pct", "query"), v("answer", "SELECT query, 100.0 * count(*) FILTER (status = 1) / count(*) AS pct FROM answer GROUP BY query ORDER BY pct, query"))
 add("O11_by_count", lambda s, d: A(s, d).groupBy("value").agg(n_rows()).orderBy(F.desc("n"), "value"), v("answer", "SELECT value, count(*) AS n FROM answer GROUP BY value"))
 add("O12_first_by_kind", lambda s, d: rl.first_per_key(A(s, d).where("status = 0").withColumn("_k", F.array_position(F.array(*[F.lit(k) for k in ad.KINDS]), F.col("kind"))), ["participant"], ["_k", "id"]).select("participant", "kind", "id"), v("answer", "SELECT participant, kind, id FROM (SELECT *, row_number() OVER (PARTITION BY participant ORDER BY CASE kind WHEN 'result' THEN 1 WHEN 'result_ai' THEN 2 WHEN 'serp' THEN 3 ELSE 4 END, id) AS rn FROM answer WHERE status = 0) WHERE rn = 1"))
 
@@ -150,7 +164,7 @@ add("S08_insert_source", lambda s, d: R(s, d).where("position > 3").select("stud
 add("S09_segment_links", lambda s, d: ad.read(s, d, "part").select("p_partkey", F.explode(F.split(F.replace("p_name", F.lit(" "), F.lit("|")), r"\|")).alias("url")).select("p_partkey", F.trim("url").alias("url")).distinct(), "SELECT DISTINCT p_partkey, trim(unnest(string_split(replace(p_name, ' ', '|'), '|'))) AS url FROM part")
 add("S11_query_ids", lambda s, d: ad.read(s, d, "documents").select("source").distinct().join(Q(s, d).select(F.col("query").alias("source")), "source", "left_anti").select("source", (F.row_number().over(rl.W.orderBy("source")) + 24).alias("id")), v("query", "SELECT source, row_number() OVER (ORDER BY source) + 24 AS id FROM (SELECT DISTINCT source FROM documents WHERE source NOT IN (SELECT query FROM query))"))
 add("S15_seed_merge", lambda s, d: ad.read(s, d, "part").select(F.explode(F.split("p_type", " ")).alias("k")).union(s.createDataFrame([("  one\ntwo \n\n",)], "t string").select(F.explode(F.split("t", "\n")))).select(F.trim("k").alias("keyword")).where("keyword <> ''").distinct(), "SELECT DISTINCT trim(k) AS keyword FROM (SELECT unnest(string_split(p_type, ' ')) AS k FROM part UNION ALL SELECT unnest(['  one', 'two ', ''])) WHERE trim(k) <> ''")
-add("S18_keyword_workbook", lambda s, d: ad.read(s, d, "part").select(F.col("p_brand").alias("seed"), F.col("p_name").alias("idea"), F.col("p_size").alias("searches")).orderBy("seed", F.desc("searches"), "idea").limit(100), "SELECT p_brand AS seed, p_name AS idea, p_size AS searches FROM part ORDER BY seed, searches DESC, idea LIMIT 100")
+add("S18_keyword_workbook", lambda s, d: ad.read(s, d, "part").select(F.col("p_brand").alias("seed"), F.col("p_name").alias("idea"), F.col("p_size").alias("searches")).orderBy("seed", F.desc("searches"), "idea"), "SELECT p_brand AS seed, p_name AS idea, p_size AS searches FROM part ORDER BY seed, searches DESC, idea")
 add("S19_questionnaire", lambda s, d: A(s, d).groupBy("question").agg(F.array_sort(F.collect_set("value")).alias("o")).select("question", F.to_json("o").alias("options")), v("answer", "SELECT question, '[' || string_agg('\"' || value || '\"', ',' ORDER BY value) || ']' AS options FROM (SELECT DISTINCT question, value FROM answer) GROUP BY question"))
 add("S20_questionnaire_import", lambda s, d: A(s, d).groupBy("question").agg(F.array_sort(F.collect_set("value")).alias("o")).select("question", F.posexplode(F.from_json(F.to_json("o"), "array<string>")).alias("position", "value")), v("answer", "SELECT question, CAST(row_number() OVER (PARTITION BY question ORDER BY value) - 1 AS INTEGER) AS position, value FROM (SELECT DISTINCT question, value FROM answer)"))
 add("S22_drop_null_rows", lambda s, d: A(s, d).select("id", F.nullif("value", F.lit("3")).alias("value")).na.drop("any"), v("answer", "SELECT id, value FROM answer WHERE value <> '3'"))

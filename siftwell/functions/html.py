@@ -29,6 +29,7 @@ class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[str] = []
+        self.open: dict[str, int] = {}  # how often each tag is on the stack
         self.n: dict[str, int] = {}
         self.meta: dict[str, str] = {}
         self.og: list[str] = []
@@ -42,6 +43,7 @@ class _Reader(HTMLParser):
         self.lang = ""
         self.h1_texts = 0
         self._open_question = False
+        self._bare_h1 = False  # an h1 is open that has had no text
 
     def count(self, k: str) -> None:
         self.n[k] = self.n.get(k, 0) + 1
@@ -68,6 +70,7 @@ class _Reader(HTMLParser):
             self.count("img_alt")
         elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             self.headings.append([])
+            self._bare_h1 = tag == "h1"
         elif tag == "p":
             self.paragraphs.append([])
         if tag in ("a", "link") and rel == "canonical":
@@ -76,43 +79,52 @@ class _Reader(HTMLParser):
             self.count("author")
         if tag == "script" and "ld+json" in a.get("type", ""):
             self.json_ld.append("")
-            self.stack.append("ld+json")
+            self.push("ld+json")
         elif tag not in VOID:
-            self.stack.append(tag)
+            self.push(tag)
+
+    def push(self, tag: str) -> None:
+        self.stack.append(tag)
+        self.open[tag] = self.open.get(tag, 0) + 1
+
+    def inside(self, *tags: str) -> bool:
+        return any(self.open.get(t) for t in tags)
 
     def handle_endtag(self, tag):
         want = "ld+json" if tag == "script" and "ld+json" in self.stack[-1:] else tag
-        if want in self.stack:
-            while self.stack and self.stack.pop() != want:
-                pass
+        if self.inside(want):
+            while True:
+                top = self.stack.pop()
+                self.open[top] -= 1
+                if top == want:
+                    break
 
     def handle_data(self, data):
-        inside = self.stack[-12:]
-        if "ld+json" in inside:
+        if self.inside("ld+json"):
             self.json_ld[-1] += data
             return
-        if any(t in HIDDEN for t in inside):
+        if self.inside(*HIDDEN):
             return
-        top = inside[-1] if inside else ""
-        if top == "title":
+        if self.inside("title"):
             self.parts["title"].append(data)
-        if top == "h1" and data.strip():
+        if self._bare_h1 and data.strip() and self.inside("h1"):
             self.h1_texts += 1
+            self._bare_h1 = False
         self.parts["text"].append(data)
-        if "body" in self.stack[:3] and "title" not in inside and not any(t in CHROME for t in self.stack):
+        if self.inside("body") and not self.inside("title", *CHROME):
             self.parts["body"].append(data)
-        if "footer" in self.stack:
+        if self.inside("footer"):
             self.parts["footer"].append(data)
-        if "a" in inside and self.links:
+        if self.inside("a") and self.links:
             self.links[-1][0] += data
-        if any(t in inside for t in ("h1", "h2", "h3", "h4", "h5", "h6")) and self.headings:
+        if self.inside("h1", "h2", "h3", "h4", "h5", "h6") and self.headings:
             self.headings[-1].append(data)
             self._open_question = data.rstrip().endswith("?")
         elif data.strip():
             if self._open_question:
                 self.heading_then_text += 1
             self._open_question = False
-        if "p" in inside and self.paragraphs:
+        if self.inside("p") and self.paragraphs:
             self.paragraphs[-1].append(data)
 
 
@@ -168,16 +180,26 @@ def microdata(html: Column) -> Column:
     return F.array_compact(F.array(*[F.when(low.like(like_pattern(w)), w.strip("*")) for w in MICRODATA]))
 
 
+def in_order(text: Column, *parts: str) -> Column:
+    """Whether the parts follow each other in the text, with anything between: each is sought behind
+    the first place of the one before it, in one pass, where a pattern would go back over and over."""
+    start = F.lit(1)
+    for x in parts:
+        start = F.nullif(F.position(F.lit(x), text, start), F.lit(0)) + len(x)
+    return F.when(text.isNotNull(), start.isNotNull())
+
+
 def has_og(html: Column) -> Column:
-    return F.lower(html).like("<%meta%og:%>")
+    low = F.lower(html)
+    return low.startswith("<") & low.endswith(">") & in_order(low, "<", "meta", "og:")
 
 
 def has_viewport(html: Column) -> Column:
-    return F.lower(html).like("%meta%name%viewport%")
+    return in_order(F.lower(html), "meta", "name", "viewport")
 
 
 def has_sitemap(html: Column) -> Column:
-    return F.lower(html).like("%a%href%sitemap%")
+    return in_order(F.lower(html), "a", "href", "sitemap")
 
 
 def structured_data_score(html: Column) -> Column:

@@ -5,7 +5,7 @@ Sub-scores are column expressions over indicators; all weights and bands are fix
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import html as H
@@ -124,6 +124,14 @@ def class_of(total: Column, names: tuple[str, ...] = CLASSES) -> Column:
     return F.when(total >= 75, names[0]).when(total >= 45, names[1]).when(total >= 20, names[2]).otherwise(names[3])
 
 
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with a column that is computed once for each row, however often it is read.
+
+    A projection would be folded into its readers, and its expressions repeated for each field they
+    name; a generator is not."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def seo_indicators(p: Column, html: Column, url: Column, main: Column, query: Column, loading_time: Column, robots_txt: Column) -> Column:
     """The struct that the sub-scores read; ``p`` is ``html.page(html)``."""
     links = H.links_of(p, main)

@@ -145,18 +145,19 @@ add("H34_navigation", lambda s, d: _pages(s, d).select("page_id", sc.navigation(
 add("H35_title_score", lambda s, d: _pages(s, d).select("page_id", sc.title_score(F.col("p.title")).alias("score"), sc.geo_title_score(F.col("p.title")).alias("geo")))
 add("H36_description_score", lambda s, d: _pages(s, d).select("page_id", sc.description_score(F.col("p.description")).alias("score"), sc.geo_description_score(F.col("p.description")).alias("geo")), "SELECT page_id, 0.0::DOUBLE AS score, 0.0::DOUBLE AS geo FROM pages")
 add("H37_social_tags", lambda s, d: _pages(s, d).select("page_id", sc.social_tags(F.col("p.og_tags"), F.col("p.twitter_tags")).alias("score")), "SELECT page_id, 0.0::DOUBLE AS score FROM pages")
-add("H38_keyword_score", lambda s, d: _pages(s, d).where("query <> ''").select("page_id", sc.keyword_optimisation(F.col("p"), F.col("url"), F.col("query")).alias("score")))
-add("H39_general_score", lambda s, d: _pages(s, d).where("query = ''").select("page_id", sc.keyword_optimisation(F.col("p"), F.col("url"), F.col("query")).alias("score")))
+add("H38_keyword_score", lambda s, d: _pages(s, d).select("page_id", sc.keyword_optimisation(F.col("p"), F.col("url"), F.lit("the of")).alias("score")))
+add("H39_general_score", lambda s, d: _pages(s, d).select("page_id", sc.keyword_optimisation(F.col("p"), F.col("url"), F.lit("")).alias("score")))
 
 
 def _seo(s, d):
+    p = _pages(s, d)
     i = sc.seo_indicators(F.col("p"), F.col("html"), F.col("url"), F.col("main"), F.col("query"), F.col("loading_time"), F.col("page_id") % 2 == 0)
-    return _pages(s, d).withColumn("i", i).withColumn("s", sc.seo_score(F.col("i"), F.col("page_id") % 9 > 0))
+    return sc.once(p, i, "i").withColumn("s", sc.seo_score(F.col("i"), F.col("page_id") % 9 > 0))
 
 
 def _geo(s, d):
     i = sc.geo_indicators(F.col("p"), F.col("html"), F.col("url"), F.col("main"), F.col("p.lang"), F.col("loading_time"), F.lit("N/A"))
-    return _pages(s, d).withColumn("i", i).withColumn("s", sc.geo_score(F.col("i")))
+    return sc.once(_pages(s, d), i, "i").withColumn("s", sc.geo_score(F.col("i")))
 
 
 def _rules(s, d):

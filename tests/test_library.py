@@ -216,3 +216,21 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 15
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_deep_nesting_reads_like_a_flat_page(spark):
+    """Thirty wrappers around everything change no indicator."""
+    deep = lambda x: "<span>" * 30 + x + "</span>" * 30
+    parts = ["<h1>{}</h1>", "<p>{}</p>", "<a href='/x'>{}</a>", "<noscript>{}</noscript>", "<h2>{}</h2>", "<footer>{}</footer>"]
+    page = lambda f, g: "<html><body>" + "".join(g(x.format(f(f"Text {i}?"))) for i, x in enumerate(parts)) + "</body></html>"
+    flat = lambda x: x
+    rows = [(0, page(flat, flat)), (1, page(deep, flat)), (2, page(flat, deep)), (3, page(deep, deep))]
+    got = spark.createDataFrame(rows, "id int, html string").select("id", H.page("html").alias("p")).orderBy("id").collect()
+    assert got[0].p.h1_texts == 1 and got[0].p.paragraphs == ["Text 1?"] and "Text 3?" not in got[0].p.text
+    assert all(r.p == got[0].p for r in got)
+
+
+def test_states_fold(spark):
+    values = [" Error ", "EXCLUDED", "error_no_config", "error_anything", "In process", "skipped_timeout", "Progress: 1", " fine ", None, "error"]
+    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").orderBy("i").select(an.folded(F.col("v"))).collect()]
+    assert got == ["Error", "Error", "Error", "Error", "In Process", "skipped_timeout", "Progress: 1", "fine", None, "Error"]

@@ -32,11 +32,13 @@ def fresh(df: DataFrame, name: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset, as in tests on one
-    machine, a folder under /tmp is set for ``checkpoint()`` too.
+    It is the session's ``spark.checkpoint.dir``.  Only where that is unset and the master is local, as
+    in tests on one machine, a folder under /tmp is set for ``checkpoint()`` too.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that all machines share")
         where = "file:///tmp/checkpoints/siftwell"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(where)
@@ -71,6 +73,16 @@ def store(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFram
     return spark.read.schema(schema).parquet(path), path
 
 
+def release_since(spark: SparkSession, before: set[str], *keep: str) -> None:
+    """Remove the scratch handed out since ``before``, a copy of what there was, but for ``keep``."""
+    remove(spark, *[p for p in _made if p not in before and p not in keep])
+
+
+def made() -> set[str]:
+    """The scratch paths handed out and not removed."""
+    return {*_made}
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower
+from .common import ASCII_SPACE, ascii_lower, fresh
 
 
 def line_key(line: Column) -> Column:
@@ -23,7 +23,10 @@ def _lines(text: Column) -> Column:
 
 
 def frequent_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """Keys (as ``line_hash``) found in at least ``min_docs`` distinct documents, with ``n_docs``."""
+    """Keys (as ``line_hash``) found in at least ``min_docs`` distinct documents, with ``n_docs``.
+
+    A null id is one document, a null text one empty line; an empty table gives no rows.  Rows that
+    share an id and other columns don't matter."""
     keys = F.array_distinct(F.transform(F.filter(F.transform(_lines(F.col(text_col)), line_key), lambda k: F.length(k) >= min_chars), F.md5))
     pairs = docs.select(F.col(id_col).alias("_id"), F.explode(keys).alias("_key")).distinct()
     return pairs.groupBy("_key").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs).select(F.col("_key").alias("line_hash"), "n_docs")
@@ -34,24 +37,26 @@ def drop_frequent_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 
     Null and empty texts are one empty line.  Keys shorter than ``min_chars`` code points never go.
     Rows that share an id count as one document and each keep their row; a null id is one document.
-    A document that loses every line has the empty text.  Other columns pass through; columns named
-    ``n_lines`` or ``n_dropped`` are replaced.
+    A document that loses every line has the empty text.  Other columns pass through, whatever their
+    names; columns named ``n_lines`` or ``n_dropped`` are replaced.  Names of columns are told apart
+    without regard to case, as the session does.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    ident = [F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash")]
+    own_id, own_hash, own_gone, own_lines, row_hash = (fresh(docs, f"_{c}") for c in ("id", "hash", "gone", "lines", "row_hash"))
+    ident = [F.col(id_col).alias(own_id), F.xxhash64(text).alias(own_hash)]
     at = docs.select(*ident, F.posexplode(F.transform(_lines(F.col(text_col)), line_key)).alias("_pos", "_line")).where(F.length("_line") >= min_chars)
     frequent = frequent_lines(docs, id_col=id_col, text_col=text_col, min_docs=min_docs, min_chars=min_chars)
-    gone = at.select("_id", "_hash", "_pos", F.md5("_line").alias("line_hash")).join(frequent.select("line_hash"), "line_hash")
+    gone = at.select(own_id, own_hash, "_pos", F.md5("_line").alias("line_hash")).join(frequent.select("line_hash"), "line_hash")
     # identical rows give the same positions, hence the set
-    gone = gone.groupBy("_id", "_hash").agg(F.collect_set("_pos").alias("_gone"))
-    row = docs.withColumn("_lines", _lines(F.col(text_col))).withColumn("_row_hash", F.xxhash64(text))
-    joined = row.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_hash")), "left")
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    n_lines = F.size("_lines").cast("long")
-    dropped = F.coalesce(F.size("_gone").cast("long"), F.lit(0).cast("long"))
-    return joined.select(*[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns], n_lines.alias("n_lines"), F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(dropped).alias("n_dropped"))
+    gone = gone.groupBy(own_id, own_hash).agg(F.collect_set("_pos").alias(own_gone))
+    row = docs.withColumn(own_lines, _lines(F.col(text_col))).withColumn(row_hash, F.xxhash64(text))
+    joined = row.join(gone, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(row_hash) == F.col(own_hash)), "left")
+    lines, lost = F.col(own_lines), F.col(own_gone)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
+    kept = F.when(lost.isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    dropped = F.when(lost.isNull(), 0).otherwise(F.size(lost)).cast("long")
+    return joined.select(*[kept.alias(c) if c.lower() == text_col.lower() else F.col(c) for c in docs.columns], F.size(lines).cast("long").alias("n_lines"), dropped.alias("n_dropped"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cache import Recent, tidied
-from .common import table
+from .common import remove, store, table
 
 BITS = 20
 CACHE_WORDS = 150_000
@@ -87,7 +87,8 @@ def sigmoid(v: float) -> float:
 
 
 def held_out(doc_id: Column) -> Column:
-    """Rows that no model may learn a label from: crc32 of the id as text, mod 3, is 1."""
+    """Rows that no model may learn a label from: crc32 of the id as text, mod 3, is 1; a null id counts
+    as the empty text, so it isn't held out."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
 
 
@@ -110,8 +111,14 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, epochs:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.tobytes() for a, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], ["id", "y", "at", "value"])
 
     model = FTRL()
-    sample = rows.mapInArrow(tidied(run), f"id {dict(rows.dtypes)['_id']}, y int, at binary, value binary").orderBy(F.xxhash64("id"), "id", F.md5("at")).limit(max_rows)
-    data = [(np.frombuffer(r.at, np.int32), np.frombuffer(r.value, np.float32), r.y) for r in sample.toLocalIterator()]
+    spark = docs.sparkSession
+    sample, path = store(rows.mapInArrow(tidied(run), f"id {dict(rows.dtypes)['_id']}, y int, at binary, value binary").select(F.xxhash64("id").alias("h"), "*", F.md5("at").alias("tie")), "sample", "lz4")
+    if sample.count() > max_rows:  # rows that share an id
+        sample = sample.orderBy("h", "id", "tie").limit(max_rows)
+    # a part of the table at a time reaches the driver
+    data = sorted(((r.h, r.id, r.tie, np.frombuffer(r.at, np.int32), np.frombuffer(r.value, np.float32), r.y) for r in sample.toLocalIterator()), key=lambda r: r[:3])
+    data = [r[3:] for r in data]
+    remove(spark, path)
     rng = np.random.default_rng(0)
     for _ in range(epochs):
         for i in rng.permutation(len(data)):

@@ -125,27 +125,33 @@ def scan(docs: DataFrame, *, text_col: str = "text", classes: tuple[CharClass, .
     """``docs`` with ``secrets`` and ``base_secrets`` added, array<struct<start, end, kind>> by start.
 
     ``base_secrets`` has the known kinds alone.  Offsets are code points, ends exclusive.  A null text
-    is empty and has no spans.  Columns of those names are replaced; all others and all rows stay.
+    is empty and has no spans.  Columns of those names are replaced; all others, whatever their names,
+    and all rows stay.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("secrets", "base_secrets")])
-    names = {*docs.columns}
+    own = "_"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
     text = F.coalesce(F.col(text_col), F.lit(""))
     patterns = KINDS | {c.name: c.pattern for c in classes}
-    found = {f"_m_{k}": F.regexp_extract_all(text, F.lit(p), F.lit(0)) for k, p in patterns.items()}
+    m, g, s, good = ({k: f"{own}{x}_{k}" for k in patterns} for x in ("m", "g", "s", "ok"))
+    found = {m[k]: F.regexp_extract_all(text, F.lit(p), F.lit(0)) for k, p in patterns.items()}
     got = docs.withColumns(found)
     # most texts have no match, and are neither split nor matched again
-    there = lambda k: F.size(f"_m_{k}") > 0
-    more = {f"_g_{k}": F.when(there(k), F.split(text, p, -1)) for k, p in patterns.items()}
-    more["_ok"] = F.when(there("assign"), F.transform(F.regexp_extract_all(text, F.lit(KINDS["assign"]), F.lit(2)), lambda g: F.length(g) >= ASSIGN_MIN))
+    there = lambda k: F.size(m[k]) > 0
+    more = {g[k]: F.when(there(k), F.split(text, p, -1)) for k, p in patterns.items()}
+    more[good["assign"]] = F.when(there("assign"), F.transform(F.regexp_extract_all(text, F.lit(KINDS["assign"]), F.lit(2)), lambda x: F.length(x) >= ASSIGN_MIN))
     got = got.withColumns(more)
-    spans = {f"_s_{k}": _walk(F.col(f"_m_{k}"), F.col(f"_g_{k}"), k, i, F.col("_ok") if k == "assign" else None, carry=i >= _PLACE) for i, k in enumerate(patterns)}
-    got = got.withColumns(spans).withColumns({f"_s_{c.name}": entropy_spans(F.col(f"_s_{c.name}"), c, _PLACE + i, allow) for i, c in enumerate(classes)})
-    tidy = lambda ks: F.transform(F.sort_array(F.concat(*[F.col(f"_s_{k}") for k in ks])), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return got.withColumns({"secrets": tidy(patterns), "base_secrets": tidy(KINDS)}).drop(*[c for c in [*found, *more, *spans] if c not in names])
+    spans = {s[k]: _walk(F.col(m[k]), F.col(g[k]), k, i, F.col(good[k]) if k == "assign" else None, carry=i >= _PLACE) for i, k in enumerate(patterns)}
+    got = got.withColumns(spans).withColumns({s[c.name]: entropy_spans(F.col(s[c.name]), c, _PLACE + i, allow) for i, c in enumerate(classes)})
+    tidy = lambda ks: F.transform(F.sort_array(F.concat(*[F.col(s[k]) for k in ks])), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+    return got.withColumns({"secrets": tidy(patterns), "base_secrets": tidy(KINDS)}).drop(*found, *more, *spans)
 
 
 def redact(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
-    """The text with every stretch of overlapping or touching spans replaced by ``mark``."""
+    """The text with every stretch of overlapping or touching spans replaced by ``mark``.
+
+    A null text stays null, and so does a text beside null spans."""
     piece = lambda a, b: F.substr(text, a + 1, b - a)
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 

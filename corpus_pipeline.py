@@ -1,7 +1,9 @@
 """A corpus from raw documents to packed sequences, in five stages.
 
 Each stage takes what the one before it kept, as Parquet, and all but the last return the columns of
-``documents``: doc_id, text, lang, source, n_chars.
+``documents``: doc_id, text, lang, source, n_chars.  Null and empty texts are empty documents and rows
+that share an id are rows of their own throughout; further columns pass through, whatever their names.
+An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -10,14 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import jaccard, lines, packing, quality, secrets
-from siftwell.llm.common import remove, store, table
+from siftwell.llm.common import fresh, made, release_since, store, table
 
 
 def _with_text(df: DataFrame, text: Column | str, like: DataFrame) -> DataFrame:
-    """The columns of ``like``, with a new text and, where there was one, its length."""
-    out = df.withColumn("_new", F.col(text) if isinstance(text, str) else text)
-    new = {"text": F.col("_new"), "n_chars": F.length("_new").cast("long")}
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in like.columns])
+    """The columns of ``like``, with a new text and, where there was one, its length.  A null text stays null."""
+    name = fresh(df, "new")
+    out = df.withColumn(name, F.col(text) if isinstance(text, str) else text)
+    new = {"text": F.col(name), "n_chars": F.length(name).cast("long")}
+    return out.select(*[new[c.lower()].alias(c) if c.lower() in new else F.col(c) for c in like.columns])
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,13 +66,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written to the shared folder and read again."""
-    docs, path = table(spark, sf_dir, "documents"), None
+    docs = table(spark, sf_dir, "documents")
+    before = made()
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
-        docs, new = store(out, f"stage{k}", "snappy")
-        if path:
-            remove(spark, path)
-        path = new
+        docs, path = store(out, f"stage{k}", "snappy")
+        release_since(spark, before, path)
     return docs

@@ -90,27 +90,33 @@ def draw_page(source: str | None, columns: int = 64) -> np.ndarray:
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
-    """Sums over squares of side 2r+1; edges repeat."""
-    p = np.pad(a, ((r + 1, r), (0, 0)), mode="edge").cumsum(axis=0, dtype=np.float32)
-    a = p[2 * r + 1 :] - p[: -2 * r - 1]
-    p = np.pad(a, ((0, 0), (r + 1, r)), mode="edge").cumsum(axis=1, dtype=np.float32)
-    return p[:, 2 * r + 1 :] - p[:, : -2 * r - 1]
-
-
-def _highest(a: np.ndarray, r: int) -> np.ndarray:
-    """Maxima over squares of side 2r+1."""
+    """Sums over squares of side 2r+1, exact; where a square leaves the array it counts what is inside."""
     for axis in (0, 1):
         out = a.copy()
         for s in range(1, r + 1):
             lo, hi = [slice(None)] * 2, [slice(None)] * 2
             lo[axis], hi[axis] = slice(0, -s), slice(s, None)
             lo, hi = tuple(lo), tuple(hi)
-            np.maximum(out[lo], a[hi], out=out[lo])
-            np.maximum(out[hi], a[lo], out=out[hi])
+            out[lo] += a[hi]
+            out[hi] += a[lo]
         a = out
     return a
 
 
+def _highest(a: np.ndarray, r: int) -> np.ndarray:
+    """Maxima over squares of side 2r+1, by windows that double."""
+    for axis in (0, 1):
+        n = a.shape[axis]
+        edge = [(r, r) if k == axis else (0, 0) for k in (0, 1)]
+        p, size = np.pad(a, edge, constant_values=-np.inf), 1
+        part = lambda x, at, k, axis=axis: x[at : at + k] if axis == 0 else x[:, at : at + k]
+        while 2 * size <= 2 * r + 1:
+            k = p.shape[axis] - size
+            p, size = np.maximum(part(p, 0, k), part(p, size, k)), 2 * size
+        a = np.maximum(part(p, 0, n), part(p, 2 * r + 1 - size, n))
+    return a
+
+
 def _pattern(turns: int = 32) -> np.ndarray:
     """(turns, 64, 2 points, 2): offsets of the compared pixels for each direction."""
     points = np.clip(np.random.default_rng(5).normal(0, RADIUS / 2, (64, 2, 2)), -RADIUS + 2, RADIUS - 2)
@@ -122,45 +128,79 @@ def _pattern(turns: int = 32) -> np.ndarray:
 
 
 _TURNED = _pattern()
-_DY, _DX = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
-_ROUND = (_DX**2 + _DY**2 <= RADIUS**2).astype(np.float32)
-
-
-def describe(image: np.ndarray, m: Match) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(scale, x, y, bits) for each scale: corners in the pixels of the scale, and descriptors."""
-    out = []
-    level = image.astype(np.float32)
+_DISC = np.argwhere(np.hypot(*np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]) <= RADIUS) - RADIUS  # (dy, dx)
+_GAP = RADIUS + 1  # rows between images that are described together, and columns at their edges that hold no corner
+
+
+def _described_beside(levels: list[np.ndarray], scale: int, m: Match) -> list[np.ndarray]:
+    """Corners of images of one width, set under each other.  All sums are of whole numbers, so a
+    corner's descriptor doesn't depend on where the image stands."""
+    heights = np.array([len(v) for v in levels])
+    starts = _GAP + np.r_[0, np.cumsum(heights + _GAP)]
+    wide = levels[0].shape[1]
+    a = np.zeros((int(starts[-1]), wide), np.int32)
+    inside = np.zeros(len(a), bool)
+    for at, v in zip(starts, levels, strict=False):
+        a[at : at + len(v)] = v
+        a[at - 1], a[at + len(v)] = v[0], v[-1]
+        inside[at : at + len(v)] = True
+    gx, gy = np.zeros_like(a), np.zeros_like(a)
+    gx[:, 1:-1] = a[:, 2:] - a[:, :-2]
+    gy[1:-1] = a[2:] - a[:-2]
+    gx[~inside], gy[~inside] = 0, 0
+    xx, yy, xy = (_box(g, 2).astype(np.float64) for g in (gx * gx, gy * gy, gx * gy))
+    strength = np.rint((xx * yy - xy * xy - 0.05 * (xx + yy) ** 2) / (1.6e6 * 4.0 ** (4 * scale)))
+    strength[~inside] = -np.inf
+    peak = (strength == _highest(strength, m.spacing)) & (strength > 1)
+    peak[:, :_GAP], peak[:, -_GAP:] = False, False
+    y, x = np.nonzero(peak)
+    who = np.searchsorted(starts, y, side="right") - 1
+    top = y - starts[who]
+    ok = (top >= _GAP) & (top < heights[who] - _GAP)
+    y, x, who, top = y[ok], x[ok], who[ok], top[ok]
+    smooth = _box(a, 1).ravel()
+    base = y * wide + x
+    disc = smooth[base[:, None] + (_DISC[:, 0] * wide + _DISC[:, 1])].astype(np.float64)
+    angle = np.arctan2(disc @ _DISC[:, 0], disc @ _DISC[:, 1])
+    turn = np.rint(angle / (2 * np.pi) * len(_TURNED)).astype(np.int64) % len(_TURNED)
+    v = smooth[base[:, None, None] + (_TURNED[..., 1] * wide + _TURNED[..., 0])[turn]]
+    r = np.empty(len(y), _CORNER)
+    r["x"], r["y"], r["scale"] = x << scale, top << scale, scale
+    r["bits"] = np.packbits(v[:, :, 0] < v[:, :, 1], axis=1).view(np.uint64)[:, 0] if len(y) else 0
+    return np.split(r, np.searchsorted(who, np.arange(1, len(levels))))
+
+
+#: Pixels that are described together, unless a single image has more; so few that they stay in the cache of a core.
+PIXELS = 1 << 16
+
+
+def describe(images: list[np.ndarray | None], m: Match) -> list[np.ndarray | None]:
+    """The corners of each image, scale by scale, in its own pixels, with their descriptors; None for
+    None.  Images of one width are described together."""
+    out = [None if x is None else [np.empty(0, _CORNER)] for x in images]
+    levels = [(i, x.astype(np.int32)) for i, x in enumerate(images) if x is not None]
     for scale in range(m.scales):
         if scale:
-            h, w = level.shape[0] // 2, level.shape[1] // 2
-            level = level[: 2 * h, : 2 * w].reshape(h, 2, w, 2).mean(axis=(1, 3)) if h and w else level[:0]
-        if min(level.shape) < 2 * RADIUS + 3:
-            break
-        gy, gx = np.gradient(level)
-        xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
-        strength = np.rint((xx * yy - xy * xy - 0.05 * (xx + yy) ** 2) / 1e5)
-        inner = strength[RADIUS + 1 : -RADIUS - 1, RADIUS + 1 : -RADIUS - 1]
-        peak = (inner == _highest(strength, m.spacing)[RADIUS + 1 : -RADIUS - 1, RADIUS + 1 : -RADIUS - 1]) & (inner > 1)
-        y, x = np.nonzero(peak)
-        y, x = y + RADIUS + 1, x + RADIUS + 1
-        smooth = np.rint(_box(level, 1))
-        patch = smooth[y[:, None, None] + _DY, x[:, None, None] + _DX] * _ROUND
-        angle = np.arctan2((patch * _DY).sum(axis=(1, 2)), (patch * _DX).sum(axis=(1, 2)))
-        turn = np.rint(angle / (2 * np.pi) * len(_TURNED)).astype(np.int64) % len(_TURNED)
-        at = _TURNED[turn]
-        v = smooth[y[:, None, None] + at[..., 1], x[:, None, None] + at[..., 0]]
-        bits = np.packbits(v[:, :, 0] < v[:, :, 1], axis=1).view(np.uint64)[:, 0] if len(y) else np.empty(0, np.uint64)
-        out.append((scale, x, y, bits))
-    return out
+            halves = [(i, v.shape[0] // 2, v.shape[1] // 2, v) for i, v in levels]
+            levels = [(i, v[: 2 * h, : 2 * w].reshape(h, 2, w, 2).sum(axis=(1, 3), dtype=np.int32)) for i, h, w, v in halves if h and w]
+        levels = [(i, v) for i, v in levels if min(v.shape) >= 2 * RADIUS + 3]
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+        for i, v in sorted(levels, key=lambda p: p[1].shape[1]):
+            if held and (held[0][1].shape[1] != v.shape[1] or size + v.size > PIXELS):
+                for (at, _), r in zip(held, _described_beside([x for _, x in held], scale, m), strict=True):
+                    out[at].append(r)
+                held, size = [], 0
+            held.append((i, v))
+            size += v.size
+        if held:
+            for (at, _), r in zip(held, _described_beside([x for _, x in held], scale, m), strict=True):
+                out[at].append(r)
+    return [None if parts is None else np.concatenate(parts) for parts in out]
 
 
 def _corners(image: np.ndarray, m: Match) -> np.ndarray:
-    parts = [np.empty(0, _CORNER)]
-    for scale, x, y, bits in describe(image, m):
-        r = np.empty(len(x), _CORNER)
-        r["x"], r["y"], r["scale"], r["bits"] = x << scale, y << scale, scale, bits
-        parts.append(r)
-    return np.concatenate(parts)
+    return describe([image], m)[0]
 
 
 def _name(image: np.ndarray) -> int:
@@ -172,11 +212,11 @@ def _described(load, m: Match):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
                 images = [load(v.as_py()) for v in part.column(1)]
                 names = pa.array([None if x is None else _name(x) for x in images], pa.int64())
-                blobs = pa.array([None if x is None else _corners(x, m).tobytes() for x in images], pa.binary())
+                blobs = pa.array([None if r is None else r.tobytes() for r in describe(images, m)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), names, blobs], ["id", "image", "corners"])
 
     return run

@@ -143,3 +143,16 @@ def test_pages(spark, sf_dir):
     got = {r.id: r.component_id for r in media.image_copies(some, id_col="page_id", image_col="html", load=media.draw_page).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
     assert media.image_copies(some.limit(0), id_col="page_id", image_col="html", load=media.draw_page).count() == 0
+
+
+def test_described_together_as_alone():
+    images = [texture(s, 60 + 7 * s, 90 + 30 * (s % 3)) for s in range(9)] + [None, np.zeros((4, 90), np.uint8), np.zeros((0, 0), np.uint8)]
+    m = media.Match()
+    together = media.describe(images, m)
+    assert together[9] is None and not len(together[10]) and not len(together[11])
+    for image, got in zip(images[:9], together, strict=False):
+        assert len(got) and got.tolist() == media.describe([image], m)[0].tolist()
+    crop = media.describe([images[8][20:, 11:]], m)[0]
+    whole = {(x, y, b) for x, y, s, b in together[8].tolist() if not s}
+    inner = [(x + 11, y + 20, b) for x, y, s, b in crop.tolist() if not s and x > 20 and y > 20 and x < 80 and y < 60]
+    assert inner and all(c in whole for c in inner)  # a corner's descriptor doesn't depend on where it stands

@@ -102,9 +102,32 @@ add("P23_geo_gate", lambda s, d: P(s, d).select("page_id", F.when(F.col("page_id
 add("P24_content_quality", lambda s, d: P(s, d).select("page_id", H.content_quality(F.lit("error"), F.col("html"), F.col("url"), F.lit("html"))["valid"].alias("valid")), "SELECT page_id, CASE WHEN length(html) < 100 THEN -1 WHEN contains(lower(html), '<body') AND regexp_matches(lower(html), '<div|<table|<article|<section|<main|<p>') AND (length(html) > 5000 OR (length(html) > 1000 AND contains(lower(html), '<html') AND contains(lower(html), '</html>'))) THEN 1 ELSE -1 END AS valid FROM pages")
 
 
+#: Markup that the test pages lack, added by the page's number so that answers vary: (before what, SQL that both sides run).
+_ADDED = (
+    ("</head>", """concat(CASE WHEN page_id % 3 = 0 THEN concat('<meta name="description" content="', repeat('of a', CAST(page_id % 50 AS INT)), '">') ELSE '' END,
+        CASE WHEN page_id % 4 = 0 THEN '<link rel="canonical" href="/c">' ELSE '' END, CASE WHEN page_id % 5 = 0 THEN concat('<meta name="generator" content="Tool ', page_id % 7, '">') ELSE '' END,
+        CASE WHEN page_id % 6 = 0 THEN '<meta property="og:title" content="x">' ELSE '' END, CASE WHEN page_id % 7 = 0 THEN '<meta name="twitter:card" content="x">' ELSE '' END,
+        CASE WHEN page_id % 9 = 4 THEN '<script type="application/ld+json">{"@type": "FAQPage"}</script>' ELSE '' END)"""),
+    ("<article>", """concat(repeat('<img src="a" alt="x">', CAST(page_id % 3 AS INT)), repeat('<img src="b">', CAST(page_id % 4 AS INT)), CASE WHEN page_id % 5 = 1 THEN '<blockquote>It was 45% in 1999, or 7,5 % in 2004</blockquote>' ELSE '' END,
+        CASE WHEN page_id % 5 = 2 THEN '<h2>Why of the?</h2><p>Because.</p>' ELSE '' END, CASE WHEN page_id % 7 = 3 THEN '<span class="author">One</span>' ELSE '' END,
+        repeat('<a href="https://other.example/x">the one</a>', CAST(page_id % 6 AS INT)), CASE WHEN page_id % 4 = 2 THEN '<footer>Contact us</footer>' ELSE '' END)"""),
+)
+_HTML = "html"
+for _at, _sql in _ADDED:
+    _HTML = f"replace({_HTML}, '{_at}', concat({_sql}, '{_at}'))"
+#: The pages with that markup, for SQL: t is the visible text, b what of it is in the body but not in navigation or footers, k the title.
+_RICH = f"""WITH r0 AS (SELECT page_id, url, {_HTML} AS html FROM pages),
+r1 AS (SELECT *, regexp_replace(html, '(?s)<style.*?</style>|<script.*?</script>|<!--.*?-->', ' ', 'g') AS seen FROM r0),
+r AS (SELECT page_id, url, html, {_MAIN} AS main, regexp_replace(seen, '<[^>]*>', ' ', 'g') AS t,
+  regexp_replace(regexp_replace(regexp_extract(seen, '(?s)<body>(.*)', 1), '(?s)<nav>.*?</nav>|<footer>.*?(</footer>|$)', ' ', 'g'), '<[^>]*>', ' ', 'g') AS b,
+  trim(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS k,
+  regexp_extract(html, '<meta name="description" content="([^"]*)"', 1) AS d FROM r1)
+"""
+
+
 def _pages(s, d):
-    """Parsed pages with the inputs that need a network as constants or made from the id."""
-    p = P(s, d).withColumn("p", H.page("html"))
+    """Parsed pages, with markup that the test pages lack and the inputs that need a network as constants or made from the id."""
+    p = P(s, d).withColumn("html", F.expr(_HTML)).withColumn("p", H.page("html"))
     return p.withColumns({"main": u.main_domain(F.col("url")), "loading_time": (F.col("page_id") % 12).cast("double"), "query": F.when(F.col("page_id") % 2 == 0, "the").otherwise("")})
 
 
@@ -113,40 +136,48 @@ def _field(*names: str):
 
 
 _COUNT = "CAST(len(regexp_extract_all(html, '<{0}[ >]')) AS INT)"
-add("H05_generator", _field("generator"), "SELECT page_id, '' AS generator FROM pages")
-add("H06_canonical", _field("canonical"), "SELECT page_id, 0 AS canonical FROM pages")
-add("H07_nofollow", _field("nofollow"), "SELECT page_id, CAST(len(regexp_extract_all(html, '<a [^>]*rel=\"nofollow\"')) AS INT) AS nofollow FROM pages")
-add("H08_h1", _field("h1"), f"SELECT page_id, {_COUNT.format('h1')} AS h1 FROM pages")
-add("H09_h2", _field("h2"), f"SELECT page_id, {_COUNT.format('h2')} AS h2 FROM pages")
-add("H10_keyword_hits", lambda s, d: _pages(s, d).select("page_id", sc.query_terms_found(F.col("p"), F.lit("the of")).alias("n")))
-add("H11_description", lambda s, d: _pages(s, d).select("page_id", (F.col("p.description") != "").alias("x")), "SELECT page_id, false AS x FROM pages")
+_N_WORDS = "CAST(len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> '')) AS INT)"
+_IN, _OUT = "len(regexp_extract_all(html, '<a [^>]*href=\"/'))", "len(regexp_extract_all(html, '<a [^>]*href=\"https://other'))"
+_IMG, _ALT = "len(regexp_extract_all(html, '<img '))", "len(regexp_extract_all(html, '<img [^>]*alt='))"
+
+
+def _steps(v: str, *bands: tuple[int, int, int], other: int = 0) -> str:
+    """The points of the first band that holds a value."""
+    return "CASE " + " ".join(f"WHEN {v} BETWEEN {a} AND {b} THEN {n}.0::DOUBLE" for a, b, n in bands) + f" ELSE {other}.0::DOUBLE END"
+add("H05_generator", _field("generator"), _RICH + "SELECT page_id, regexp_extract(html, '<meta name=\"generator\" content=\"([^\"]*)\"', 1) AS generator FROM r")
+add("H06_canonical", _field("canonical"), _RICH + "SELECT page_id, CAST(len(regexp_extract_all(html, 'rel=\"canonical\"')) AS INT) AS canonical FROM r")
+add("H07_nofollow", _field("nofollow"), _RICH + "SELECT page_id, CAST(len(regexp_extract_all(html, '<a [^>]*rel=\"nofollow\"')) AS INT) AS nofollow FROM r")
+add("H08_h1", _field("h1"), _RICH + f"SELECT page_id, {_COUNT.format('h1')} AS h1 FROM r")
+add("H09_h2", _field("h2"), _RICH + f"SELECT page_id, {_COUNT.format('h2')} AS h2 FROM r")
+add("H10_keyword_hits", lambda s, d: _pages(s, d).select("page_id", sc.query_terms_found(F.col("p"), F.lit("the of")).alias("n")), _RICH + "SELECT page_id, CAST(list_sum(list_transform(list_concat([k, d], list_concat(regexp_extract_all(html, '<h[1-6]>(.*?)</h[1-6]>', 1), regexp_extract_all(html, '<a [^>]*>(.*?)</a>', 1))), lambda x: CAST(contains(lower(x), 'the') AS INT) + CAST(contains(lower(x), 'of') AS INT))) AS INT) AS n FROM r")
+add("H11_description", lambda s, d: _pages(s, d).select("page_id", (F.col("p.description") != "").alias("x")), _RICH + "SELECT page_id, d <> '' AS x FROM r")
 add("H12_title", lambda s, d: _pages(s, d).select("page_id", (F.col("p.title") != "").alias("x")), "SELECT page_id, trim(regexp_extract(html, '<title>(.*?)</title>', 1)) <> '' AS x FROM pages")
-add("H13_links", lambda s, d: _pages(s, d).select("page_id", F.size("p.links").alias("n")), f"SELECT page_id, {_COUNT.format('a')} AS n FROM pages")
-add("H14_link_counts", lambda s, d: _pages(s, d).select("page_id", H.links_of(F.col("p"), F.col("main"))["internal"].alias("internal"), H.links_of(F.col("p"), F.col("main"))["external"].alias("external")))
-add("H15_trusted_links", lambda s, d: _pages(s, d).select("page_id", F.size(F.filter("p.links", lambda x: x["href"].rlike(r"\.gov|\.edu|wikipedia\.org"))).alias("n")), "SELECT page_id, CAST(len(regexp_extract_all(html, 'href=\"[^\"]*(\\.gov|\\.edu|wikipedia\\.org)')) AS INT) AS n FROM pages")
+add("H13_links", lambda s, d: _pages(s, d).select("page_id", F.size("p.links").alias("n")), _RICH + f"SELECT page_id, {_COUNT.format('a')} AS n FROM r")
+add("H14_link_counts", lambda s, d: _pages(s, d).select("page_id", H.links_of(F.col("p"), F.col("main"))["internal"].alias("internal"), H.links_of(F.col("p"), F.col("main"))["external"].alias("external")), _RICH + f"SELECT page_id, CAST({_IN} AS INT) AS internal, CAST({_OUT} AS INT) AS external FROM r")
+add("H15_trusted_links", lambda s, d: _pages(s, d).select("page_id", F.size(F.filter("p.links", lambda x: x["href"].rlike(r"\.gov|\.edu|wikipedia\.org"))).alias("n")), _RICH + "SELECT page_id, CAST(len(regexp_extract_all(html, 'href=\"[^\"]*(\\.gov|\\.edu|wikipedia\\.org)')) AS INT) AS n FROM r")
 add("H17_source_lists", lambda s, d: P(s, d).select("page_id", F.contains(u.bare_host(F.col("url")), F.lit("example.org")).alias("listed")), f"SELECT page_id, contains({_BARE}, 'example.org') AS listed FROM pages")
 add("H18_robots", lambda s, d: P(s, d).select("page_id", (F.col("page_id") % 2 == 0).alias("robots_txt")), "SELECT page_id, page_id % 2 = 0 AS robots_txt FROM pages")
 add("H19_loading_time", lambda s, d: _pages(s, d).select("page_id", "loading_time"), "SELECT page_id, CAST(page_id % 12 AS DOUBLE) AS loading_time FROM pages")
-add("H21_tables_and_lists", _field("tables", "ul", "ol", "li"), f"SELECT page_id, {_COUNT.format('table')} AS tables, {_COUNT.format('ul')} AS ul, {_COUNT.format('ol')} AS ol, {_COUNT.format('li')} AS li FROM pages")
-add("H22_questions", _field("faq_page", "qa_pairs"))
-add("H23_paragraphs", lambda s, d: _pages(s, d).select("page_id", F.size("p.paragraphs").alias("n")), f"SELECT page_id, {_COUNT.format('p')} AS n FROM pages")
-add("H24_authority", _field("blockquotes", "author_tags"))
-add("H25_organisation", lambda s, d: _pages(s, d).select("page_id", F.lower("p.footer").rlike("imprint|contact|privacy").alias("x")))
-add("H26_entities", lambda s, d: _pages(s, d).select("page_id", tx.distinct_percentages(F.col("p.body")).alias("n_percent"), tx.distinct_years(F.col("p.body")).alias("n_years")))
-add("H27_clean_body", lambda s, d: _pages(s, d).select("page_id", H.word_count(F.col("p.body")).alias("n_words")))
+add("H21_tables_and_lists", _field("tables", "ul", "ol", "li"), _RICH + f"SELECT page_id, {_COUNT.format('table')} AS tables, {_COUNT.format('ul')} AS ul, {_COUNT.format('ol')} AS ol, {_COUNT.format('li')} AS li FROM r")
+add("H22_questions", _field("faq_page", "qa_pairs"), _RICH + "SELECT page_id, CAST(len(regexp_extract_all(html, 'FAQPage')) AS INT) AS faq_page, CAST(len(regexp_extract_all(html, '<h[1-6]>[^<]*\\?</h[1-6]>')) AS INT) AS qa_pairs FROM r")
+add("H23_paragraphs", lambda s, d: _pages(s, d).select("page_id", F.size("p.paragraphs").alias("n")), _RICH + f"SELECT page_id, {_COUNT.format('p')} AS n FROM r")
+add("H24_authority", _field("blockquotes", "author_tags"), _RICH + f"SELECT page_id, {_COUNT.format('blockquote')} AS blockquotes, CAST(len(regexp_extract_all(html, 'class=\"author\"')) AS INT) AS author_tags FROM r")
+add("H25_organisation", lambda s, d: _pages(s, d).select("page_id", F.lower("p.footer").rlike("imprint|contact|privacy").alias("x")), _RICH + "SELECT page_id, regexp_matches(lower(array_to_string(regexp_extract_all(html, '(?s)<footer>(.*?)(</footer>|$)', 1), ' ')), 'imprint|contact|privacy') AS x FROM r")
+add("H26_entities", lambda s, d: _pages(s, d).select("page_id", tx.distinct_percentages(F.col("p.body")).alias("n_percent"), tx.distinct_years(F.col("p.body")).alias("n_years")), _RICH + "SELECT page_id, CAST(len(list_distinct(regexp_extract_all(b, '\\d+(?:[.,]\\d+)?\\s*%'))) AS INT) AS n_percent, CAST(len(list_distinct(regexp_extract_all(b, '\\b(19[5-9]\\d|20[0-3]\\d)\\b', 1))) AS INT) AS n_years FROM r")
+add("H27_clean_body", lambda s, d: _pages(s, d).select("page_id", H.word_count(F.col("p.body")).alias("n_words")), _RICH + f"SELECT page_id, {_N_WORDS.format('b')} AS n_words FROM r")
 add("H28_language", _field("lang"), "SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
 add("H29_reading_ease", lambda s, d: _pages(s, d).select("page_id", sc.reading_ease(F.col("p.text"), F.col("p.lang")).alias("score")))
-add("H30_content_length", lambda s, d: _pages(s, d).select("page_id", sc.content_length(H.word_count(F.col("p.text"))).alias("score")))
-add("H31_headings", lambda s, d: _pages(s, d).select("page_id", sc.headings(F.col("p.h1"), F.col("p.h2") + F.col("p.h3"), F.col("p.h456")).alias("score")), f"SELECT page_id, CASE WHEN {_COUNT.format('h1')} = 1 THEN 40.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN {_COUNT.format('h[23]')} > 0 THEN 30.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN {_COUNT.format('h[456]')} > 0 THEN 30.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM pages")
+add("H30_content_length", lambda s, d: _pages(s, d).select("page_id", sc.content_length(H.word_count(F.col("p.text"))).alias("score")), _RICH + f"SELECT page_id, CASE WHEN n >= 1500 THEN 100.0::DOUBLE WHEN n >= 1000 THEN 80 WHEN n >= 500 THEN 60 WHEN n >= 300 THEN 40 ELSE n / 300 * 40 END AS score FROM (SELECT page_id, {_N_WORDS.format('t')} AS n FROM r)")
+add("H31_headings", lambda s, d: _pages(s, d).select("page_id", sc.headings(F.col("p.h1"), F.col("p.h2") + F.col("p.h3"), F.col("p.h456")).alias("score")), _RICH + f"SELECT page_id, CASE WHEN {_COUNT.format('h1')} = 1 THEN 40.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN {_COUNT.format('h[23]')} > 0 THEN 30.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN {_COUNT.format('h[456]')} > 0 THEN 30.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM r")
 _LQ = lambda f: lambda s, d: _pages(s, d).withColumn("k", H.links_of(F.col("p"), F.col("main"))).select("page_id", f().alias("score"))
-add("H32_link_quality", _LQ(lambda: sc.link_quality(F.col("k.internal"), F.col("k.external"))))
-add("H33_images", lambda s, d: _pages(s, d).select("page_id", sc.images(F.col("p.images"), F.col("p.images_alt")).alias("score")))
-add("H34_navigation", lambda s, d: _pages(s, d).select("page_id", sc.navigation(F.col("p.has_nav"), F.col("p.has_footer"), F.col("p.has_form")).alias("score")), "SELECT page_id, CASE WHEN regexp_matches(html, '<(nav|menu)[ >]') THEN 40.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN regexp_matches(html, '<footer[ >]') THEN 30.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN regexp_matches(html, '<form[ >]') THEN 30.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM pages")
-add("H35_title_score", lambda s, d: _pages(s, d).select("page_id", sc.title_score(F.col("p.title")).alias("score"), sc.geo_title_score(F.col("p.title")).alias("geo")))
-add("H36_description_score", lambda s, d: _pages(s, d).select("page_id", sc.description_score(F.col("p.description")).alias("score"), sc.geo_description_score(F.col("p.description")).alias("geo")), "SELECT page_id, 0.0::DOUBLE AS score, 0.0::DOUBLE AS geo FROM pages")
-add("H37_social_tags", lambda s, d: _pages(s, d).select("page_id", sc.social_tags(F.col("p.og_tags"), F.col("p.twitter_tags")).alias("score")), "SELECT page_id, 0.0::DOUBLE AS score FROM pages")
-add("H38_keyword_score", lambda s, d: _pages(s, d).select("page_id", sc.keyword_optimisation(F.col("p"), F.col("url"), F.lit("the of")).alias("score")))
-add("H39_general_score", lambda s, d: _pages(s, d).select("page_id", sc.keyword_optimisation(F.col("p"), F.col("url"), F.lit("")).alias("score")))
+add("H32_link_quality", _LQ(lambda: sc.link_quality(F.col("k.internal"), F.col("k.external"))), _RICH + f"SELECT page_id, CASE WHEN q BETWEEN 0.6 AND 0.8 THEN 50.0::DOUBLE WHEN q BETWEEN 0.4 AND 0.9 THEN 30.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN n >= 10 THEN 50.0::DOUBLE WHEN n >= 5 THEN 25.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM (SELECT page_id, {_IN} + {_OUT} AS n, CASE WHEN {_IN} + {_OUT} > 0 THEN {_IN}::DOUBLE / ({_IN} + {_OUT}) ELSE -1 END AS q FROM r)")
+add("H33_images", lambda s, d: _pages(s, d).select("page_id", sc.images(F.col("p.images"), F.col("p.images_alt")).alias("score")), _RICH + f"SELECT page_id, CASE WHEN {_IMG} > 0 THEN round_even(100.0::DOUBLE * {_ALT} / {_IMG}, 0) ELSE 0.0::DOUBLE END AS score FROM r")
+add("H34_navigation", lambda s, d: _pages(s, d).select("page_id", sc.navigation(F.col("p.has_nav"), F.col("p.has_footer"), F.col("p.has_form")).alias("score")), _RICH + "SELECT page_id, CASE WHEN regexp_matches(html, '<(nav|menu)[ >]') THEN 40.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN regexp_matches(html, '<footer[ >]') THEN 30.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN regexp_matches(html, '<form[ >]') THEN 30.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM r")
+add("H35_title_score", lambda s, d: _pages(s, d).select("page_id", sc.title_score(F.col("p.title")).alias("score"), sc.geo_title_score(F.col("p.title")).alias("geo")), _RICH + f"SELECT page_id, CASE WHEN length(k) = 0 THEN 0.0::DOUBLE ELSE {_steps('length(k)', (50, 60, 100), (40, 70, 80), (30, 80, 60), other=40)} END AS score, CASE WHEN length(k) = 0 THEN 0.0::DOUBLE WHEN length(k) >= 15 THEN 40.0::DOUBLE ELSE 20.0::DOUBLE END AS geo FROM r")
+add("H36_description_score", lambda s, d: _pages(s, d).select("page_id", sc.description_score(F.col("p.description")).alias("score"), sc.geo_description_score(F.col("p.description")).alias("geo")), _RICH + f"SELECT page_id, CASE WHEN length(d) = 0 THEN 0.0::DOUBLE ELSE {_steps('length(d)', (150, 160, 100), (130, 170, 80), (110, 190, 60), other=40)} END AS score, CASE WHEN length(d) = 0 THEN 0.0::DOUBLE WHEN length(d) >= 40 THEN 40.0::DOUBLE ELSE 20.0::DOUBLE END AS geo FROM r")
+add("H37_social_tags", lambda s, d: _pages(s, d).select("page_id", sc.social_tags(F.col("p.og_tags"), F.col("p.twitter_tags")).alias("score")), _RICH + "SELECT page_id, CASE WHEN contains(html, 'og:title') THEN 50.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN contains(html, 'twitter:card') THEN 50.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM r")
+add("H38_keyword_score", lambda s, d: _pages(s, d).select("page_id", sc.keyword_optimisation(F.col("p"), F.col("url"), F.lit("of the")).alias("score")), _RICH + "SELECT page_id, CASE WHEN contains(lower(url), 'of the') THEN 25.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN contains(lower(k), 'of the') THEN 25.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN contains(lower(d), 'of the') THEN 25.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN regexp_matches(lower(html), '<h[1-6]>[^<]*of the') THEN 25.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM r")
+add("H39_general_score", lambda s, d: _pages(s, d).select("page_id", sc.keyword_optimisation(F.col("p"), F.col("url"), F.lit("")).alias("score")), _RICH + f"SELECT page_id, CASE WHEN length(k) BETWEEN 20 AND 70 THEN 25.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN length(d) BETWEEN 120 AND 160 THEN 25.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN {_COUNT.format('h1')} = 1 THEN 25.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN {_COUNT.format('h[123]')} >= 3 THEN 25.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM r")
 
 
 def _seo(s, d):
@@ -202,7 +233,7 @@ C = lambda s, d: ad.read(s, d, "conversations").where("role = 'assistant'")  # n
 add("F04_text_to_html", lambda s, d: C(s, d).select("conv_id", "turn", F.length(aw.text_to_html(F.col("text"))).alias("n")), "SELECT conv_id, turn, length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) + 3 * (length(text) - length(replace(text, chr(10), ''))) AS n FROM conversations WHERE role = 'assistant'")
 add("F33_html_to_text", lambda s, d: P(s, d).select("page_id", F.length(aw.plain_text(F.col("html"))).alias("n")))
 add("F34_answer_segments", lambda s, d: C(s, d).select("conv_id", "turn", F.size(aw.answer_segments(F.regexp_replace("text", r"\. ", ". [1] "))).alias("n")))
-add("U08_distinct_links", lambda s, d: _pages(s, d).select("page_id", F.size(F.array_distinct(F.transform("p.links", lambda x: x["href"]))).alias("n")), "SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1))) AS INT) AS n FROM pages")
+add("U08_distinct_links", lambda s, d: _pages(s, d).select("page_id", F.size(F.array_distinct(F.transform("p.links", lambda x: x["href"]))).alias("n")), _RICH + "SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1))) AS INT) AS n FROM r")
 add("S31_rule_lists", lambda s, d: P(s, d).crossJoin(F.broadcast(s.createDataFrame([(g, tx.like_pattern(w)) for g, ws in H.TOOLS.items() for w in ws], "tool string, pattern string"))).where(F.expr("lower(html) like pattern")).groupBy("tool").agg(F.countDistinct("page_id").alias("n")), " UNION ALL ".join(f"SELECT '{g}' AS tool, count(*) AS n FROM pages WHERE " + " OR ".join(f"contains(lower(html), '{w.strip('*')}')" for w in ws) + " HAVING count(*) > 0" for g, ws in H.TOOLS.items() if all("?" not in w for w in ws)))
 add("S35_session_export", lambda s, d: ad.answer(s, d).groupBy("participant").agg(F.collect_list(F.struct("id", "kind", "value")).alias("rows")).select("participant", F.explode("rows").alias("r")).select("participant", "r.id", "r.kind", "r.value"), ad.with_views("answer", "SELECT participant, id, kind, value FROM answer"))
 add("S37_orphan_files", lambda s, d: P(s, d).select(F.lower("url").alias("path")).join(P(s, d).where("page_id % 2 = 0").select(F.lower("url").alias("path")), "path", "left_anti"), "SELECT lower(url) AS path FROM pages WHERE lower(url) NOT IN (SELECT lower(url) FROM pages WHERE page_id % 2 = 0)")

@@ -41,8 +41,8 @@ add("J04_export_study_scope", lambda s, d: I(s, d).where(F.col("study").isin(1,
 add("J05_criteria", lambda s, d: ad.read(s, d, "supplier").join(ad.read(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(ad.read(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name", "n_name").agg(n_rows()), "SELECT r_name, n_name, count(*) AS n FROM supplier, nation, region WHERE s_nationkey = n_nationkey AND n_regionkey = r_regionkey GROUP BY ALL")
 add("J06_exists_any", lambda s, d: rl.in_any(Q(s, d).withColumnRenamed("id", "key"), "key", [A(s, d).where("item = 5").select(F.col("query").alias("key")), R(s, d).where("position = 7 and counter = 3").select(F.col("query").alias("key"))]), v("query answer result", "SELECT id AS key, study, query FROM query q WHERE EXISTS (SELECT 1 FROM answer a WHERE a.query = q.id AND item = 5) OR EXISTS (SELECT 1 FROM result r WHERE r.query = q.id AND position = 7 AND counter = 3)"))
 add("J07_not_exists", lambda s, d: R(s, d).select("item").distinct().join(A(s, d).select("item"), "item", "left_anti"), v("result answer", "SELECT DISTINCT item FROM result r WHERE NOT EXISTS (SELECT 1 FROM answer a WHERE a.item = r.item)"))
-_TOL = lambda s, d: A(s, d).select(F.when(F.col("id") % 2 == 0, F.col("query") + F.when(F.col("participant") % 3 == 0, 0).otherwise(1000)).alias("query"), F.when(F.col("id") % 2 > 0, F.concat("kind", F.when(F.col("value") == "9", "").otherwise(" (old)"))).alias("kind"))
-add("J08_null_tolerant_anti", lambda s, d: rl.null_tolerant_anti(A(s, d).select("id", "query", "kind"), _TOL(s, d), ["query", "kind"]), v("answer", "SELECT id, query, kind FROM answer a WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT CASE WHEN id % 2 = 0 THEN query + CASE WHEN participant % 3 = 0 THEN 0 ELSE 1000 END END AS query, CASE WHEN id % 2 > 0 THEN kind || CASE WHEN value = '9' THEN '' ELSE ' (old)' END END AS kind FROM answer) t WHERE (t.query = a.query OR t.query IS NULL) AND (t.kind = a.kind OR t.kind IS NULL))"))
+_TOL = lambda s, d: A(s, d).select(F.when(F.col("id") % 2 == 0, F.col("query") + F.when(F.col("query") % 4 == 1, 0).otherwise(1000)).alias("query"), F.when(F.col("id") % 2 > 0, F.concat("kind", F.when(F.col("kind") == "result_ai", "").otherwise(" (old)"))).alias("kind"))
+add("J08_null_tolerant_anti", lambda s, d: rl.null_tolerant_anti(A(s, d).select("id", "query", "kind"), _TOL(s, d), ["query", "kind"]), v("answer", "SELECT id, query, kind FROM answer a WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT CASE WHEN id % 2 = 0 THEN query + CASE WHEN query % 4 = 1 THEN 0 ELSE 1000 END END AS query, CASE WHEN id % 2 > 0 THEN kind || CASE WHEN kind = 'result_ai' THEN '' ELSE ' (old)' END END AS kind FROM answer) t WHERE (t.query = a.query OR t.query IS NULL) AND (t.kind = a.kind OR t.kind IS NULL))"))
 add("J09_in_subquery", lambda s, d: R(s, d).join(S(s, d).where("name like 'A%'").select(F.col("id").alias("study")), "study", "left_semi").groupBy("study").agg(n_rows()), v("result study", "SELECT study, count(*) AS n FROM result WHERE study IN (SELECT id FROM study WHERE name LIKE 'A%') GROUP BY study"))
 add("J10_not_seen", lambda s, d: Q(s, d).join(A(s, d).where("participant = 7").select(F.col("query").alias("id")), "id", "left_anti"), v("query answer", "SELECT * FROM query WHERE id NOT IN (SELECT query FROM answer WHERE participant = 7)"))
 add("J11_scalar_count", lambda s, d: R(s, d).select("item").distinct().join(A(s, d).groupBy("item").agg(F.count(F.lit(1)).alias("c")), "item", "left").where(F.coalesce("c", F.lit(0)) < 3).select("item"), v("result answer", "SELECT DISTINCT item FROM result r WHERE (SELECT count(*) FROM answer a WHERE a.item = r.item) < 3"))

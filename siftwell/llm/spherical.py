@@ -33,8 +33,9 @@ from .graph import components
 class Caps:
     """``expected``: in how many filters of a rotation a random vector is on average, ``least``: in how
     many it is at least.  ``load``: how many vectors a filter has on average, which with the number
-    of vectors gives the number of code words.  At cosine 0.93 in 64 dimensions the defaults lose
-    fewer than 1 pair in 5,000."""
+    of vectors gives the number of code words.  More words lose more: at cosine 0.932 in 64 dimensions
+    the defaults lost 0 of 3,000 pairs at 2**18 vectors of a label, 5 of 6,000 at 2**21 and 18 of 4,000
+    at 2**24."""
 
     threshold: float = 0.93
     rotations: int = 3

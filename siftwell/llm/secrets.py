@@ -3,7 +3,7 @@
 Known kinds are regular expressions.  Beside them, candidate strings are cut into runs of one
 character class, a window slides over each run, and its Shannon entropy is kept up to date from
 counts that change by one character in and one out; windows at or over the class's threshold make a
-span, unless the candidate is on the allow list.
+span, unless the run has an allowed shape or an allowed word stands near the window.
 
 Positions come from splitting a text by the pattern that also extracts its matches: gaps and matches
 alternate, so their lengths add up to code-point offsets.
@@ -50,10 +50,14 @@ class CharClass:
 CLASSES = (
     CharClass("entropy_hex", _DIGITS + "abcdef", ("[0-9]", "[a-f]"), 20, 2.9),
     CharClass("entropy_upper", _DIGITS + _LOWER.upper(), ("[0-9]", "[A-Z]"), 16, 3.2),
+    CharClass("entropy_lower", _DIGITS + _LOWER, ("[g-z]", "([0-9]+[a-z]+){3}"), 20, 3.6),
     CharClass("entropy_base64", _DIGITS + _LOWER + _LOWER.upper() + "+/_-", ("[0-9]", "[a-z]", "[A-Z]"), 20, 3.6),
 )
-#: Candidates that match one of these aren't secrets: sample keys, alphabets, UUIDs, repeats, paths.
-ALLOW = (r"(?i)example", r"(?i)0123456789|abcdefghij", r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$", r"(.)\1{7,}", r"^(/[A-Za-z0-9_-]*[a-z]{3}[A-Za-z0-9_-]*){2,}$")
+#: Runs of these shapes aren't secrets: UUIDs, paths.
+ALLOW = (r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$", r"^(/[A-Za-z0-9_-]*[a-z]{3}[A-Za-z0-9_-]*){2,}$")
+#: Nor are windows within a window's length of one of these: sample keys, alphabets, repeats.  Farther
+#: off in the same run, say in another part of a path, they don't clear a key.
+ALLOW_NEAR = (r"(?i)example", r"(?i)0123456789|abcdefghij", r"(.)\1{7,}")
 
 
 def _walk(matches: Column, gaps: Column, kind: str, rank: int, good: Column | None = None, carry: bool = False) -> Column:
@@ -99,8 +103,10 @@ def entropy_range(run: Column, c: CharClass) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(run) - 1), zero, step, done)
 
 
-def entropy_spans(runs: Column, c: CharClass, rank: int, allow: tuple[str, ...] = ALLOW) -> Column:
-    """Spans of the windows of one class that have high entropy; ``runs`` are spans that carry theirs."""
+def entropy_spans(runs: Column, c: CharClass, rank: int, allow: tuple[str, ...] = ALLOW, allow_near: tuple[str, ...] = ALLOW_NEAR) -> Column:
+    """Spans of the windows of one class that have high entropy; ``runs`` are spans that carry theirs.
+
+    ``allow`` is matched with the whole run, ``allow_near`` with the span and a window before and behind it."""
 
     def wanted(s: Column) -> Column:
         ok = F.lit(True)
@@ -110,9 +116,17 @@ def entropy_spans(runs: Column, c: CharClass, rank: int, allow: tuple[str, ...]
             ok = ok & ~s["kind"].rlike(pattern)
         return ok
 
-    hot = F.transform(F.filter(runs, wanted), lambda s: F.struct(s["start"].alias("start"), entropy_range(s["kind"], c).alias("at")))
+    def unknown(s: Column) -> Column:
+        first = F.greatest(s["at"]["first"] - c.window, F.lit(0))
+        around = F.substr(s["run"], first + 1, s["at"]["last"] + 2 * c.window - first)
+        ok = s["at"].isNotNull()
+        for pattern in allow_near:
+            ok = ok & ~around.rlike(pattern)
+        return ok
+
+    hot = F.transform(F.filter(runs, wanted), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("run"), entropy_range(s["kind"], c).alias("at")))
     return F.transform(
-        F.filter(hot, lambda s: s["at"].isNotNull()),
+        F.filter(hot, unknown),
         lambda s: F.struct((s["start"] + s["at"]["first"]).alias("start"), F.lit(rank).alias("rank"), (s["start"] + s["at"]["last"] + c.window).alias("end"), F.lit(c.name).alias("kind")).cast(_SPAN),
     )
 
@@ -121,7 +135,7 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, *, text_col: str = "text", classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW) -> DataFrame:
+def scan(docs: DataFrame, *, text_col: str = "text", classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW, allow_near: tuple[str, ...] = ALLOW_NEAR) -> DataFrame:
     """``docs`` with ``secrets`` and ``base_secrets`` added, array<struct<start, end, kind>> by start.
 
     ``base_secrets`` has the known kinds alone.  Offsets are code points, ends exclusive.  A null text
@@ -143,7 +157,7 @@ def scan(docs: DataFrame, *, text_col: str = "text", classes: tuple[CharClass, .
     more[good["assign"]] = F.when(there("assign"), F.transform(F.regexp_extract_all(text, F.lit(KINDS["assign"]), F.lit(2)), lambda x: F.length(x) >= ASSIGN_MIN))
     got = got.withColumns(more)
     spans = {s[k]: _walk(F.col(m[k]), F.col(g[k]), k, i, F.col(good[k]) if k == "assign" else None, carry=i >= _PLACE) for i, k in enumerate(patterns)}
-    got = got.withColumns(spans).withColumns({s[c.name]: entropy_spans(F.col(s[c.name]), c, _PLACE + i, allow) for i, c in enumerate(classes)})
+    got = got.withColumns(spans).withColumns({s[c.name]: entropy_spans(F.col(s[c.name]), c, _PLACE + i, allow, allow_near) for i, c in enumerate(classes)})
     tidy = lambda ks: F.transform(F.sort_array(F.concat(*[F.col(s[k]) for k in ks])), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
     return got.withColumns({"secrets": tidy(patterns), "base_secrets": tidy(KINDS)}).drop(*found, *more, *spans)
 

@@ -3,6 +3,11 @@
 Lines are exploded with their positions, their keys hashed to 128 bits, distinct documents counted
 for each hash, and each document is put together again from the positions that stay.  The text
 itself is shuffled at most once, in the last join; everything before moves hashes and positions.
+
+Counting combines before it shuffles, so a line that stands everywhere is a row for each task there.
+In the join of positions with the lines that go, its rows would meet in one task.  So the lines of
+``HOT`` documents or more are broadcast: of D pairs of a document and a line there are at most D / HOT
+of them, and a line below gives a task that many documents' positions, whatever the size of the input.
 """
 
 from __future__ import annotations
@@ -13,6 +18,10 @@ from pyspark.sql import functions as F
 from .common import ASCII_SPACE, ascii_lower, fresh
 
 
+#: Lines of so many documents are looked up where they stand: some 64 MB of hashes for 10^12 pairs.
+HOT = 1_000_000
+
+
 def line_key(line: Column) -> Column:
     """The line without ASCII white space at either end, A-Z in lower case."""
     return ascii_lower(F.btrim(line, F.lit(ASCII_SPACE)))
@@ -32,7 +41,7 @@ def frequent_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return pairs.groupBy("_key").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs).select(F.col("_key").alias("line_hash"), "n_docs")
 
 
-def drop_frequent_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, hot: int = HOT) -> DataFrame:
     """``docs`` with ``text_col`` replaced, and ``n_lines`` and ``n_dropped`` (long) added.
 
     Null and empty texts are one empty line.  Keys shorter than ``min_chars`` code points never go.
@@ -47,7 +56,13 @@ def drop_frequent_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     ident = [F.col(id_col).alias(own_id), F.xxhash64(text).alias(own_hash)]
     at = docs.select(*ident, F.posexplode(F.transform(_lines(F.col(text_col)), line_key)).alias("_pos", "_line")).where(F.length("_line") >= min_chars)
     frequent = frequent_lines(docs, id_col=id_col, text_col=text_col, min_docs=min_docs, min_chars=min_chars)
-    gone = at.select(own_id, own_hash, "_pos", F.md5("_line").alias("line_hash")).join(frequent.select("line_hash"), "line_hash")
+    at = at.select(own_id, own_hash, "_pos", F.md5("_line").alias("line_hash"))
+    often = frequent.where(F.col("n_docs") >= hot).select("line_hash", F.lit(True).alias("_hot"))
+    at = at.join(F.broadcast(often), "line_hash", "left")
+    # what is found is spread over the tasks of the next join, where it has no partner
+    spread = F.when(F.col("_hot"), F.md5(F.concat("line_hash", F.col(own_hash).cast("string"), F.col("_pos").cast("string")))).otherwise(F.col("line_hash"))
+    rest = frequent.where(F.col("n_docs") < hot).select(F.col("line_hash").alias("_key"), F.lit(True).alias("_found"))
+    gone = at.withColumn("_key", spread).join(rest, "_key", "left").where("_hot OR _found")
     # identical rows give the same positions, hence the set
     gone = gone.groupBy(own_id, own_hash).agg(F.collect_set("_pos").alias(own_gone))
     row = docs.withColumn(own_lines, _lines(F.col(text_col))).withColumn(row_hash, F.xxhash64(text))

@@ -3,6 +3,8 @@
 import hashlib
 from collections import defaultdict
 
+import pytest
+
 from siftwell.llm import chat, lines, registry
 
 
@@ -37,10 +39,11 @@ def test_chat_empty(spark):
     assert chat.format_conversations(df).count() == 0
 
 
-def test_lines_brute(spark):
+@pytest.mark.parametrize("hot", [1, 11, lines.HOT])
+def test_lines_brute(spark, hot):
     rows = [(i, "Same\n" + f"own {i}\n\n SAME \t", "k") for i in range(9)] + [(9, "x\n same", "k"), (10, None, "k"), (11, "", "k"), (12, "same", "k"), (None, "\x0bsame\x0b\nother", "k"), (0, "again\nsame", "k"), (12, "same", "k"), (13, "l\n" * 30000 + "same", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_lines string")
-    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in lines.drop_frequent_lines(df).collect()), key=str)
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in lines.drop_frequent_lines(df, hot=hot).collect()), key=str)
     key = lambda x: "".join(c.lower() if c.isascii() else c for c in x.strip(" \t\n\x0b\x0c\r"))
     at = defaultdict(set)
     for d, x, _ in rows:

@@ -142,7 +142,7 @@ def _pieces(path: str, end_id: int, capacity: int, keep_ids: bool):
         for batch in batches:
             rows: list[tuple] = []
             size = 0
-            for d, raw in zip(batch.column(0).to_pylist(), tok.encode_batch(x.as_py() for x in batch.column(1)), strict=True):
+            for d, raw in zip(batch.column(0).to_pylist(), tok.encode_batch(batch.column(1)), strict=True):
                 ids = np.concatenate([np.frombuffer(raw, tok.dtype), end]).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     one = ids[at : at + capacity]

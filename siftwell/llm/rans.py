@@ -263,7 +263,7 @@ def _tokenise(path: str, end_id: int, bounds: list[int]):
             null = keys.is_null().to_numpy(zero_copy_only=False)
             bucket = np.where(null, 0, np.searchsorted(edges, keys.fill_null(0).to_numpy(), side="left")).astype(np.int32)
             held, size, since = [], 0, 0
-            for i, raw in enumerate(tok.encode_batch(x.as_py() for x in batch.column(1))):
+            for i, raw in enumerate(tok.encode_batch(batch.column(1))):
                 held.append(raw + end)
                 size += len(raw)
                 if size > 4 << 20 or i == batch.num_rows - 1:

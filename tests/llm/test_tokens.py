@@ -56,6 +56,33 @@ def _both():
     return _made[0]
 
 
+def test_words_are_taken_together(word_lib, monkeypatch):
+    """Each different word once, whatever is before or behind it, and words of letters never one by one."""
+    import pyarrow as pa
+
+    tok = tokens.WordTokenizer(WORD)
+    asked = []
+    make, model = tok._words.make, tok.library.model
+
+    class Counted:
+        def tokenize(self, stem):
+            asked.append(stem)
+            return model.tokenize(stem)
+
+    tok._model = Counted()
+    tok._words.make = lambda w: asked.append(w) or make(w)
+    text = "Árbol, ÁRBOL!! casa Casa'. casa\nx1 (casa) 'casa"
+    assert [np.frombuffer(r, tok.dtype).tolist() for r in tok.encode_batch([text, None, text])] == [brute_ids(word_lib, text), [], brute_ids(word_lib, text)]
+    assert sorted(asked) == sorted(["casa", "".join(tok._letters[b] for b in "árbol".encode()), "x1", "(casa)", "'casa", ""])
+    assert list(tok.encode_batch([])) == []
+    monkeypatch.setattr(tokens, "TEXT_BYTES", 16)
+    monkeypatch.setattr(tokens, "WORDS", 3)
+    texts = [*ODD, None, "a b c d e f g h, I! " * 5, *ODD]
+    for kind in (pa.string(), pa.large_string()):
+        col = pa.array(["not in the slice", *texts], kind).slice(1)
+        assert [np.frombuffer(r, tok.dtype).tolist() for r in tok.encode_batch(col)] == [brute_ids(word_lib, x) for x in texts]
+
+
 def test_byte_bpe_is_the_library(byte_lib):
     own = bpe.ByteBPE(BYTE)
     for x in ODD + [" ".join(ODD), "ab" * 500, "   " * 100]:

@@ -7,7 +7,7 @@ distance + 1 bands of the bits: two descriptors within the distance have a band
 table's list, the other bits are cut into distance + 1 parts of which they have one in common too,
 so lists are compared part by part; then the whole distance is checked.  Each pair counts once, in
 its first common band and part.  That counts the matches of two images, and where there are enough, all descriptors
-of the two are compared.  Matches vote for a shift and a scale, and images with enough votes
+of the two are compared, block by block of images that hang together.  Matches vote for a shift and a scale, and images with enough votes
 in one bin are copies, be they cropped or edited.
 
 Equal images count once.  In a list of one table entry an image with a repeated descriptor is there
@@ -44,7 +44,8 @@ class Match:
     """``spacing``: a corner is the strongest within this radius.  ``distance``: the most bits that
     matching descriptors differ in.  ``votes``: matches in one bin of ``bin`` pixels and its right and
     lower neighbours that make two images copies, ``share`` how many of the corners of the image with fewer they must be.
-    ``pairs``: so many pairs are held before they are counted, which bounds memory only."""
+    ``pairs``: so many pairs are held before they are counted, which bounds memory only.
+    ``unit``: bytes of corners in a block of images that are compared in one place."""
 
     scales: int = 2
     spacing: int = 6
@@ -54,6 +55,7 @@ class Match:
     bin: int = 12
     pairs: int = 1_000_000
     buckets: int = 256
+    unit: int = 256 << 10
 
 
 def read_pgm(data: bytes | None) -> np.ndarray | None:
@@ -400,20 +402,53 @@ def _most(p: np.ndarray, q: np.ndarray, m: Match) -> int:
 
 
 def _verified(m: Match):
-    """The pairs that are copies."""
+    """The pairs that are copies.  Rows come by unit: first the corners of its images, then its pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, corners = None, {}
         for batch in batches:
             keep = []
-            for i in range(batch.num_rows):
-                p, q = (np.frombuffer(batch.column(c)[i].as_py(), _CORNER) for c in ("p", "q"))
-                if _most(p, q, m) >= max(m.votes, m.share * min(len(p), len(q))):
+            columns = [c.to_pylist() for c in batch.columns[:5]]
+            for i, (*at, a, b) in enumerate(zip(*columns, strict=True)):
+                if at != unit:
+                    unit, corners = at, {}
+                if b is None:
+                    corners[a] = np.frombuffer(batch.column(5)[i].as_py(), _CORNER)
+                elif _most(corners[a], corners[b], m) >= max(m.votes, m.share * min(len(corners[a]), len(corners[b]))):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return run
 
 
+def _enough(met: DataFrame, full: DataFrame, m: Match) -> DataFrame:
+    """The pairs that meet in as many matches as the fullest bin must have: fewer can't fill it."""
+    sizes = full.select("image", F.expr(f"length(corners) div {_CORNER.itemsize}").alias("size")).distinct()
+    of = lambda c: sizes.select(F.col("image").alias(c), F.col("size").alias(f"{c}_size"))
+    some = met.where(F.col("n") >= m.votes).join(of("a"), "a").join(of("b"), "b")
+    return some.where(F.col("n") >= m.share * F.least("a_size", "b_size")).select("a", "b")
+
+
+def _units(met: DataFrame, held: DataFrame, m: Match) -> DataFrame:
+    """``component, u, v, a, b, corners``: the pairs of ``met`` and, with no b, the images that they need.
+
+    What hangs together is cut into blocks of about ``m.unit`` bytes of corners, and a unit is two
+    blocks, or one, that have a pair.  So an image goes out once for each unit that has a pair of it,
+    not once for each pair.
+    """
+    size = F.length("corners").cast("long")
+    parts = components(met).join(held.select(F.col("image").alias("node"), size.alias("size")), "node")
+    blocks = parts.groupBy("component").agg(F.ceil(F.sum("size") / m.unit).alias("blocks"))
+    place = parts.join(blocks, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    first = place.select(F.col("node").alias("a"), "component", F.col("block").alias("a_block"))
+    second = place.select(F.col("node").alias("b"), F.col("block").alias("b_block"))
+    dealt = met.join(first, "a").join(second, "b").select("component", F.least("a_block", "b_block").alias("u"), F.greatest("a_block", "b_block").alias("v"), "a", "b")
+    need = dealt.select("component", "u", "v", F.col("a").alias("image")).union(dealt.select("component", "u", "v", "b")).distinct()
+    need = need.join(held, "image").select("component", "u", "v", F.col("image").alias("a"), F.lit(None).cast("long").alias("b"), "corners")
+    n = 4 * met.sparkSession.sparkContext.defaultParallelism
+    return need.union(dealt.withColumn("corners", F.lit(None).cast("binary"))).repartition(n, "component", "u", "v").sortWithinPartitions("component", "u", "v", F.col("b").asc_nulls_first())
+
+
 def image_copies(images: DataFrame, m: Match = Match(), *, id_col: str = "image_id", image_col: str = "image", load=read_pgm) -> DataFrame:  # noqa: B008
     """``id, image, n_copies, component_id, kept``, one row for each row of ``images``.
 
@@ -430,11 +465,10 @@ def image_copies(images: DataFrame, m: Match = Match(), *, id_col: str = "image_
     full = named.where("length(corners) > 0").select("image", "corners")
     dealt = full.mapInArrow(tidied(_dealt(m)), "bucket int, n int, records binary").repartition("bucket")
     met = dealt.mapInArrow(tidied(_candidates(m)), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    met, met_path = store(met.where(F.col("n") >= m.votes).select("a", "b").repartition(4 * spark.sparkContext.defaultParallelism), "met")  # fewer can't fill a bin
+    met, met_path = store(_enough(met, full, m), "met")
     some = met.select(F.col("a").alias("image")).union(met.select("b")).distinct()
     held, held_path = store(full.join(some, "image", "left_semi").groupBy("image").agg(F.first("corners").alias("corners")), "met-images")
-    pairs = met.join(held.select(F.col("image").alias("a"), F.col("corners").alias("p")), "a").join(held.select(F.col("image").alias("b"), F.col("corners").alias("q")), "b")
-    links, links_path = store(pairs.mapInArrow(tidied(_verified(m)), "a long, b long"), "copies")
+    links, links_path = store(_units(met, held, m).mapInArrow(tidied(_verified(m)), "a long, b long"), "copies")
     named = named.select("id", "image")
     per = links.select(F.col("a").alias("image")).union(links.select("b")).groupBy("image").agg(F.count(F.lit(1)).alias("n_copies"))
     comp = components(links)

@@ -1,6 +1,7 @@
 """Copies of images: crops, edits, halved sizes; and the query's rows."""
 
 import numpy as np
+import pytest
 import pyarrow as pa
 
 from siftwell.llm import media
@@ -60,6 +61,36 @@ def test_whole_lists(spark):
     assert {r.n_copies for r in got} == {59}  # each with each other
 
 
+@pytest.mark.parametrize("unit", [1, 3000, 256 << 10])
+def test_units(spark, unit):
+    """Two groups and a chain, cut into blocks of any size: the same pairs, an image once for each unit."""
+    m = media.Match(unit=unit)
+    corners = {}
+    for k in range(3):
+        base = media._corners(texture(70 + k, 90, 120), m)
+        for i in range(14):
+            corners[100 * k + i] = base if k < 2 else base[max(0, len(base) * i // 28) : len(base) * (i + 14) // 28]
+    met = [(a, b) for a in corners for b in corners if a < b and (a // 100 == b // 100 < 2 or a // 100 == b // 100 and b - a < 4 and a >= 205)]
+    want = {(a, b) for a, b in met if media._most(corners[a], corners[b], m) >= max(m.votes, m.share * min(len(corners[a]), len(corners[b])))}
+    images = {x for p in met for x in p}
+    held = spark.createDataFrame([(i, bytearray(corners[i].tobytes())) for i in images], "image long, corners binary")
+    units = media._units(spark.createDataFrame(met, "a long, b long"), held, m)
+    assert sorted((r.a, r.b) for r in units.where("b is not null").collect()) == sorted(met)
+    shown = [(r.component, r.u, r.v, r.a) for r in units.where("b is null").collect()]
+    assert len(shown) == len(set(shown)) <= 2 * len(met)
+    if unit > 3000:
+        assert len(shown) == len(images)  # not once for each of its pairs
+    got = [(r.a, r.b) for r in units.mapInArrow(media._verified(m), "a long, b long").collect()]
+    assert len(got) == len(want) and set(got) == want and 180 < len(want)
+
+
+def test_pairs_with_too_few_matches_are_not_compared(spark):
+    m = media.Match()
+    full = spark.createDataFrame([(i, bytearray(np.zeros(n, media._CORNER).tobytes())) for i, n in ((1, 100), (2, 100), (3, 10), (4, 41), (4, 41))], "image long, corners binary")
+    met = spark.createDataFrame([(1, 2, 19), (1, 3, 6), (2, 3, 5), (1, 4, 8), (2, 4, 9)], "a long, b long, n long")
+    assert sorted(map(tuple, media._enough(met, full, m).collect())) == [(1, 3), (2, 4)]  # 20, 6, 6, 8.2 and 8.2 are needed
+
+
 def test_pairs_are_whole():
     key = np.sort(np.random.default_rng(0).integers(0, 9, 300))
     for most in (1, 1000, 10**6):

@@ -61,15 +61,27 @@ def release(spark: SparkSession) -> None:
     remove(spark, *_made)
 
 
-def store(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
+#: Spark's switch that removes the shuffle files of a query when it ends.
+_ENDED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def store(df: DataFrame, name: str, compression: str = "zstd", *, release: bool = False) -> tuple[DataFrame, str]:
     """Write ``df`` as a table in the shared folder; return it reread, and its path.
 
-    This cuts the lineage: a later loss of executors costs no more than rereading the table.
+    This cuts the lineage: a later loss of executors costs no more than rereading the table.  With
+    ``release`` the shuffle files of this write go when it ends, not when the driver collects its garbage.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     schema = df.schema
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(_ENDED, "false")
+    if release:
+        spark.conf.set(_ENDED, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        if release:
+            spark.conf.set(_ENDED, before)
     return spark.read.schema(schema).parquet(path), path
 
 

@@ -22,12 +22,13 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,15 +93,23 @@ def draw_page(source: str | None, columns: int = 64) -> np.ndarray:
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
-    """Sums over squares of side 2r+1, exact; where a square leaves the array it counts what is inside."""
+    """Sums over squares of side 2r+1, exact, by windows that double; where a square leaves the array it counts what is inside."""
     for axis in (0, 1):
-        out = a.copy()
-        for s in range(1, r + 1):
-            lo, hi = [slice(None)] * 2, [slice(None)] * 2
-            lo[axis], hi[axis] = slice(0, -s), slice(s, None)
-            lo, hi = tuple(lo), tuple(hi)
-            out[lo] += a[hi]
-            out[hi] += a[lo]
+        shape = list(a.shape)
+        shape[axis] += 2 * r
+        p = np.zeros(shape, a.dtype)
+        part = lambda x, at, k, axis=axis: x[at : at + k] if axis == 0 else x[:, at : at + k]
+        n = a.shape[axis]
+        part(p, r, n)[...] = a
+        out, done, size = None, 0, 1
+        while True:  # windows of 1, 2, 4 ... that make up 2r + 1
+            if (2 * r + 1) & size:
+                out = part(p, done, n).copy() if out is None else np.add(out, part(p, done, n), out)
+                done += size
+            if done == 2 * r + 1:
+                break
+            k = p.shape[axis] - size
+            p, size = part(p, 0, k) + part(p, size, k), 2 * size
         a = out
     return a
 
@@ -151,11 +160,19 @@ def _described_beside(levels: list[np.ndarray], scale: int, m: Match) -> list[np
     gy[1:-1] = a[2:] - a[:-2]
     gx[~inside], gy[~inside] = 0, 0
     xx, yy, xy = (_box(g, 2).astype(np.float64) for g in (gx * gx, gy * gy, gx * gy))
-    strength = np.rint((xx * yy - xy * xy - 0.05 * (xx + yy) ** 2) / (1.6e6 * 4.0 ** (4 * scale)))
+    both = xx + yy
+    both *= both
+    both *= 0.05
+    xx *= yy
+    xy *= xy
+    xx -= xy
+    xx -= both
+    xx /= 1.6e6 * 4.0 ** (4 * scale)
+    strength = np.rint(xx, xx).astype(np.float32)  # whole numbers below 2^24
     strength[~inside] = -np.inf
     peak = (strength == _highest(strength, m.spacing)) & (strength > 1)
     peak[:, :_GAP], peak[:, -_GAP:] = False, False
-    y, x = np.nonzero(peak)
+    y, x = np.divmod(np.flatnonzero(peak), wide)
     who = np.searchsorted(starts, y, side="right") - 1
     top = y - starts[who]
     ok = (top >= _GAP) & (top < heights[who] - _GAP)
@@ -172,6 +189,12 @@ def _described_beside(levels: list[np.ndarray], scale: int, m: Match) -> list[np
     return np.split(r, np.searchsorted(who, np.arange(1, len(levels))))
 
 
+def _halved(v: np.ndarray) -> np.ndarray:
+    """Sums of squares of 2 x 2."""
+    rows = v[::2] + v[1::2]
+    return rows[:, ::2] + rows[:, 1::2]
+
+
 #: Pixels that are described together, unless a single image has more; so few that they stay in the cache of a core.
 PIXELS = 1 << 16
 
@@ -184,7 +207,7 @@ def describe(images: list[np.ndarray | None], m: Match) -> list[np.ndarray | Non
     for scale in range(m.scales):
         if scale:
             halves = [(i, v.shape[0] // 2, v.shape[1] // 2, v) for i, v in levels]
-            levels = [(i, v[: 2 * h, : 2 * w].reshape(h, 2, w, 2).sum(axis=(1, 3), dtype=np.int32)) for i, h, w, v in halves if h and w]
+            levels = [(i, _halved(v[: 2 * h, : 2 * w])) for i, h, w, v in halves if h and w]
         levels = [(i, v) for i, v in levels if min(v.shape) >= 2 * RADIUS + 3]
         held: list[tuple[int, np.ndarray]] = []
         size = 0
@@ -210,16 +233,21 @@ def _name(image: np.ndarray) -> int:
 
 
 def _described(load, m: Match):
-    """id, name of the pixels and corners of each image."""
+    """id, name of the pixels and corners of each image, how many corners there are, and the row's place in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, place = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
                 images = [load(v.as_py()) for v in part.column(1)]
                 names = pa.array([None if x is None else _name(x) for x in images], pa.int64())
-                blobs = pa.array([None if r is None else r.tobytes() for r in describe(images, m)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), names, blobs], ["id", "image", "corners"])
+                corners = describe(images, m)
+                blobs = pa.array([None if r is None else r.tobytes() for r in corners], pa.binary())
+                sizes = pa.array([0 if r is None else len(r) for r in corners], pa.int32())
+                tasks, places = pa.array([task] * len(names), pa.int32()), pa.array(range(place, place + len(names)), pa.int64())
+                place += len(names)
+                yield pa.RecordBatch.from_arrays([part.column(0), names, blobs, sizes, tasks, places], ["id", "image", "corners", "size", "task", "place"])
 
     return run
 
@@ -234,9 +262,14 @@ def _field(bits: np.ndarray, at: tuple[int, int]) -> np.ndarray:
     return bits >> np.uint64(at[0]) & np.uint64((1 << at[1]) - 1)
 
 
-def _dealt(m: Match):
-    """(image, descriptor, how often) dealt to buckets by each table's key, many in one value."""
-    each = max(1, m.buckets // (m.distance + 1))
+def _each(m: Match, descriptors: int = 0) -> int:
+    """The buckets of a table: more where there are many descriptors, as one place holds a bucket whole."""
+    return max(1, m.buckets // (m.distance + 1), min(1 << 64 // (m.distance + 1), descriptors // 250_000))
+
+
+def _dealt(m: Match, tables: range | None = None, each: int = 0):
+    """(image, descriptor, how often) dealt to buckets by the key of each of ``tables``, many in one value."""
+    each = each or _each(m)
 
     def pack(held: list[np.ndarray], names: list[int]) -> Iterator[pa.RecordBatch]:
         bits = np.concatenate(held)
@@ -246,7 +279,8 @@ def _dealt(m: Match):
         first = np.flatnonzero(np.r_[True, (bits[1:] != bits[:-1]) | (image[1:] != image[:-1])])
         n = np.diff(np.r_[first, len(bits)]).astype(np.uint32)
         bits, image = bits[first], image[first]
-        for t, at in enumerate(_cut(64, m.distance + 1)):
+        for t in range(m.distance + 1) if tables is None else tables:
+            at = _cut(64, m.distance + 1)[t]
             bucket = (_field(bits, at) * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(each)
             order = np.argsort(bucket, kind="stable")
             there, cut = np.unique(bucket[order], return_index=True)
@@ -294,11 +328,11 @@ def _near(bits: np.ndarray, t: int, m: Match) -> Iterator[tuple[np.ndarray, np.n
     for k, part in enumerate(parts):
         key = band << np.uint64(part[1]) | _field(rest, part)
         order = np.argsort(key, kind="stable")
+        sorted_bits = bits[order]
         for i, j in _pairs(key[order], m.pairs):
-            i, j = order[i], order[j]
-            off = bits[i] ^ bits[j]
+            off = sorted_bits[i] ^ sorted_bits[j]
             ok = np.flatnonzero(np.bitwise_count(off) <= m.distance)
-            i, j, off = i[ok], j[ok], off[ok]
+            i, j, off = order[i[ok]], order[j[ok]], off[ok]
             other = rest[i] ^ rest[j]
             ok = np.ones(len(i), bool)
             for at in bands[:t]:
@@ -321,9 +355,9 @@ def _crossed(start: np.ndarray, size: np.ndarray, u: np.ndarray, v: np.ndarray,
         yield np.repeat(i[a:b], size[other[a:b]]), spread(start[other[a:b]], size[other[a:b]])
 
 
-def _candidates(m: Match):
+def _candidates(m: Match, each: int = 0):
     """Images a < b of one bucket and in how many matches they meet there."""
-    each = max(1, m.buckets // (m.distance + 1))
+    each = each or _each(m)
 
     def meet(t: int, image: np.ndarray, bits: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if t == 0:  # equal descriptors meet in all tables
@@ -370,35 +404,179 @@ def _candidates(m: Match):
     return run
 
 
+def _written(columns: Iterable[np.ndarray]) -> bytes:
+    """Columns of whole numbers; bytes of one weight stand together, so those of small numbers take little."""
+    return pa.compress(b"".join(np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns), "zstd", asbytes=True)
+
+
+def _read(data: bytes, columns: int, k: int) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=8 * columns * k, codec="zstd", asbytes=True), np.uint8)
+    return [np.ascontiguousarray(c.T).view("<i8").ravel() for c in raw.reshape(columns, 8, k)]
+
+
+def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs in order, each once, with the sum of n."""
+    order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
+    return a[first], b[first], np.add.reduceat(n, first) if len(a) else n
+
+
+def _counts(m: Match, parts: int):
+    """``part, k, counts``: pairs of numbered images and their matches, those of many buckets summed and
+    written together.  The pairs of an image a are in part a mod ``parts``."""
+
+    def pack(held: list) -> Iterator[pa.RecordBatch]:
+        a, b, n = _summed(*(np.concatenate(z) for z in zip(*held, strict=True)))
+        order = np.argsort(a % parts, kind="stable")
+        a, b, n = a[order], b[order], n[order]
+        there, cut = np.unique(a % parts, return_index=True)
+        blobs, sizes = [], []
+        for x, y in zip(cut, [*cut[1:], len(a)], strict=True):
+            step = np.diff(a[x:y], prepend=0)
+            blobs.append(_written([step, np.where(step == 0, np.diff(b[x:y], prepend=0), b[x:y]), n[x:y]]))
+            sizes.append(y - x)
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())], ["part", "k", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            size += batch.num_rows
+            if size > 2 * m.pairs:
+                yield from pack(held)
+                held, size = [], 0
+        if size:
+            yield from pack(held)
+
+    return run
+
+
+def _totals(m: Match):
+    """The pairs of a part with all their matches, where there are as many as votes are needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: dict[int, list[tuple[int, bytes]]] = {}
+        for batch in batches:
+            for part, k, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                blobs.setdefault(part, []).append((k, data))
+        for held in blobs.values():
+            found = []
+            for k, data in held:
+                step, b, n = _read(data, 3, k)
+                start = np.flatnonzero((step != 0) | (np.arange(k) == 0))
+                total = np.cumsum(b)
+                b = total - np.repeat(total[start] - b[start], np.diff(np.r_[start, k]))
+                found.append((np.cumsum(step), b, n))
+            a, b, n = _summed(*(np.concatenate(z) for z in zip(*found, strict=True)))
+            ok = n >= m.votes
+            yield pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in (a, b, n)], ["a", "b", "n"])
+
+    return run
+
+
+class _Votes:
+    """Votes for corners p and q of two images, in bins of shifts and scales."""
+
+    def __init__(self, p: np.ndarray, q: np.ndarray, m: Match):
+        self.m, self.codes, self.counts = m, [], []
+        self.p, self.q = ([np.ascontiguousarray(r[c]) for c in ("x", "y", "scale")] for r in (p, q))
+        self.far = [int(max(u.max(), v.max())) * 2 ** (m.scales - 1) // m.bin + 2 for u, v in zip(self.p[:2], self.q[:2], strict=True)]
+        self.wide = 2 * self.far[0] + 1
+        self.cells = (2 * m.scales - 1) * (2 * self.far[1] + 1) * self.wide
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        """The matches of corners p[i] with q[j]."""
+        (px, py, ps), (qx, qy, qs), m = self.p, self.q, self.m
+        scale = ps[i].astype(np.int64) - qs[j]
+        by = 2.0**-scale  # q's image is so much larger
+        dx, dy = np.rint((px[i] * by - qx[j]) / m.bin), np.rint((py[i] * by - qy[j]) / m.bin)
+        code = (scale + m.scales - 1) * ((2 * self.far[1] + 1) * self.wide) + ((dy + self.far[1]) * self.wide + dx + self.far[0]).astype(np.int64)
+        if self.cells > 16 * len(code) + 4096:
+            code, n = np.unique(code, return_counts=True)
+        else:
+            n = np.bincount(code)
+            code = np.flatnonzero(n)
+            n = n[code]
+        self.codes.append(code)
+        self.counts.append(n)
+
+    def most(self) -> int:
+        """Votes in the fullest bin with its right and lower neighbours, so that a shift near an edge of bins isn't cut in two."""
+        code, n = np.concatenate(self.codes), np.concatenate(self.counts)
+        code, at = np.unique(np.concatenate([code - d for d in (0, 1, self.wide, self.wide + 1)]), return_inverse=True)  # no bin is at an edge of the grid
+        return int(np.bincount(at, np.tile(n, 4)).max(initial=0))
+
+
 def _most(p: np.ndarray, q: np.ndarray, m: Match) -> int:
-    """Votes for corners p and q of two images in the fullest bin with its right and lower neighbours,
-    so that a shift near an edge of bins isn't cut in two."""
+    """Votes for corners p and q in the fullest bin, all corners compared with all."""
     if not len(p) or not len(q):
         return 0
-    far = [int(max(p[c].max(), q[c].max())) * 2 ** (m.scales - 1) // m.bin + 2 for c in ("x", "y")]
-    wide = 2 * far[0] + 1
-    cells = (2 * m.scales - 1) * (2 * far[1] + 1) * wide
-    codes, counts = [], []
-    (px, py, ps, pb), (qx, qy, qs, qb) = ([np.ascontiguousarray(r[c]) for c in ("x", "y", "scale", "bits")] for r in (p, q))
+    votes, pb, qb = _Votes(p, q, m), np.ascontiguousarray(p["bits"]), np.ascontiguousarray(q["bits"])
     step = max(1, m.pairs // len(q))
     for at in range(0, len(p), step):
         i, j = np.nonzero(np.bitwise_count(pb[at : at + step, None] ^ qb) <= m.distance)
-        i += at
-        scale = ps[i].astype(np.int64) - qs[j]
-        by = 2.0**-scale  # q's image is so much larger
-        dx, dy = np.rint((px[i] * by - qx[j]) / m.bin), np.rint((py[i] * by - qy[j]) / m.bin)
-        code = (scale + m.scales - 1) * ((2 * far[1] + 1) * wide) + ((dy + far[1]) * wide + dx + far[0]).astype(np.int64)
-        if len(q) * len(p) > m.pairs or cells > 16 * len(code) + 4096:
-            code, n = np.unique(code, return_counts=True)
-            codes.append(code)
-            counts.append(n)
+        votes.add(i + at, j)
+    return votes.most()
+
+
+class _Sorted:
+    """Corners of an image, and in order of each of several keys of their descriptors when they are asked for."""
+
+    def __init__(self, corners: np.ndarray):
+        self.corners, self.bits, self.by = corners, np.ascontiguousarray(corners["bits"]), {}
+
+    def order(self, at: tuple[int, int] | None) -> tuple[np.ndarray, np.ndarray]:
+        if at not in self.by:
+            key = self.bits if at is None else _field(self.bits, at)
+            order = np.argsort(key)
+            self.by[at] = order, key[order]
+        return self.by[at]
+
+
+def _joined(p: _Sorted, q: _Sorted, at: tuple[int, int] | None, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Corners of p and q with one key; None if there are more than ``most`` pairs."""
+    (p_order, p_key), (q_order, q_key) = p.order(at), q.order(at)
+    first = np.searchsorted(q_key, p_key)
+    n = np.searchsorted(q_key, p_key, side="right") - first
+    ends = np.cumsum(n)
+    if ends[-1] > most:
+        return None
+    return np.repeat(p_order, n), q_order[np.repeat(first - ends + n, n) + np.arange(ends[-1])]
+
+
+def _copies(p: _Sorted, q: _Sorted, m: Match) -> bool:
+    """Whether two images are copies: as many votes as they need, be it by equal descriptors alone.  Where
+    those don't do, all descriptors are compared that share a band, or all with all if that is less work."""
+    if not len(p.bits) or not len(q.bits):
+        return False
+    need = max(m.votes, m.share * min(len(p.bits), len(q.bits)))
+    same = _joined(p, q, None, m.pairs)
+    if same is not None and len(same[0]) >= need:
+        votes = _Votes(p.corners, q.corners, m)
+        votes.add(*same)
+        if votes.most() >= need:
+            return True
+    if len(p.bits) * len(q.bits) > 30_000:
+        bands, found = _cut(64, m.distance + 1), []
+        for t, at in enumerate(bands):
+            pairs = _joined(p, q, at, min(m.pairs, len(p.bits) * len(q.bits) // 8))
+            if pairs is None:
+                break
+            i, j = pairs
+            off = p.bits[i] ^ q.bits[j]
+            ok = np.bitwise_count(off) <= m.distance
+            for before in bands[:t]:
+                ok &= _field(off, before) != 0
+            found.append((i[ok], j[ok]))
         else:
-            n = np.bincount(code)
-            codes.append(np.flatnonzero(n))
-            counts.append(n[codes[-1]])
-    code, n = np.concatenate(codes), np.concatenate(counts)
-    code, at = np.unique(np.concatenate([code - d for d in (0, 1, wide, wide + 1)]), return_inverse=True)  # no bin is at an edge of the grid
-    return int(np.bincount(at, np.tile(n, 4)).max(initial=0))
+            i, j = (np.concatenate(z) for z in zip(*found, strict=True))
+            if len(i) < need:
+                return False
+            votes = _Votes(p.corners, q.corners, m)
+            votes.add(i, j)
+            return votes.most() >= need
+    return _most(p.corners, q.corners, m) >= need
 
 
 def _verified(m: Match):
@@ -413,8 +591,8 @@ def _verified(m: Match):
                 if at != unit:
                     unit, corners = at, {}
                 if b is None:
-                    corners[a] = np.frombuffer(batch.column(5)[i].as_py(), _CORNER)
-                elif _most(corners[a], corners[b], m) >= max(m.votes, m.share * min(len(corners[a]), len(corners[b]))):
+                    corners[a] = _Sorted(_whole(batch.column(5)[i].as_py()))
+                elif _copies(corners[a], corners[b], m):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -429,24 +607,83 @@ def _enough(met: DataFrame, full: DataFrame, m: Match) -> DataFrame:
     return some.where(F.col("n") >= m.share * F.least("a_size", "b_size")).select("a", "b")
 
 
-def _units(met: DataFrame, held: DataFrame, m: Match) -> DataFrame:
-    """``component, u, v, a, b, corners``: the pairs of ``met`` and, with no b, the images that they need.
+def _thin(corners: bytes) -> bytes:
+    """Corners for the way to another task: descriptors, then what is left of rows that differ little from the last."""
+    r = np.frombuffer(corners, _CORNER)
+    return np.uint32(len(r)).tobytes() + r["bits"].tobytes() + _written([r["x"], np.diff(r["y"], prepend=0), r["scale"]])
+
+
+def _whole(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    r = np.empty(n, _CORNER)
+    r["bits"] = np.frombuffer(data, "<u8", n, 4)
+    r["x"], y, r["scale"] = _read(data[4 + 8 * n :], 3, n)
+    r["y"] = np.cumsum(y)
+    return r
+
+
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        corners = batch.column(1).to_pylist()
+        columns = [batch.column(0), pa.array([_thin(x) for x in corners], pa.binary()), pa.array([len(x) for x in corners], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["image", "thin", "size"])
+
+
+def _thinner(full: DataFrame) -> DataFrame:
+    return full.select("image", "corners").mapInArrow(tidied(_thinned), "image long, thin binary, size long")
+
+
+def _blocks(met: DataFrame, held: DataFrame, m: Match) -> tuple[DataFrame, DataFrame]:
+    """``component, u, v, a, b``: the unit of each pair of ``met``, and ``component, u, v, image, size``:
+    the images that each unit needs and their bytes.
 
     What hangs together is cut into blocks of about ``m.unit`` bytes of corners, and a unit is two
     blocks, or one, that have a pair.  So an image goes out once for each unit that has a pair of it,
     not once for each pair.
     """
-    size = F.length("corners").cast("long")
-    parts = components(met).join(held.select(F.col("image").alias("node"), size.alias("size")), "node")
+    parts = components(met, release=True).join(held.select(F.col("image").alias("node"), "size"), "node")
     blocks = parts.groupBy("component").agg(F.ceil(F.sum("size") / m.unit).alias("blocks"))
-    place = parts.join(blocks, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    place = parts.join(blocks, "component").select("node", "component", "size", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
     first = place.select(F.col("node").alias("a"), "component", F.col("block").alias("a_block"))
     second = place.select(F.col("node").alias("b"), F.col("block").alias("b_block"))
     dealt = met.join(first, "a").join(second, "b").select("component", F.least("a_block", "b_block").alias("u"), F.greatest("a_block", "b_block").alias("v"), "a", "b")
     need = dealt.select("component", "u", "v", F.col("a").alias("image")).union(dealt.select("component", "u", "v", "b")).distinct()
-    need = need.join(held, "image").select("component", "u", "v", F.col("image").alias("a"), F.lit(None).cast("long").alias("b"), "corners")
-    n = 4 * met.sparkSession.sparkContext.defaultParallelism
-    return need.union(dealt.withColumn("corners", F.lit(None).cast("binary"))).repartition(n, "component", "u", "v").sortWithinPartitions("component", "u", "v", F.col("b").asc_nulls_first())
+    return dealt, need.join(place.select(F.col("node").alias("image"), "size"), "image")
+
+
+def _sent(dealt: DataFrame, need: DataFrame, held: DataFrame) -> DataFrame:
+    """``component, u, v, a, b, corners``: the pairs and, with no b, the images that they need, unit by unit."""
+    need = need.join(held.select("image", F.col("thin").alias("corners")), "image").select("component", "u", "v", F.col("image").alias("a"), F.lit(None).cast("long").alias("b"), "corners")
+    n = 4 * held.sparkSession.sparkContext.defaultParallelism
+    both = need.union(dealt.select("component", "u", "v", "a", "b", F.lit(None).cast("binary").alias("corners")))
+    return both.repartition(n, "component", "u", "v").sortWithinPartitions("component", "u", "v", F.col("b").asc_nulls_first())
+
+
+def _units(met: DataFrame, held: DataFrame, m: Match) -> DataFrame:
+    """The units of all pairs with their images, ``image, corners``."""
+    held = _thinner(held)
+    return _sent(*_blocks(met, held, m), held)
+
+
+def _compared(met: DataFrame, held: DataFrame, m: Match) -> tuple[DataFrame, list[str]]:
+    """The pairs of ``met`` that are copies, and the paths where they are.
+
+    Units go out in half as many rounds as an image is in units on the average, and each round's files
+    are removed when it ends, so what is on disk at once is about twice as much as the images themselves.
+    """
+    dealt, need = _blocks(met, held, m)
+    dealt, dealt_path = store(dealt, "pairs", release=True)
+    need, need_path = store(need, "unit-images", release=True)
+    sent = need.agg(F.sum("size")).first()[0] or 0
+    once = need.select("image", "size").distinct().agg(F.sum("size")).first()[0] or 0
+    rounds = -(-sent // (2 * once)) if once else 1
+    links, paths = None, []
+    for k in range(rounds):
+        mine = F.pmod(F.xxhash64("component", "u", "v"), F.lit(rounds)) == k
+        part, path = store(_sent(dealt.where(mine), need.where(mine), held).mapInArrow(tidied(_verified(m)), "a long, b long"), "copies", release=True)
+        links, paths = part if links is None else links.union(part), [*paths, path]
+    remove(held.sparkSession, dealt_path, need_path)
+    return links, paths
 
 
 def image_copies(images: DataFrame, m: Match = Match(), *, id_col: str = "image_id", image_col: str = "image", load=read_pgm) -> DataFrame:  # noqa: B008
@@ -461,24 +698,42 @@ def image_copies(images: DataFrame, m: Match = Match(), *, id_col: str = "image_
     spark = images.sparkSession
     rows = images.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).alias("v"))
 
-    named, named_path = store(rows.mapInArrow(tidied(_described(load, m)), "id long, image long, corners binary"), "images")
-    full = named.where("length(corners) > 0").select("image", "corners")
-    dealt = full.mapInArrow(tidied(_dealt(m)), "bucket int, n int, records binary").repartition("bucket")
-    met = dealt.mapInArrow(tidied(_candidates(m)), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    met, met_path = store(_enough(met, full, m), "met")
+    columns = "id long, image long, corners binary, size int, task int, place long"
+    named, named_path = store(rows.mapInArrow(tidied(_described(load, m)), columns), "images")
+    tasks = named.groupBy("task").agg(F.count(F.lit(1)), F.sum("size")).orderBy("task").collect()
+    starts = np.r_[0, np.cumsum([n for _, n, _ in tasks])].tolist()
+    starts = spark.createDataFrame([(task, at) for (task, _, _), at in zip(tasks, starts, strict=False)], "task int, start long")
+    # small numbers take less room than names
+    named = named.join(F.broadcast(starts), "task").select("id", "image", "corners", "size", (F.col("start") + F.col("place")).alias("number"))
+    low = named.where("size > 0").groupBy("image").agg(F.min("number").alias("low"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    again, again_path = store(named.where("size > 0").select("image", "number").join(low, "image").where("number > low").select("number"), "images-again", release=True)
+    full = named.where("size > 0").join(again, "number", "left_anti").select(F.col("number").alias("image"), "corners")
+
+    each, parallel = _each(m, sum(n or 0 for _, _, n in tasks)), 4 * spark.sparkContext.defaultParallelism
+    count = lambda batches: _counts(m, each)(_candidates(m, each)(batches))
+    met, met_paths = None, []
+    for t in range(m.distance + 1):  # one after the other, so that only one table is on disk
+        dealt = full.mapInArrow(tidied(_dealt(m, range(t, t + 1), each)), "bucket int, n int, records binary").repartition(parallel, "bucket")
+        part, path = store(dealt.mapInArrow(tidied(count), "part int, k int, counts binary"), f"met-{t}", release=True)
+        met, met_paths = part if met is None else met.union(part), [*met_paths, path]
+    met = met.repartition(parallel, "part").mapInArrow(tidied(_totals(m)), "a long, b long, n long")
+    met, met_path = store(_enough(met, full, m), "met", release=True)
+    remove(spark, *met_paths)
     some = met.select(F.col("a").alias("image")).union(met.select("b")).distinct()
-    held, held_path = store(full.join(some, "image", "left_semi").groupBy("image").agg(F.first("corners").alias("corners")), "met-images")
-    links, links_path = store(_units(met, held, m).mapInArrow(tidied(_verified(m)), "a long, b long"), "copies")
-    named = named.select("id", "image")
-    per = links.select(F.col("a").alias("image")).union(links.select("b")).groupBy("image").agg(F.count(F.lit(1)).alias("n_copies"))
-    comp = components(links)
-    first = named.where("image is not null and id is not null").groupBy("image").agg(F.min("id").alias("first"))
-    known = first.join(comp, F.col("image") == F.col("node"), "left").select("image", "first", F.coalesce("component", "image").alias("part"))
+    held, held_path = store(_thinner(full.join(some, "image", "left_semi")), "met-images", release=True)
+    named, number_path = store(named.select("id", "image", "number"), "image-numbers", release=True)
+    remove(spark, named_path, again_path)  # all that is left to compare is held
+    links, links_paths = _compared(met, held, m)
+    remove(spark, met_path, held_path)
+    per = links.select(F.col("a").alias("number")).union(links.select("b")).groupBy("number").agg(F.count(F.lit(1)).alias("n_copies"))
+    comp = components(links, release=True).withColumnRenamed("node", "number")
+    first = named.where("image is not null").groupBy("image").agg(F.min("id").alias("first"), F.min("number").alias("number")).where("first is not null")
+    known = first.join(comp, "number", "left").select("image", "number", "first", F.coalesce("component", "number").alias("part"))
     low = known.groupBy("part").agg(F.min("first").alias("component_id"))
-    known, _ = store(known.join(low, "part").join(per, "image", "left").select("image", "component_id", F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies")), "image-classes")
+    known, _ = store(known.join(low, "part").join(per, "number", "left").select("image", "component_id", F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies")), "image-classes", release=True)
     out = named.join(known, "image", "left").select("id", "image", F.coalesce("n_copies", F.lit(0)).cast("long").alias("n_copies"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
-    result, _ = store(out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))), "media")
-    remove(spark, named_path, met_path, held_path, links_path)
+    result, _ = store(out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))), "media", release=True)
+    remove(spark, number_path, *links_paths)
     return result
 
 

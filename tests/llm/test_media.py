@@ -1,5 +1,7 @@
 """Copies of images: crops, edits, halved sizes; and the query's rows."""
 
+import time
+
 import numpy as np
 import pytest
 import pyarrow as pa
@@ -187,3 +189,56 @@ def test_described_together_as_alone():
     whole = {(x, y, b) for x, y, s, b in together[8].tolist() if not s}
     inner = [(x + 11, y + 20, b) for x, y, s, b in crop.tolist() if not s and x > 20 and y > 20 and x < 80 and y < 60]
     assert inner and all(c in whole for c in inner)  # a corner's descriptor doesn't depend on where it stands
+
+
+def test_copies_as_all_with_all():
+    """Equal descriptors, then bands, decide as comparing all corners with all does."""
+    m = media.Match()
+    rng = np.random.default_rng(6)
+    base = texture(110, 300, 300)
+    noisy = np.clip(base.astype(int) + rng.integers(-6, 7, base.shape), 0, 255).astype(np.uint8)
+    half = base.reshape(150, 2, 150, 2).mean(axis=(1, 3)).astype(np.uint8)
+    images = [base, noisy, base[90:, 33:], half, np.tile(texture(111, 24, 24), (9, 9)), np.tile(texture(111, 24, 24), (4, 5)), texture(112, 300, 300), np.concatenate([texture(113, 60, 300), base[:60]]), base[:36, :60]]
+    corners = [media._corners(x, m) for x in images] + [np.empty(0, media._CORNER)]
+    assert max(len(c) for c in corners) ** 2 > 30_000
+    got, want = [], []
+    for p in corners:
+        for q in corners:
+            want.append(media._most(p, q, m) >= max(m.votes, m.share * min(len(p), len(q))))
+            got.append(media._copies(media._Sorted(p), media._Sorted(q), m))
+    assert got == want and 12 < sum(want) < len(want) - 30
+    assert all(media._whole(media._thin(c.tobytes())).tolist() == c.tolist() for c in corners)
+
+
+def test_counts_of_pairs():
+    """Counts that are written by part come back summed."""
+    m = media.Match(pairs=50)
+    rng = np.random.default_rng(7)
+    a, b, n = rng.integers(0, 30, 900), rng.integers(0, 1 << 40, 30)[rng.integers(0, 30, 900)], rng.integers(1, 4, 900)
+    want = {}
+    for x, y, k in zip(a.tolist(), b.tolist(), n.tolist(), strict=True):
+        want[x, y] = want.get((x, y), 0) + k
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[at : at + 90]) for c in (a, b, n)], ["a", "b", "n"]) for at in range(0, 900, 90)]
+    written = list(media._counts(m, 7)(iter(batches)))
+    assert len(written) > 1
+    got = {(r["a"], r["b"]): r["n"] for t in media._totals(m)(iter(written)) for r in t.to_pylist()}
+    assert got == {p: k for p, k in want.items() if k >= m.votes} and got
+
+
+def test_one_table_at_a_time_on_disk(spark):
+    """A table is dealt alone, and the shuffle files of a step go when it ends."""
+    m = media.Match()
+    corners = media._corners(texture(120, 90, 120), m)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([corners.tobytes()], pa.binary())], ["image", "corners"])
+    for t in range(m.distance + 1):
+        buckets = [b for r in media._dealt(m, range(t, t + 1))(iter([batch])) for b in r.column(0).to_pylist()]
+        assert buckets and {b // media._each(m) for b in buckets} == {t}
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = files()
+    out, path = media.store(spark.range(1000).repartition(3, "id"), "released", release=True)
+    until = time.time() + 20  # they are removed in the background
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and out.count() == 1000
+    media.remove(spark, path)
